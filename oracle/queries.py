@@ -185,3 +185,282 @@ propagation_ctes("inf_sum", "nb_inf",
                  "SELECT sig_id AS query_id, pert_id AS query_group FROM unann_profiles", mode="sum")
 SQL["moa_inference_sum"] = build(f"""
 SELECT query_group AS pert_id, {COMPOUND_TOP_COLS} FROM inf_sum_compound_top""", "inf_sum_compound_top")
+
+
+# ------------------------------------------------------ benchmark, E5.. --
+cte("nb_loo50", knn_sql("SELECT * FROM unit_vec_cp WHERE pert_id IN (SELECT pert_id FROM pert_moa)",
+                        "SELECT * FROM unit_vec_cp WHERE pert_id IN (SELECT pert_id FROM pert_moa)", 50,
+                        "WHERE q.pert_id <> r.pert_id"), "unit_vec_cp", "pert_moa")
+propagation_ctes("loo", "nb_loo50", "SELECT sig_id AS query_id, pert_id AS query_group FROM ann_profiles",
+                 samples_deps=("ann_profiles",))
+cte("prevalent", """
+  SELECT DISTINCT pert_id FROM pert_moa
+  WHERE moa IN (SELECT moa FROM pert_moa GROUP BY moa HAVING count(*) > 1)""", "pert_moa")
+cte("true_sets", "SELECT pert_id, string_agg(moa, ';' ORDER BY moa) AS true_moa FROM pert_moa GROUP BY pert_id",
+    "pert_moa")
+cte("bench", """
+  SELECT c.*, t.true_moa,
+         coalesce(len(list_intersect(CASE WHEN c.top_moa IS NULL OR c.top_moa = '' THEN []::VARCHAR[]
+                                          ELSE string_split(c.top_moa, ';') END,
+                                     CASE WHEN t.true_moa IS NULL OR t.true_moa = '' THEN []::VARCHAR[]
+                                          ELSE string_split(t.true_moa, ';') END)) > 0, false) AS is_true
+  FROM loo_compound_top c LEFT JOIN true_sets t ON t.pert_id = c.query_group
+  WHERE c.query_group IN (SELECT pert_id FROM prevalent)""", "loo_compound_top", "true_sets", "prevalent")
+
+SQL["keep_prevalent_labels"] = build("SELECT pert_id FROM prevalent", "prevalent")
+SQL["labels_per_pert"] = build("""
+SELECT pert_id, string_agg(moa, ';' ORDER BY moa) AS moas, count(*) AS n_moas
+FROM (SELECT DISTINCT pert_id, moa FROM pert_moa) GROUP BY pert_id""", "pert_moa")
+SQL["loo_benchmark"] = build(f"""
+SELECT query_group AS pert_id, {COMPOUND_TOP_COLS}, true_moa, is_true FROM bench""", "bench")
+
+
+def thresholds_sql(src: str, measure: str, truth: str) -> str:
+    return f"""
+SELECT {rnd('r.i * 0.05::DOUBLE', 'threshold')},
+       CAST(count(s.m) AS BIGINT) AS n_compounds,
+       {rnd('CASE WHEN count(s.m) > 0 THEN sum(CASE WHEN s.t THEN 1 ELSE 0 END) * 100.0 / count(s.m) END', 'pct_true')},
+       CAST(coalesce(sum(CASE WHEN s.t THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_compounds_true
+FROM range(21) r(i)
+LEFT JOIN (SELECT {measure} AS m, {truth} AS t FROM {src} WHERE {measure} IS NOT NULL) s
+  ON s.m >= r.i * 0.05::DOUBLE
+GROUP BY r.i"""
+
+
+SQL["accuracy_above_threshold"] = build(thresholds_sql("bench", "top_conf", "is_true"), "bench")
+SQL["calibration_accuracy"] = build(thresholds_sql("calibration", "measure", "truth"), "calibration")
+
+cte("ref_props", """
+  SELECT moa, count(*) AS n, count(*) / sum(count(*)) OVER () AS proportion FROM pert_moa GROUP BY moa""",
+    "pert_moa")
+SQL["value_counts"] = build(f"""
+SELECT moa, CAST(n AS BIGINT) AS n, {rnd('proportion', 'proportion')} FROM ref_props""", "ref_props")
+cte("inf_annot", "SELECT * FROM inf_compound_top WHERE mean_support_top_moa_count <> 0", "inf_compound_top")
+cte("pred_props", """
+  SELECT moa, sum(w) / (SELECT count(*) FROM (SELECT list_filter(list_transform(string_split(top_moa, ';'),
+                                                               lambda x: trim(x)), lambda x: x <> '') AS it
+                                              FROM inf_annot WHERE top_moa IS NOT NULL) WHERE len(it) > 0) AS proportion
+  FROM (SELECT unnest(it) AS moa, 1.0 / len(it) AS w
+        FROM (SELECT list_filter(list_transform(string_split(top_moa, ';'), lambda x: trim(x)), lambda x: x <> '') AS it
+              FROM inf_annot WHERE top_moa IS NOT NULL) WHERE len(it) > 0)
+  GROUP BY moa""", "inf_annot")
+SQL["fractional_proportions"] = build(f"SELECT moa, {rnd('proportion', 'proportion')} FROM pred_props", "pred_props")
+cte("aligned", """
+  SELECT a.moa, a.proportion AS ref_prop, b.proportion AS pred_prop
+  FROM ref_props a JOIN pred_props b ON a.moa = b.moa""", "ref_props", "pred_props")
+SQL["align_proportions"] = build(f"""
+SELECT moa, {rnd('ref_prop', 'ref_prop')}, {rnd('pred_prop', 'pred_prop')} FROM aligned""", "aligned")
+cte("aligned_ranks", """
+  SELECT rank() OVER (ORDER BY ref_prop) + (count(*) OVER (PARTITION BY ref_prop) - 1) / 2.0 AS rx,
+         rank() OVER (ORDER BY pred_prop) + (count(*) OVER (PARTITION BY pred_prop) - 1) / 2.0 AS ry
+  FROM aligned""", "aligned")
+SQL["spearman"] = build(f"""
+SELECT CAST(n AS BIGINT) AS n, {rnd('rho', 'rho')},
+       {rnd('CASE WHEN n > 2 AND abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END', 't')}
+FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM aligned_ranks)""", "aligned_ranks")
+SQL["proportion_abs_diff"] = build(f"""
+SELECT moa, {rnd('ref_prop', 'ref_prop')}, {rnd('pred_prop', 'pred_prop')}, {rnd('abs(ref_prop - pred_prop)', 'abs_diff')}
+FROM aligned ORDER BY abs(ref_prop - pred_prop) DESC, moa LIMIT 15""", "aligned")
+
+SQL["group_summary"] = build(f"""
+SELECT lang, count(measure) AS n, {rnd('quantile_cont(measure, 0.5)', 'median')}, {rnd('avg(measure)', 'mean')}
+FROM calibration GROUP BY lang""", "calibration")
+SQL["histogram"] = build(f"""
+SELECT CAST(b.i AS INTEGER) AS bin, {rnd('b.i * 0.05', 'left')}, {rnd('(b.i + 1) * 0.05', 'right')},
+       CAST(count(c.bin) AS BIGINT) AS count
+FROM range(20) b(i)
+LEFT JOIN (SELECT least(19, (SELECT count(*) FROM range(21) e(j) WHERE j * 0.05::DOUBLE <= m.measure) - 1) AS bin
+           FROM calibration m WHERE m.measure >= 0 AND m.measure <= 1) c ON c.bin = b.i
+GROUP BY b.i""", "calibration")
+SQL["five_number_summary"] = build(f"""
+SELECT q.lang, q.truth, {rnd('q1', 'q1')}, {rnd('median', 'median')}, {rnd('q3', 'q3')}, CAST(q.n AS BIGINT) AS n,
+       {rnd('max(CASE WHEN c.measure <= q3 + 1.5 * (q3 - q1) THEN c.measure END)', 'whisker_high')},
+       {rnd('min(CASE WHEN c.measure >= q1 - 1.5 * (q3 - q1) THEN c.measure END)', 'whisker_low')}
+FROM (SELECT lang, CAST(truth AS VARCHAR) AS truth, quantile_cont(measure, 0.25) AS q1,
+             quantile_cont(measure, 0.5) AS median, quantile_cont(measure, 0.75) AS q3, count(measure) AS n
+      FROM calibration GROUP BY ALL) q
+JOIN calibration c ON c.lang = q.lang AND CAST(c.truth AS VARCHAR) = q.truth
+GROUP BY q.lang, q.truth, q.q1, q.median, q.q3, q.n""", "calibration")
+SQL["unpivot_scores"] = build(f"""
+SELECT doc_id, metric, {rnd('score', 'score')} FROM (
+  SELECT doc_id, 'measure' AS metric, measure AS score FROM calibration
+  UNION ALL SELECT doc_id, 'inverse', 1 - measure FROM calibration
+  UNION ALL SELECT doc_id, 'measure_if_true', CASE WHEN truth THEN measure END FROM calibration)
+WHERE score IS NOT NULL""", "calibration")
+cte("cal_sc", """
+  SELECT measure AS s, sum(CASE WHEN truth THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN truth THEN 0 ELSE 1 END) AS neg
+  FROM calibration WHERE measure IS NOT NULL GROUP BY measure""", "calibration")
+SQL["roc_curve"] = build(f"""
+SELECT {rnd('s', 'threshold')},
+       {rnd('sum(pos) OVER (ORDER BY s DESC) / sum(pos) OVER ()', 'tpr')},
+       {rnd('sum(neg) OVER (ORDER BY s DESC) / sum(neg) OVER ()', 'fpr')}
+FROM cal_sc""", "cal_sc")
+SQL["roc_auc"] = build(f"""
+SELECT CAST(P AS BIGINT) AS n_pos, CAST(N AS BIGINT) AS n_neg,
+       {rnd('CASE WHEN P > 0 AND N > 0 THEN (rpos - P * (P + 1) / 2.0) / (P * N) END', 'auroc')}
+FROM (SELECT sum(pos * (before + (pos + neg + 1) / 2.0)) AS rpos, sum(pos) AS P, sum(neg) AS N
+      FROM (SELECT *, coalesce(sum(pos + neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                      AS before FROM cal_sc))""", "cal_sc")
+SQL["mann_whitney_greater"] = build(f"""
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+       {rnd('CASE WHEN n1 > 0 AND n2 > 0 THEN u END', 'u')},
+       {rnd('CASE WHEN n1 > 0 AND n2 > 0 AND sigma > 0 THEN (u - n1 * n2 / 2.0 - 0.5) / sigma END', 'z')}
+FROM (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u,
+             sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sigma
+      FROM (SELECT sum(pos * (before + (pos + neg + 1) / 2.0)) AS r1, sum(pos) AS n1, sum(neg) AS n2,
+                   sum(power(pos + neg, 3) - (pos + neg)) AS tie
+            FROM (SELECT *, coalesce(sum(pos + neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                            AS before FROM cal_sc)))""", "cal_sc")
+SQL["ecdf"] = build(f"""
+SELECT {rnd('s', 'measure')}, {rnd('sum(pos + neg) OVER (ORDER BY s) / sum(pos + neg) OVER ()', 'ecdf')}
+FROM cal_sc""", "cal_sc")
+cte("nb_graph1", knn_sql("SELECT * FROM unit_vec_all", "SELECT * FROM unit_vec_all", 1,
+                         "WHERE q.sig_id <> r.sig_id"), "unit_vec_all")
+cte("predictions", """
+  SELECT n.query_id, a.label AS truth, b.label AS prediction
+  FROM nb_graph1 n JOIN profiles a ON a.sig_id = n.query_id JOIN profiles b ON b.sig_id = n.ref_id""",
+    "nb_graph1", "profiles")
+SQL["classification_metrics"] = build(f"""
+WITH_PLACEHOLDER""", "predictions")
+SQL["classification_metrics"] = SQL["classification_metrics"].replace("WITH_PLACEHOLDER", f"""
+SELECT CAST(sum(n_true) AS BIGINT) AS n, {rnd('sum(tp) / sum(n_true)', 'accuracy')},
+       {rnd('1 - sum(tp) / sum(n_true)', 'error_rate')},
+       {rnd('avg(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END)', 'macro_precision')},
+       {rnd('avg(CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END)', 'macro_recall')},
+       {rnd('avg(CASE WHEN tp > 0 THEN 2.0 * (tp / n_pred) * (tp / n_true) / (tp / n_pred + tp / n_true) ELSE 0.0 END)', 'macro_f1')}
+FROM (SELECT c.cls, coalesce(t.n, 0) AS n_true, coalesce(p.n, 0) AS n_pred, coalesce(k.n, 0) AS tp
+      FROM (SELECT truth AS cls FROM predictions UNION SELECT prediction FROM predictions) c
+      LEFT JOIN (SELECT truth AS cls, count(*) AS n FROM predictions GROUP BY 1) t ON t.cls = c.cls
+      LEFT JOIN (SELECT prediction AS cls, count(*) AS n FROM predictions GROUP BY 1) p ON p.cls = c.cls
+      LEFT JOIN (SELECT truth AS cls, count(*) AS n FROM predictions WHERE truth = prediction GROUP BY 1) k
+        ON k.cls = c.cls)""")
+
+
+# ---------------------------------------------------------- gene ranking --
+cte("w1", """
+  SELECT cp_sig, compound, gene, pos FROM (
+    SELECT cp_sig, compound, gene, row_number() OVER (PARTITION BY cp_sig ORDER BY first_rank) AS pos
+    FROM (SELECT cp_sig, compound, gene, min(rank) AS first_rank FROM ranked_hits
+          WHERE gene IS NOT NULL GROUP BY cp_sig, compound, gene))
+  WHERE pos <= 100""", "ranked_hits")
+cte("a3", """
+  SELECT compound, count(*) AS n_cp_sigs FROM cp_signatures WHERE compound IS NOT NULL GROUP BY compound""",
+    "cp_signatures")
+cte("cg", """
+  SELECT s.compound, s.gene, s.n_support, a.n_cp_sigs, s.n_support / a.n_cp_sigs AS robustness
+  FROM (SELECT compound, gene, count(DISTINCT cp_sig) AS n_support FROM w1 GROUP BY compound, gene) s
+  LEFT JOIN a3 a ON a.compound = s.compound""", "w1", "a3")
+cte("top_long", """
+  SELECT compound, rank, gene, robustness FROM (
+    SELECT *, row_number() OVER (PARTITION BY compound ORDER BY robustness DESC, gene) AS rank FROM cg)
+  WHERE rank <= 100""", "cg")
+cte("mrp", """
+  SELECT *, CASE WHEN n_candidates = 1 THEN 100.0
+                 ELSE 100.0 * (1.0 - (rank1 - 1) / (n_candidates - 1.0)) END AS percentile
+  FROM (SELECT compound, gene, robustness,
+               rank() OVER (PARTITION BY compound ORDER BY robustness DESC) AS rank1,
+               count(*) OVER (PARTITION BY compound) AS n_candidates,
+               row_number() OVER (PARTITION BY compound ORDER BY robustness DESC, gene) - 1 AS plot_position
+        FROM cg)""", "cg")
+
+SQL["topk_unique_per_row"] = build("SELECT cp_sig, compound, gene, pos FROM w1", "w1")
+SQL["support_counts"] = build("""
+SELECT compound, gene, count(DISTINCT cp_sig) AS n_support FROM w1 GROUP BY compound, gene""", "w1")
+SQL["signatures_per_compound"] = build("SELECT compound, n_cp_sigs FROM a3", "a3")
+SQL["robustness"] = build(f"""
+SELECT compound, gene, n_support, n_cp_sigs, {rnd('robustness', 'robustness')} FROM cg""", "cg")
+SQL["top_genes_by_robustness"] = build(f"""
+SELECT compound, rank, gene, {rnd('robustness', 'robustness')} FROM top_long""", "top_long")
+SQL["pivot_ranked"] = build("SELECT compound, " + ", ".join(
+    f"max(CASE WHEN rank = {i} THEN gene END) AS gene_{i}" for i in range(1, 101))
+    + " FROM top_long GROUP BY compound", "top_long")
+SQL["mean_top_k"] = build(f"""
+SELECT compound, {rnd('avg(robustness)', 'robustness_100')} FROM (
+  SELECT *, row_number() OVER (PARTITION BY compound ORDER BY robustness DESC, gene) AS r FROM cg)
+WHERE r <= 100 GROUP BY compound""", "cg")
+SQL["min_rank_percentile"] = build(f"""
+SELECT compound, gene, {rnd('robustness', 'robustness')}, rank1, n_candidates, plot_position,
+       {rnd('percentile', 'percentile')} FROM mrp""", "mrp")
+SQL["target_rank_single"] = build(f"""
+SELECT n.compound, t.target AS target_gene, m.rank1 IS NOT NULL AS found, m.rank1 - 1 AS rank0, m.rank1,
+       {rnd('m.percentile', 'percentile')}, n.n_candidates, {rnd('m.robustness', 'value')}
+FROM (SELECT compound, max(n_candidates) AS n_candidates FROM mrp GROUP BY compound) n
+JOIN (SELECT compound, target FROM targets WHERE target_order = 1) t ON t.compound = n.compound
+LEFT JOIN mrp m ON m.compound = n.compound AND m.gene = t.target""", "mrp", "targets")
+
+
+def _w6(missing: str) -> str:
+    worst = missing == "worst"
+    r1 = ("CASE WHEN b.rank1 IS NOT NULL THEN b.rank1 WHEN n.n_candidates IS NOT NULL THEN n.n_candidates + 1 END"
+           if worst else "b.rank1")
+    pc = ("CASE WHEN b.rank1 IS NOT NULL THEN b.percentile WHEN n.n_candidates IS NOT NULL THEN 0.0 END"
+          if worst else "b.percentile")
+    return build(f"""
+SELECT i.compound, b.gene AS target_gene, b.rank1 IS NOT NULL AS found, ({r1}) - 1 AS rank0, {r1} AS rank1,
+       {rnd(pc, 'percentile')}, CAST(coalesce(n.n_candidates, 0) AS BIGINT) AS n_candidates, i.n_targets_input,
+       CAST(coalesce(b.n_found, 0) AS BIGINT) AS n_targets_found, {rnd('b.robustness', 'value')}
+FROM (SELECT compound, count(*) AS n_targets_input FROM targets WHERE target IS NOT NULL GROUP BY compound) i
+LEFT JOIN (SELECT compound, max(n_candidates) AS n_candidates FROM mrp GROUP BY compound) n ON n.compound = i.compound
+LEFT JOIN (SELECT * FROM (
+             SELECT m.compound, m.gene, m.rank1, m.percentile, m.robustness,
+                    count(*) OVER (PARTITION BY m.compound) AS n_found,
+                    row_number() OVER (PARTITION BY m.compound ORDER BY m.rank1, m.robustness DESC, m.gene) AS rn
+             FROM mrp m JOIN targets t ON t.compound = m.compound AND t.target = m.gene)
+           WHERE rn = 1) b ON b.compound = i.compound""", "mrp", "targets")
+
+
+SQL["target_rank_best"] = _w6("nan")
+SQL["target_rank_best_worst"] = _w6("worst")
+
+cte("w7_t", """
+  SELECT DISTINCT compound, lower(trim(compound)) AS key, upper(trim(target)) AS tnorm
+  FROM targets WHERE target IS NOT NULL""", "targets")
+cte("w7_names", "SELECT lower(trim(compound)) AS key, max(compound) AS matched_compound FROM top_long GROUP BY 1",
+    "top_long")
+cte("w7_tl", """
+  SELECT t.compound AS matched_compound, lower(trim(t.compound)) AS key, t.rank, t.gene, upper(trim(t.gene)) AS gnorm
+  FROM top_long t JOIN w7_names n ON n.key = lower(trim(t.compound)) AND n.matched_compound = t.compound
+  WHERE t.gene IS NOT NULL AND t.rank <= 100""", "top_long", "w7_names")
+cte("w7", """
+  SELECT k.compound, n.matched_compound, k.n_known_targets, p.n_pred,
+         o.n_overlap, o.best_target_rank, o.best_target_gene, o.overlapping_targets
+  FROM (SELECT compound, key, count(*) AS n_known_targets FROM w7_t GROUP BY compound, key) k
+  LEFT JOIN w7_names n ON n.key = k.key
+  LEFT JOIN (SELECT key, count(DISTINCT gnorm) AS n_pred FROM w7_tl GROUP BY key) p ON p.key = k.key
+  LEFT JOIN (SELECT l.key, count(DISTINCT l.gnorm) AS n_overlap, min(l.rank) AS best_target_rank,
+                    arg_min(l.gene, l.rank) AS best_target_gene,
+                    string_agg(DISTINCT l.gnorm, ';' ORDER BY l.gnorm) AS overlapping_targets
+             FROM w7_tl l JOIN (SELECT DISTINCT key, tnorm FROM w7_t) t ON t.key = l.key AND t.tnorm = l.gnorm
+             GROUP BY l.key) o ON o.key = k.key""", "w7_t", "w7_names", "w7_tl")
+SQL["best_target_position"] = build(f"""
+SELECT compound, matched_compound, CAST(n_known_targets AS BIGINT) AS n_known_targets,
+       CAST(CASE WHEN matched_compound IS NOT NULL THEN coalesce(n_overlap, 0) END AS BIGINT) AS n_overlap,
+       {rnd("CASE WHEN matched_compound IS NOT NULL THEN round_even(CASE WHEN n_known_targets > 0 THEN coalesce(n_overlap, 0) / n_known_targets ELSE 0.0 END, 4) END", 'target_recall')},
+       {rnd("CASE WHEN matched_compound IS NOT NULL THEN round_even(CASE WHEN n_pred > 0 THEN coalesce(n_overlap, 0) / n_pred ELSE 0.0 END, 4) END", 'target_precision')},
+       CAST(best_target_rank AS BIGINT) AS best_target_rank, best_target_gene,
+       CASE WHEN matched_compound IS NOT NULL THEN coalesce(overlapping_targets, '') END AS overlapping_targets,
+       CASE WHEN matched_compound IS NOT NULL THEN 'ok' ELSE 'compound_not_in_top_genes_df' END AS note
+FROM w7""", "w7")
+SQL["case_insensitive_match"] = build("""
+SELECT compound, matched_compound,
+       CASE WHEN matched_compound IS NOT NULL THEN 'ok' ELSE 'compound_not_in_top_genes_df' END AS note
+FROM w7""", "w7")
+
+cte("nb_cp_sh_all", knn_sql("SELECT * FROM unit_vec_all WHERE pert_type = 'trt_cp'",
+                            "SELECT * FROM unit_vec_all WHERE pert_type = 'trt_sh'", 1000), "unit_vec_all")
+cte("knn_cg", """
+  SELECT s.compound, s.gene, s.n_support, a.n_cp_sigs, s.n_support / a.n_cp_sigs AS robustness
+  FROM (SELECT compound, gene, count(DISTINCT cp_sig) AS n_support FROM (
+          SELECT * FROM (
+            SELECT cp_sig, compound, gene, row_number() OVER (PARTITION BY cp_sig ORDER BY first_rank) AS pos
+            FROM (SELECT n.query_id AS cp_sig, q.cmap_name AS compound, r.cmap_name AS gene, min(n.rank) AS first_rank
+                  FROM nb_cp_sh_all n JOIN profiles q ON q.sig_id = n.query_id JOIN profiles r ON r.sig_id = n.ref_id
+                  GROUP BY ALL))
+          WHERE pos <= 100)
+        GROUP BY compound, gene) s
+  JOIN (SELECT cmap_name AS compound, count(*) AS n_cp_sigs FROM cp_profiles GROUP BY 1) a ON a.compound = s.compound""",
+    "nb_cp_sh_all", "profiles", "cp_profiles")
+SQL["knn_gene_ranking"] = build(f"""
+SELECT compound, rank, gene, {rnd('robustness', 'robustness')} FROM (
+  SELECT *, row_number() OVER (PARTITION BY compound ORDER BY robustness DESC, gene) AS rank FROM knn_cg)
+WHERE rank <= 100""", "knn_cg")

@@ -23,14 +23,14 @@ reference blocks to keep ``Br`` small.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 DEFAULT_QUERY_BLOCK_ROWS = 4096
 DEFAULT_REF_BLOCK_ROWS = 16384
 
@@ -86,16 +86,13 @@ def _tile_topk(k: int, exclude_group: bool, exclude_self: bool, has_group: bool)
     return run
 
 
-def _blocks(n: int, rows_per_block: int, min_blocks: int = 1) -> int:
-    return max(1, min_blocks, math.ceil(n / rows_per_block))
-
-
 def cosine_knn(query: DataFrame, ref: DataFrame, k: int, *,
                id_col: str = "sig_id", vec_col: str = "embedding",
                group_col: str | None = None, exclude_same_group: bool = False,
                exclude_self: bool = False,
                query_block_rows: int = DEFAULT_QUERY_BLOCK_ROWS,
-               ref_block_rows: int = DEFAULT_REF_BLOCK_ROWS) -> DataFrame:
+               ref_block_rows: int = DEFAULT_REF_BLOCK_ROWS,
+               checkpoint: bool = True) -> DataFrame:
     """Exact top-k cosine neighbours of every query row among the reference rows.
 
     Returns ``(query_id, rank, ref_id, distance[, query_group, ref_group])`` with
@@ -120,17 +117,20 @@ def cosine_knn(query: DataFrame, ref: DataFrame, k: int, *,
                    *( [F.col(group_col).cast(grp_type).alias("rg")] if has_group else []),
                    F.col(vec_col).cast(vec_type).alias("v"))
 
-    # Block counts come from row counts (a cheap id-only scan); at least one
-    # query block per core so small inputs still run in parallel.
-    n_q, n_r = q.count(), r.count()
+    # Block counts come from row counts, as scalar subqueries inside the same
+    # plan (no driver-side action).  At least one query block per core (while
+    # blocks hold >= 256 rows) so small inputs still run in parallel.
     par = spark.sparkContext.defaultParallelism
-    bq = _blocks(n_q, query_block_rows, min(par, math.ceil(n_q / 256)))
-    br = _blocks(n_r, ref_block_rows)
+    n_q = q.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_r = r.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bq = F.greatest(F.lit(1), F.ceil(n_q / F.lit(query_block_rows)),
+                    F.least(F.lit(par), F.ceil(n_q / F.lit(256)))).cast("long")
+    br = F.greatest(F.lit(1), F.ceil(n_r / F.lit(ref_block_rows))).cast("long")
 
-    qx = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
-          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)).cast("array<long>"))))
-    rx = (r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(br)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
+    qx = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), bq))
+          .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), br - 1))))
+    rx = (r.withColumn("rb", F.pmod(F.xxhash64("rid"), br))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), bq - 1))))
 
     fields = [T.StructField("query_id", id_type), T.StructField("ref_id", id_type),
               T.StructField("distance", T.DoubleType())]
@@ -144,7 +144,13 @@ def cosine_knn(query: DataFrame, ref: DataFrame, k: int, *,
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     cols = ["query_id", "rank", "ref_id", "distance"] + (["query_group", "ref_group"] if has_group else [])
-    return out.select(*cols)
+    out = out.select(*cols)
+    if checkpoint:
+        # The neighbour table is the expensive intermediate every later step
+        # reads (often several times); write it once to the shared checkpoint
+        # folder so lineage is cut and a lost executor does not redo GEMMs.
+        out = materialize(out, "neighbors")
+    return out
 
 
 def knn_graph(profiles: DataFrame, k: int = 15, *, id_col: str = "sig_id",

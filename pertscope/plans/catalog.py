@@ -109,3 +109,228 @@ def _variant(weighting="softmax", mode="closest"):
 register("moa_inference_uniform")(_variant("uniform"))
 register("moa_inference_inverse")(_variant("inverse"))
 register("moa_inference_sum")(_variant(mode="sum"))
+
+
+# ------------------------------------------------------ benchmark, E5.. --
+
+from ..operators import stats  # noqa: E402
+from ..operators.stats import label_set_overlap  # noqa: E402
+
+
+@register("keep_prevalent_labels")
+def q_prevalent(spark, d):
+    return inference.prevalent_compounds(Tables(spark, d))
+
+
+@register("labels_per_pert")
+def q_labels_per_pert(spark, d):
+    pm = fx.pert_moa(Tables(spark, d)).dropDuplicates(["pert_id", "moa"])
+    return pm.groupBy("pert_id").agg(F.array_join(F.array_sort(F.collect_list("moa")), ";").alias("moas"),
+                                     F.count(F.lit(1)).alias("n_moas"))
+
+
+@register("loo_benchmark")
+def q_loo(spark, d):
+    b = inference.benchmark_table(spark, d)
+    return rounded(b.select("pert_id", *_CT, "true_moa", "is_true"))
+
+
+@register("accuracy_above_threshold")
+def q_acc_thr(spark, d):
+    b = inference.benchmark_table(spark, d)
+    return rounded(stats.accuracy_above_threshold(b, "top_conf", "is_true"))
+
+
+@register("calibration_accuracy")
+def q_cal_acc(spark, d):
+    return rounded(stats.accuracy_above_threshold(fx.calibration(Tables(spark, d)), "measure", "truth"))
+
+
+@register("value_counts")
+def q_value_counts(spark, d):
+    return rounded(stats.value_proportions(fx.pert_moa(Tables(spark, d)), "moa"))
+
+
+def _pred_props(spark, d):
+    ca = inference.compound_annotations(spark, d)
+    return stats.fractional_proportions(ca, "top_moa", out="moa")
+
+
+@register("fractional_proportions")
+def q_frac(spark, d):
+    return rounded(_pred_props(spark, d))
+
+
+def _aligned(spark, d):
+    a = stats.value_proportions(fx.pert_moa(Tables(spark, d)), "moa").select(
+        "moa", F.col("proportion").alias("ref_prop"))
+    b = _pred_props(spark, d).select("moa", F.col("proportion").alias("pred_prop"))
+    return a.join(b, "moa")          # J5: outer concat + dropna == inner join
+
+
+@register("align_proportions")
+def q_align(spark, d):
+    return rounded(_aligned(spark, d))
+
+
+@register("spearman")
+def q_spearman(spark, d):
+    return rounded(stats.spearman(_aligned(spark, d), "ref_prop", "pred_prop").drop("p_value"))
+
+
+@register("spearman_test")
+def q_spearman_test(spark, d):
+    return rounded(stats.spearman(_aligned(spark, d), "ref_prop", "pred_prop"))
+
+
+@register("proportion_abs_diff")
+def q_absdiff(spark, d):
+    a = _aligned(spark, d).withColumn("abs_diff", F.abs(F.col("ref_prop") - F.col("pred_prop")))
+    return rounded(stats.top_n(a, [F.col("abs_diff").desc(), F.col("moa")], 15))
+
+
+def _cal(spark, d):
+    return fx.calibration(Tables(spark, d))
+
+
+@register("group_summary")
+def q_group_summary(spark, d):
+    return rounded(stats.group_summary(_cal(spark, d), "lang", "measure"))
+
+
+@register("histogram")
+def q_hist(spark, d):
+    return rounded(stats.histogram(_cal(spark, d), "measure", 20))
+
+
+@register("five_number_summary")
+def q_five(spark, d):
+    c = _cal(spark, d).withColumn("truth", F.col("truth").cast("string"))
+    return rounded(stats.five_number_summary(c, "measure", ["lang", "truth"]))
+
+
+@register("unpivot_scores")
+def q_unpivot(spark, d):
+    c = _cal(spark, d).select("doc_id", "measure", (1 - F.col("measure")).alias("inverse"),
+                              F.when(F.col("truth"), F.col("measure")).alias("measure_if_true"))
+    u = c.unpivot("doc_id", ["measure", "inverse", "measure_if_true"], "metric", "score")
+    return rounded(u.filter(F.col("score").isNotNull()))
+
+
+@register("roc_curve")
+def q_roc(spark, d):
+    return rounded(stats.roc_curve(_cal(spark, d), "measure", "truth"))
+
+
+@register("roc_auc")
+def q_auc(spark, d):
+    return rounded(stats.roc_auc(_cal(spark, d), "measure", "truth"))
+
+
+@register("mann_whitney_greater")
+def q_mwu(spark, d):
+    return rounded(stats.mann_whitney_greater(_cal(spark, d), "measure", "truth").select("n1", "n2", "u", "z"))
+
+
+@register("mann_whitney_test")
+def q_mwu_test(spark, d):
+    return rounded(stats.mann_whitney_greater(_cal(spark, d), "measure", "truth"))
+
+
+@register("ecdf")
+def q_ecdf(spark, d):
+    return rounded(stats.ecdf(_cal(spark, d), "measure"))
+
+
+@register("classification_metrics")
+def q_cls(spark, d):
+    t = Tables(spark, d)
+    p = fx.profiles(t)
+    nn = knn_graph(p, 1).filter(F.col("rank") == 1)
+    lab = p.select("sig_id", "label")
+    pred = (nn.join(lab.withColumnRenamed("sig_id", "query_id"), "query_id")
+            .join(lab.select(F.col("sig_id").alias("ref_id"), F.col("label").alias("prediction")), "ref_id")
+            .select("query_id", F.col("label").alias("truth"), "prediction"))
+    return rounded(stats.classification_metrics(pred, "truth", "prediction"))
+
+
+# ---------------------------------------------------------- gene ranking --
+
+from ..operators import ranking as rk  # noqa: E402
+from . import gene_ranking as gr  # noqa: E402
+
+
+@register("topk_unique_per_row")
+def q_w1(spark, d):
+    return gr.robustness_tables(spark, d)[0]
+
+
+@register("support_counts")
+def q_a2(spark, d):
+    return rk.support_counts(gr.robustness_tables(spark, d)[0])
+
+
+@register("signatures_per_compound")
+def q_a3(spark, d):
+    return rk.signatures_per_compound(fx.cp_signatures(Tables(spark, d)))
+
+
+@register("robustness")
+def q_a4(spark, d):
+    return rounded(gr.robustness_tables(spark, d)[1])
+
+
+@register("top_genes_by_robustness")
+def q_w2(spark, d):
+    return rounded(gr.robustness_tables(spark, d)[2])
+
+
+@register("pivot_ranked")
+def q_w3(spark, d):
+    return rk.pivot_ranked(gr.robustness_tables(spark, d)[2], gr.K_GENES)
+
+
+@register("mean_top_k")
+def q_a7(spark, d):
+    return rounded(rk.mean_top_k(gr.robustness_tables(spark, d)[1], 100))
+
+
+@register("min_rank_percentile")
+def q_w4(spark, d):
+    r = rk.min_rank_percentile(gr.robustness_tables(spark, d)[1])
+    return rounded(r.select("compound", "gene", "robustness", "rank1", "n_candidates", "plot_position", "percentile"))
+
+
+@register("target_rank_single")
+def q_w5(spark, d):
+    r = rk.min_rank_percentile(gr.robustness_tables(spark, d)[1])
+    return rounded(rk.target_rank_single(r, gr.single_targets(Tables(spark, d))))
+
+
+@register("target_rank_best")
+def q_w6(spark, d):
+    r = rk.min_rank_percentile(gr.robustness_tables(spark, d)[1])
+    return rounded(rk.target_rank_best(r, fx.targets(Tables(spark, d)), missing="nan"))
+
+
+@register("target_rank_best_worst")
+def q_w6w(spark, d):
+    r = rk.min_rank_percentile(gr.robustness_tables(spark, d)[1])
+    return rounded(rk.target_rank_best(r, fx.targets(Tables(spark, d)), missing="worst"))
+
+
+@register("best_target_position")
+def q_w7(spark, d):
+    top = gr.robustness_tables(spark, d)[2]
+    return rounded(rk.best_target_position(top, fx.targets(Tables(spark, d))))
+
+
+@register("case_insensitive_match")
+def q_j9(spark, d):
+    top = gr.robustness_tables(spark, d)[2]
+    return rk.best_target_position(top, fx.targets(Tables(spark, d))).select("compound", "matched_compound", "note")
+
+
+@register("knn_gene_ranking")
+def q_knn_rank(spark, d):
+    return rounded(rk.top_genes(gr.knn_robustness(spark, d), gr.K_GENES))

@@ -67,3 +67,14 @@ def prevalent_compounds(t: Tables) -> DataFrame:
     pm = fx.pert_moa(t)
     common = pm.groupBy("moa").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     return pm.join(common, "moa", "left_semi").select("pert_id").distinct()
+
+
+def benchmark_table(spark, sf_dir: str, **kw) -> DataFrame:
+    """P10 output restricted to compounds with a prevalent label (F19), with
+    the true label set and whether the prediction overlaps it."""
+    from ..operators.stats import label_set_overlap
+    t = Tables(spark, sf_dir)
+    ct = loo_benchmark(spark, sf_dir, **kw).compound_top.withColumnRenamed("query_group", "pert_id")
+    return (ct.join(prevalent_compounds(t), "pert_id", "left_semi")
+            .join(true_label_sets(t), "pert_id", "left")
+            .withColumn("is_true", label_set_overlap(F.col("top_moa"), F.col("true_moa"))))

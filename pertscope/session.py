@@ -59,3 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
+
+    This cuts lineage like ``checkpoint()`` but runs a single job (a reliable
+    RDD checkpoint of an unpersisted plan computes it twice) and stores the
+    table columnar and compressed in the shared folder.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

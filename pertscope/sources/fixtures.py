@@ -107,12 +107,18 @@ def ranked_hits(t: Tables) -> DataFrame:
         F.col("l_orderkey").alias("cp_sig"),
         F.concat(F.lit("C"), _str("o_custkey")).alias("compound"),
         F.row_number().over(w).alias("rank"),
+        F.col("l_partkey").alias("ref_id"),
         F.col("p_brand").alias("gene"))
 
 
+def ref_genes(t: Tables) -> DataFrame:
+    """Reference position -> gene label (the labels a permutation shuffles)."""
+    return t.part.select(F.col("p_partkey").alias("ref_id"), F.col("p_brand").alias("gene"))
+
+
 def cp_signatures(t: Tables) -> DataFrame:
     """All compound signatures (orders), including those without any hit."""
-    sig = signatures(t).select("sig_id", "tas")
+    sig = signatures(t).select("sig_id", F.col("tas").cast("double").alias("tas"))
     od = t.orders.select("o_orderkey", "o_custkey")
     return (od.join(sig, od.o_orderkey == sig.sig_id, "left")
             .select(F.col("o_orderkey").alias("cp_sig"),
