@@ -464,3 +464,123 @@ SQL["knn_gene_ranking"] = build(f"""
 SELECT compound, rank, gene, {rnd('robustness', 'robustness')} FROM (
   SELECT *, row_number() OVER (PARTITION BY compound ORDER BY robustness DESC, gene) AS rank FROM knn_cg)
 WHERE rank <= 100""", "knn_cg")
+
+
+# ------------------------------------------------------ enrichment, conf --
+cte("gs_prio", """
+  SELECT library, term, gene,
+         CASE library WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS priority
+  FROM gene_sets""", "gene_sets")
+cte("gs", """
+  SELECT DISTINCT g.library, g.term, g.gene
+  FROM gs_prio g JOIN (SELECT term, max(priority) AS priority FROM gs_prio GROUP BY term) b
+    ON b.term = g.term AND b.priority = g.priority""", "gs_prio")
+cte("universe", "SELECT DISTINCT gene FROM gs", "gs")
+cte("tsize", """
+  SELECT term, count(*) AS n_genes FROM (SELECT DISTINCT term, gene FROM gs) GROUP BY term
+  HAVING count(*) >= 10 AND count(*) <= 500""", "gs")
+cte("qg", "SELECT DISTINCT compound, gene FROM query_genes", "query_genes")
+cte("nin", """
+  SELECT compound, count(*) AS n FROM qg WHERE gene IN (SELECT gene FROM universe) GROUP BY compound""",
+    "qg", "universe")
+cte("ov", """
+  SELECT q.compound, t.term, count(*) AS kk, max(s.n_genes) AS big_k
+  FROM qg q JOIN (SELECT DISTINCT term, gene FROM gs) t ON t.gene = q.gene JOIN tsize s ON s.term = t.term
+  GROUP BY q.compound, t.term""", "qg", "gs", "tsize")
+
+
+def _lnc(a: str, b: str) -> str:
+    return f"(lgamma(({a}) + 1) - lgamma(({b}) + 1) - lgamma(({a}) - ({b}) + 1))"
+
+
+cte("pv", f"""
+  SELECT kk, big_k, n, big_n,
+         least(1.0, list_sum(list_transform(range(greatest(kk, n - (big_n - big_k), 0), least(big_k, n) + 1),
+               lambda i: exp({_lnc('big_k', 'i')} + {_lnc('big_n - big_k', 'n - i')} - {_lnc('big_n', 'n')})))) AS p
+  FROM (SELECT DISTINCT o.kk, o.big_k, n.n, (SELECT count(*) FROM universe) AS big_n
+        FROM ov o JOIN nin n ON n.compound = o.compound)""", "ov", "nin", "universe")
+cte("best", """
+  SELECT c.compound, coalesce(n.n, 0) AS n,
+         CASE WHEN coalesce(n.n, 0) > 0 THEN coalesce(b.best_p, 1.0) ELSE 1.0 END AS best_p,
+         coalesce(n.n, 0) > 0 AS has_result
+  FROM (SELECT DISTINCT compound FROM query_genes) c
+  LEFT JOIN nin n ON n.compound = c.compound
+  LEFT JOIN (SELECT o.compound, min(p.p) AS best_p FROM ov o JOIN nin n ON n.compound = o.compound
+             JOIN pv p ON p.kk = o.kk AND p.big_k = o.big_k AND p.n = n.n GROUP BY o.compound) b
+    ON b.compound = c.compound""", "query_genes", "nin", "ov", "pv")
+cte("enr", """
+  SELECT b.compound, b.n, b.best_p, CASE WHEN b.has_result THEN a.p_adj ELSE 1.0 END AS p_adj,
+         CASE WHEN b.has_result THEN -log10(greatest(a.p_adj, 1e-300)) ELSE 0.0 END AS enrich_score_raw
+  FROM best b LEFT JOIN (
+    SELECT compound, least(1.0, min(q) OVER (ORDER BY best_p DESC)) AS p_adj FROM (
+      SELECT compound, best_p,
+             best_p * (count(*) OVER ()) / (count(*) OVER (ORDER BY best_p)) AS q
+      FROM best WHERE has_result)) a ON a.compound = b.compound""", "best")
+
+SQL["load_gene_sets"] = build("SELECT library, term, gene FROM gs", "gs")
+SQL["term_size_filter"] = build("""
+SELECT term, n_genes, (SELECT count(*) FROM universe) AS universe_size FROM tsize""", "tsize", "universe")
+SQL["gene_term_overlap"] = build("""
+SELECT compound, count(*) AS n_terms, sum(kk) AS sum_overlap, max(kk) AS max_overlap FROM ov GROUP BY compound""",
+                                 "ov")
+SQL["hypergeom_enrichment"] = build("""
+SELECT compound, CAST(n AS BIGINT) AS n, round(-log10(best_p), 6) AS neg_log10_p, has_result FROM best""", "best")
+SQL["bh_adjust"] = build("""
+SELECT compound, round(-log10(best_p), 6) AS neg_log10_p, round(-log10(p_adj), 6) AS neg_log10_adj FROM enr""",
+                         "enr")
+SQL["enrich_score"] = build(f"SELECT compound, {rnd('enrich_score_raw', 'enrich_score_raw')} FROM enr", "enr")
+
+cte("conf0", """
+  SELECT c.compound, coalesce(s.n_sigs, 1) AS n_sigs, coalesce(t.mean_tas, 0.0) AS mean_tas,
+         coalesce(e.enrich_score_raw, 0.0) AS enrich_score_raw, r.robustness_100
+  FROM (SELECT DISTINCT compound FROM top_long) c
+  LEFT JOIN (SELECT compound, count(DISTINCT cp_sig) AS n_sigs FROM cp_signatures
+             WHERE pert_type = 'trt_cp' AND qc_pass = '1' GROUP BY compound) s ON s.compound = c.compound
+  LEFT JOIN (SELECT compound, avg(tas) AS mean_tas FROM cp_signatures WHERE pert_type = 'trt_cp'
+             GROUP BY compound) t ON t.compound = c.compound
+  LEFT JOIN enr e ON e.compound = c.compound
+  LEFT JOIN (SELECT compound, avg(robustness) AS robustness_100 FROM (
+               SELECT *, row_number() OVER (PARTITION BY compound ORDER BY robustness DESC, gene) AS r FROM cg)
+             WHERE r <= 100 GROUP BY compound) r ON r.compound = c.compound""",
+    "top_long", "cp_signatures", "enr", "cg")
+
+
+def _mm(col: str) -> str:
+    return (f"CASE WHEN max({col}) OVER () > min({col}) OVER () THEN ({col} - min({col}) OVER ()) "
+            f"/ (max({col}) OVER () - min({col}) OVER ()) END")
+
+
+cte("conf1", f"""
+  SELECT compound, n_sigs, {_mm('ln(1 + n_sigs)')} AS score_n_sigs, mean_tas, {_mm('mean_tas')} AS score_tas,
+         enrich_score_raw,
+         CASE WHEN max(enrich_score_raw) OVER () > 0 THEN enrich_score_raw / max(enrich_score_raw) OVER ()
+              ELSE 0.0 END AS score_enrichment,
+         robustness_100, {_mm('robustness_100')} AS score_robustness
+  FROM conf0""", "conf0")
+cte("conf", """
+  SELECT *, CASE WHEN (score_n_sigs IS NOT NULL)::INT + (score_tas IS NOT NULL)::INT
+                      + (score_enrichment IS NOT NULL)::INT + (score_robustness IS NOT NULL)::INT > 0
+                 THEN (coalesce(score_n_sigs, 0) + coalesce(score_tas, 0) + coalesce(score_enrichment, 0)
+                       + coalesce(score_robustness, 0))
+                      / ((score_n_sigs IS NOT NULL)::INT + (score_tas IS NOT NULL)::INT
+                         + (score_enrichment IS NOT NULL)::INT + (score_robustness IS NOT NULL)::INT) END
+                 AS composite_score
+  FROM conf1""", "conf1")
+SQL["term_coverage_report"] = build(f"""
+SELECT CAST(sum(CASE WHEN enrich_score_raw > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_enriched,
+       CAST(count(*) AS BIGINT) AS n_compounds,
+       {rnd('100.0 * sum(CASE WHEN enrich_score_raw > 0 THEN 1 ELSE 0 END) / count(*)', 'pct_enriched')}
+FROM conf""", "conf")
+SQL["n_sigs_qc"] = build("SELECT compound, CAST(n_sigs AS BIGINT) AS n_sigs FROM conf", "conf")
+SQL["mean_tas"] = build(f"SELECT compound, {rnd('mean_tas', 'mean_tas')} FROM conf", "conf")
+SQL["score_minmax"] = build(f"""
+SELECT compound, {rnd('score_n_sigs', 'score_n_sigs')}, {rnd('score_tas', 'score_tas')},
+       {rnd('score_robustness', 'score_robustness')} FROM conf""", "conf")
+SQL["score_max_scaled"] = build(f"SELECT compound, {rnd('score_enrichment', 'score_enrichment')} FROM conf", "conf")
+SQL["composite_score"] = build(f"""
+SELECT compound, CAST(n_sigs AS BIGINT) AS n_sigs, {rnd('score_n_sigs', 'score_n_sigs')},
+       {rnd('mean_tas', 'mean_tas')}, {rnd('score_tas', 'score_tas')},
+       {rnd('enrich_score_raw', 'enrich_score_raw')}, {rnd('score_enrichment', 'score_enrichment')},
+       {rnd('robustness_100', 'robustness_100')}, {rnd('score_robustness', 'score_robustness')},
+       {rnd('composite_score', 'composite_score')}
+FROM conf""", "conf")

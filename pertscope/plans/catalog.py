@@ -334,3 +334,79 @@ def q_j9(spark, d):
 @register("knn_gene_ranking")
 def q_knn_rank(spark, d):
     return rounded(rk.top_genes(gr.knn_robustness(spark, d), gr.K_GENES))
+
+
+# ------------------------------------------------------ enrichment, conf --
+
+from ..operators import enrichment as en  # noqa: E402
+from . import confidence as cf  # noqa: E402
+
+
+@register("load_gene_sets")
+def q_s4(spark, d):
+    return cf.gene_sets(Tables(spark, d))
+
+
+@register("term_size_filter")
+def q_e1(spark, d):
+    t = Tables(spark, d)
+    gs = cf.gene_sets(t)
+    n_univ = en.gene_universe(gs).agg(F.count(F.lit(1))).scalar()
+    return en.term_sizes(gs).withColumn("universe_size", n_univ)
+
+
+@register("gene_term_overlap")
+def q_j8(spark, d):
+    t = Tables(spark, d)
+    ov = en.term_overlap(fx.query_genes(t), cf.gene_sets(t))
+    return ov.groupBy("compound").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("k").alias("sum_overlap"),
+                                      F.max("k").alias("max_overlap"))
+
+
+@register("hypergeom_enrichment")
+def q_e2(spark, d):
+    t = Tables(spark, d)
+    best = en.compound_best_p(fx.query_genes(t), cf.gene_sets(t))
+    return best.select("compound", "n", F.round(-F.log10(F.col("best_p")), 6).alias("neg_log10_p"), "has_result")
+
+
+@register("bh_adjust")
+def q_e3(spark, d):
+    e = cf.enrichment(spark, d)
+    return e.select("compound", F.round(-F.log10("best_p"), 6).alias("neg_log10_p"),
+                    F.round(-F.log10("p_adj"), 6).alias("neg_log10_adj"))
+
+
+@register("enrich_score")
+def q_e4(spark, d):
+    return rounded(cf.enrichment(spark, d).select("compound", "enrich_score_raw"))
+
+
+@register("term_coverage_report")
+def q_e21(spark, d):
+    return rounded(en.coverage_report(cf.confidence_table(spark, d)))
+
+
+@register("n_sigs_qc")
+def q_a5(spark, d):
+    return cf.confidence_table(spark, d).select("compound", "n_sigs")
+
+
+@register("mean_tas")
+def q_a6(spark, d):
+    return rounded(cf.confidence_table(spark, d).select("compound", "mean_tas"))
+
+
+@register("score_minmax")
+def q_p12(spark, d):
+    return rounded(cf.confidence_table(spark, d).select("compound", "score_n_sigs", "score_tas", "score_robustness"))
+
+
+@register("score_max_scaled")
+def q_p13(spark, d):
+    return rounded(cf.confidence_table(spark, d).select("compound", "score_enrichment"))
+
+
+@register("composite_score")
+def q_p14(spark, d):
+    return rounded(cf.confidence_table(spark, d))
