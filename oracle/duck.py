@@ -73,7 +73,7 @@ cte("ranked_hits", """
   SELECT h.l_orderkey AS cp_sig, 'C' || CAST(h.o_custkey AS VARCHAR) AS compound,
          row_number() OVER (PARTITION BY h.l_orderkey
                             ORDER BY h.l_extendedprice DESC, h.l_linenumber, h.l_partkey, h.l_suppkey) AS rank,
-         p.p_brand AS gene
+         h.l_partkey AS ref_id, p.p_brand AS gene
   FROM hits h JOIN part p ON h.l_partkey = p.p_partkey""", "hits")
 cte("signatures", """
   SELECT o.o_orderkey AS sig_id, a.distil_ids,

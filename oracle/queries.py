@@ -584,3 +584,141 @@ SELECT compound, CAST(n_sigs AS BIGINT) AS n_sigs, {rnd('score_n_sigs', 'score_n
        {rnd('robustness_100', 'robustness_100')}, {rnd('score_robustness', 'score_robustness')},
        {rnd('composite_score', 'composite_score')}
 FROM conf""", "conf")
+
+
+# ------------------------------------------------------- permutation nulls --
+cte("ref_pos", "SELECT p_partkey AS ref_id, p_brand AS gene, row_number() OVER (ORDER BY p_partkey) AS pos FROM part")
+
+
+def perm_ctes(n_perm: int) -> str:
+    p = f"np{n_perm}"
+    cte(f"{p}_permuted", f"""
+  SELECT pp.perm, pp.ref_id, rp.gene FROM (
+    SELECT r.perm, r.ref_id, row_number() OVER (
+             PARTITION BY r.perm ORDER BY substr(md5('0:' || CAST(r.perm AS VARCHAR) || ':' || CAST(r.ref_id AS VARCHAR)), 1, 13),
+             r.ref_id) AS pos
+    FROM (SELECT perm, p_partkey AS ref_id FROM part, range({n_perm}) t(perm)) r) pp
+  JOIN ref_pos rp ON rp.pos = pp.pos""", "ref_pos")
+    cte(f"{p}_w1", f"""
+  SELECT perm, cp_sig, compound, gene FROM (
+    SELECT perm, cp_sig, compound, gene, row_number() OVER (PARTITION BY perm, cp_sig ORDER BY first_rank) AS pos
+    FROM (SELECT x.perm, h.cp_sig, h.compound, x.gene, min(h.rank) AS first_rank
+          FROM ranked_hits h JOIN {p}_permuted x ON x.ref_id = h.ref_id
+          WHERE x.gene IS NOT NULL GROUP BY x.perm, h.cp_sig, h.compound, x.gene))
+  WHERE pos <= 100""", "ranked_hits", f"{p}_permuted")
+    cte(f"{p}_mrp", f"""
+  SELECT *, CASE WHEN n_candidates = 1 THEN 100.0
+                 ELSE 100.0 * (1.0 - (rank1 - 1) / (n_candidates - 1.0)) END AS percentile
+  FROM (SELECT perm, compound, gene, robustness,
+               rank() OVER (PARTITION BY perm, compound ORDER BY robustness DESC) AS rank1,
+               count(*) OVER (PARTITION BY perm, compound) AS n_candidates
+        FROM (SELECT s.perm, s.compound, s.gene, s.n_support / a.n_cp_sigs AS robustness
+              FROM (SELECT perm, compound, gene, count(DISTINCT cp_sig) AS n_support FROM {p}_w1
+                    GROUP BY perm, compound, gene) s
+              LEFT JOIN a3 a ON a.compound = s.compound))""", f"{p}_w1", "a3")
+    return p
+
+
+_p200 = perm_ctes(200)
+_p2 = perm_ctes(2)
+SQL["permute_labels"] = build("SELECT perm, ref_id, gene FROM np2_permuted", "np2_permuted")
+
+cte("e14_obs", """
+  SELECT n.compound, t.target AS target_gene, m.rank1, m.percentile, n.n_candidates, m.robustness AS value
+  FROM (SELECT compound, max(n_candidates) AS n_candidates FROM mrp GROUP BY compound) n
+  JOIN (SELECT compound, target FROM targets WHERE target_order = 1) t ON t.compound = n.compound
+  JOIN mrp m ON m.compound = n.compound AND m.gene = t.target""", "mrp", "targets")
+cte("e14_null", """
+  SELECT n.perm, n.compound, m.rank1, m.percentile
+  FROM (SELECT perm, compound, max(n_candidates) AS n_candidates FROM np200_mrp GROUP BY perm, compound) n
+  JOIN (SELECT compound, target FROM targets WHERE target_order = 1
+        AND compound IN (SELECT compound FROM e14_obs)) t ON t.compound = n.compound
+  LEFT JOIN np200_mrp m ON m.perm = n.perm AND m.compound = n.compound AND m.gene = t.target""",
+    "np200_mrp", "targets", "e14_obs")
+SQL["shuffled_null_single"] = build(f"""
+SELECT o.compound, o.target_gene, true AS found, o.rank1 - 1 AS rank0, o.rank1, {rnd('o.percentile', 'percentile')},
+       o.n_candidates, {rnd('o.value', 'value')},
+       {rnd('s.r_mean', 'null_rank1_mean')}, {rnd('s.r_std', 'null_rank1_std')},
+       {rnd('s.p_mean', 'null_percentile_mean')}, {rnd('s.p_std', 'null_percentile_std')}
+FROM e14_obs o LEFT JOIN (
+  SELECT compound, avg(rank1) AS r_mean, stddev_samp(rank1) AS r_std, avg(percentile) AS p_mean,
+         stddev_samp(percentile) AS p_std
+  FROM e14_null GROUP BY compound) s ON s.compound = o.compound""", "e14_obs", "e14_null")
+SQL["shuffled_null_single_p"] = build(f"""
+SELECT {rnd('o.m', 'observed_mean_percentile')}, CAST(count(*) AS BIGINT) AS n_perm,
+       {rnd('(sum(CASE WHEN pp.mp >= o.m THEN 1 ELSE 0 END) + 1) / (count(*) + 1.0)', 'empirical_p')}
+FROM (SELECT perm, avg(percentile) AS mp FROM e14_null GROUP BY perm) pp, (SELECT avg(percentile) AS m FROM e14_obs) o
+GROUP BY o.m""", "e14_obs", "e14_null")
+
+cte("e15_obs", """
+  SELECT * FROM (
+    SELECT m.compound, m.gene AS target_gene, m.rank1, m.percentile, m.robustness AS value,
+           count(*) OVER (PARTITION BY m.compound) AS n_found,
+           row_number() OVER (PARTITION BY m.compound ORDER BY m.rank1, m.robustness DESC, m.gene) AS rn
+    FROM mrp m JOIN targets t ON t.compound = m.compound AND t.target = m.gene)
+  WHERE rn = 1""", "mrp", "targets")
+cte("e15_null", """
+  SELECT n.perm, n.compound, b.gene AS target_gene, b.rank1 IS NOT NULL AS found,
+         CASE WHEN b.rank1 IS NOT NULL THEN b.rank1 ELSE n.n_candidates + 1 END AS rank1,
+         CASE WHEN b.rank1 IS NOT NULL THEN b.percentile ELSE 0.0 END AS percentile,
+         b.robustness AS value
+  FROM (SELECT perm, compound, max(n_candidates) AS n_candidates FROM np2_mrp
+        WHERE compound IN (SELECT compound FROM e15_obs) GROUP BY perm, compound) n
+  LEFT JOIN (SELECT * FROM (
+               SELECT m.perm, m.compound, m.gene, m.rank1, m.percentile, m.robustness,
+                      row_number() OVER (PARTITION BY m.perm, m.compound ORDER BY m.rank1, m.robustness DESC, m.gene) AS rn
+               FROM np2_mrp m JOIN targets t ON t.compound = m.compound AND t.target = m.gene)
+             WHERE rn = 1) b ON b.perm = n.perm AND b.compound = n.compound""", "np2_mrp", "targets", "e15_obs")
+cte("e15_summary", """
+  SELECT o.compound, o.target_gene, true AS found, o.rank1 - 1 AS rank0, o.rank1, o.percentile,
+         n.n_candidates, i.n_targets_input, o.n_found AS n_targets_found, o.value,
+         s.r_mean AS null_rank1_mean, s.r_std AS null_rank1_std, s.p_mean AS null_percentile_mean,
+         s.p_std AS null_percentile_std, s.v_mean AS null_robustness_mean, s.v_std AS null_robustness_std,
+         s.found_rate AS null_found_rate
+  FROM e15_obs o
+  JOIN (SELECT compound, max(n_candidates) AS n_candidates FROM mrp GROUP BY compound) n ON n.compound = o.compound
+  JOIN (SELECT compound, count(*) AS n_targets_input FROM targets WHERE target IS NOT NULL GROUP BY compound) i
+    ON i.compound = o.compound
+  LEFT JOIN (SELECT compound, avg(rank1) AS r_mean, stddev_samp(rank1) AS r_std, avg(percentile) AS p_mean,
+                    stddev_samp(percentile) AS p_std, avg(value) AS v_mean, stddev_samp(value) AS v_std,
+                    avg(CASE WHEN found THEN 1.0 ELSE 0.0 END) AS found_rate
+             FROM e15_null GROUP BY compound) s ON s.compound = o.compound""",
+    "e15_obs", "e15_null", "mrp", "targets")
+SQL["shuffled_null_best"] = build("SELECT compound, target_gene, found, rank0, rank1, " + ", ".join(
+    [rnd("percentile", "percentile"), "CAST(n_candidates AS BIGINT) AS n_candidates", "n_targets_input",
+     "CAST(n_targets_found AS BIGINT) AS n_targets_found", rnd("value", "value")]
+    + [rnd(c, c) for c in ("null_rank1_mean", "null_rank1_std", "null_percentile_mean", "null_percentile_std",
+                           "null_robustness_mean", "null_robustness_std", "null_found_rate")])
+    + " FROM e15_summary", "e15_summary")
+
+
+def _ep(col: str, obs: str, op: str) -> str:
+    return (f"(SELECT CASE WHEN count({col}) > 0 THEN (sum(CASE WHEN {col} {op} {obs} THEN 1 ELSE 0 END) + 1) "
+            f"/ (count({col}) + 1.0) END FROM (SELECT perm, avg(rank1) AS mean_rank1, avg(percentile) AS mean_percentile, "
+            f"avg(value) AS mean_robustness FROM e15_null GROUP BY perm) WHERE {col} IS NOT NULL)")
+
+
+SQL["empirical_p"] = build(f"""
+SELECT {rnd('r', 'observed_mean_rank1')}, {rnd('p', 'observed_mean_percentile')}, {rnd('v', 'observed_mean_robustness')},
+       {rnd(_ep('mean_rank1', 'o.r', '<='), 'empirical_p_mean_rank1_lower')},
+       {rnd(_ep('mean_percentile', 'o.p', '>='), 'empirical_p_mean_percentile_higher')},
+       {rnd(_ep('mean_robustness', 'o.v', '>='), 'empirical_p_mean_robustness_higher')}
+FROM (SELECT avg(rank1) AS r, avg(percentile) AS p, avg(value) AS v FROM e15_summary) o""", "e15_summary", "e15_null")
+SQL["cumulative_hit_curve"] = build(f"""
+SELECT k.k, {rnd('CASE WHEN count(d.compound) > 0 THEN avg(CASE WHEN d.rank1 <= k.k THEN 1.0 ELSE 0.0 END) END', 'observed_frac')},
+       {rnd('CASE WHEN count(d.compound) > 0 THEN avg(CASE WHEN d.null_rank1_mean <= k.k THEN 1.0 ELSE 0.0 END) END', 'null_mean_frac')},
+       CAST(count(d.compound) AS BIGINT) AS n_compounds
+FROM range(1, 101) k(k)
+LEFT JOIN (SELECT * FROM e15_summary WHERE rank1 IS NOT NULL AND null_rank1_mean IS NOT NULL) d ON true
+GROUP BY k.k""", "e15_summary")
+
+cte("recovery", """
+  SELECT c.*, w.best_target_rank AS robustness_rank, w.best_target_rank IS NOT NULL AS recover
+  FROM conf c JOIN (SELECT * FROM w7 WHERE matched_compound IS NOT NULL) w
+    ON lower(trim(c.compound)) = lower(trim(w.compound))""", "conf", "w7")
+SQL["recover_flag"] = build(f"""
+SELECT compound, {rnd('composite_score', 'composite_score')}, CAST(robustness_rank AS BIGINT) AS robustness_rank, recover
+FROM recovery""", "recovery")
+SQL["recovery_split"] = build(f"""
+SELECT recover, count(*) AS n, {rnd('100.0 * count(*) / (SELECT count(*) FROM recovery)', 'pct')}
+FROM recovery GROUP BY recover""", "recovery")

@@ -410,3 +410,65 @@ def q_p13(spark, d):
 @register("composite_score")
 def q_p14(spark, d):
     return rounded(cf.confidence_table(spark, d))
+
+
+# ------------------------------------------------------- permutation nulls --
+
+from ..operators import nulls as nl  # noqa: E402
+
+N_PERM_SINGLE = 200      # reference: panel D null
+N_PERM_BEST = 2          # reference: panels E1/E2 null
+
+
+@register("permute_labels")
+def q_e13(spark, d):
+    return nl.permute_labels(fx.ref_genes(Tables(spark, d)), N_PERM_BEST)
+
+
+def _single(spark, d):
+    obs, null = gr.null_tables(spark, d, N_PERM_SINGLE)
+    return nl.shuffled_null_single(obs, null, gr.single_targets(Tables(spark, d)))
+
+
+@register("shuffled_null_single")
+def q_e14(spark, d):
+    return rounded(_single(spark, d)[0])
+
+
+@register("shuffled_null_single_p")
+def q_e14p(spark, d):
+    return rounded(_single(spark, d)[3])
+
+
+def _best(spark, d):
+    obs, null = gr.null_tables(spark, d, N_PERM_BEST)
+    return nl.shuffled_null_best(obs, null, fx.targets(Tables(spark, d)))
+
+
+@register("shuffled_null_best")
+def q_e15(spark, d):
+    return rounded(_best(spark, d)[0])
+
+
+@register("empirical_p")
+def q_e16(spark, d):
+    return rounded(_best(spark, d)[3])
+
+
+@register("cumulative_hit_curve")
+def q_w12(spark, d):
+    return rounded(nl.cumulative_hit_curve(_best(spark, d)[0], 100))
+
+
+@register("recover_flag")
+def q_p15(spark, d):
+    r = gr.recovery(spark, d)
+    return rounded(r.select("compound", "composite_score", "robustness_rank", "recover"))
+
+
+@register("recovery_split")
+def q_e20(spark, d):
+    r = gr.recovery(spark, d)
+    n = r.agg(F.count(F.lit(1))).scalar()
+    return rounded(r.groupBy("recover").agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("pct", 100.0 * F.col("n") / n))

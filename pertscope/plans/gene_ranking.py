@@ -41,3 +41,31 @@ def knn_robustness(spark, sf_dir: str, k_neighbors: int = 1000, k: int = K_GENES
 
 def single_targets(t: Tables) -> DataFrame:
     return fx.targets(t).filter(F.col("target_order") == 1).select("compound", "target")
+
+
+def null_tables(spark, sf_dir: str, n_perm: int, seed: int = 0, k: int = K_GENES):
+    """Observed and permuted robustness rank tables for the null analyses."""
+    from ..operators import nulls
+    from ..session import materialize
+    t = Tables(spark, sf_dir)
+    _, cg, _ = robustness_tables(spark, sf_dir, k)
+    observed = rk.min_rank_percentile(cg)
+    permuted = nulls.permute_labels(fx.ref_genes(t), n_perm, seed)
+    null = nulls.null_robustness(fx.ranked_hits(t), permuted, fx.cp_signatures(t), k)
+    # the null table is n_perm times the observed one: write it once
+    return observed, materialize(null, "null_ranks")
+
+
+def recovery(spark, sf_dir: str) -> DataFrame:
+    """Confidence rows of compounds matched to a known-target entry, with
+    the best target rank and whether a target was recovered (normalised keys
+    on both sides)."""
+    from .confidence import confidence_table
+    from ..functions.labels import normalize_compound
+    t = Tables(spark, sf_dir)
+    _, _, top = robustness_tables(spark, sf_dir)
+    pos = rk.best_target_position(top, fx.targets(t)).filter(F.col("note") == "ok")
+    conf = confidence_table(spark, sf_dir)
+    keyed = pos.select(normalize_compound("compound").alias("key"), F.col("best_target_rank").alias("robustness_rank"))
+    return (conf.withColumn("key", normalize_compound("compound")).join(keyed, "key")
+            .drop("key").withColumn("recover", F.col("robustness_rank").isNotNull()))
