@@ -722,3 +722,132 @@ FROM recovery""", "recovery")
 SQL["recovery_split"] = build(f"""
 SELECT recover, count(*) AS n, {rnd('100.0 * count(*) / (SELECT count(*) FROM recovery)', 'pct')}
 FROM recovery GROUP BY recover""", "recovery")
+
+
+# ----------------------------------------------------- ingest, QC, prep --
+cte("expr_long", """
+  SELECT sig_id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value
+  FROM (SELECT sig_id, embedding::DOUBLE[] AS v FROM profiles)""", "profiles")
+SQL["landmark_filter"] = build(f"SELECT sig_id, pos, {rnd('value', 'value')} FROM expr_long WHERE pos % 9 <> 0",
+                               "expr_long")
+SQL["clip_negative"] = build(f"SELECT sig_id, pos, {rnd('greatest(value, 0.0)', 'value')} FROM expr_long",
+                             "expr_long")
+SQL["global_min_gate"] = build(f"""
+SELECT {rnd('m', 'global_min')}, m < 0 AS clipped FROM (SELECT min(value) AS m FROM expr_long)""", "expr_long")
+SQL["drop_empty_profiles"] = build(f"""
+SELECT sig_id, {rnd('total', 'total')} FROM (
+  SELECT sig_id, sum(CASE WHEN (SELECT min(value) FROM expr_long) < 0 THEN greatest(value, 0.0) ELSE value END) AS total
+  FROM expr_long GROUP BY sig_id) WHERE total > 0""", "expr_long")
+cte("hq_sigs", """
+  SELECT * FROM signatures WHERE qc_pass = '1' AND is_hiq = '1' AND CAST(cc_q75 AS DOUBLE) > 0.2
+    AND CAST(tas AS DOUBLE) >= 0.2 AND CAST(batch_effect_tstat_pct AS DOUBLE) < 95""", "signatures")
+cte("instances", """
+  SELECT CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)
+           AS instance_id,
+         CASE WHEN l_partkey % 6 = 0 THEN '0' ELSE '1' END AS qc_pass
+  FROM lineitem""")
+SQL["hq_signature_filter"] = build("SELECT sig_id FROM hq_sigs", "hq_sigs")
+SQL["explode_instance_ids"] = build("""
+SELECT sig_id, unnest(string_split(distil_ids, '|')) AS instance_id FROM signatures""", "signatures")
+SQL["hq_instances"] = build("""
+SELECT instance_id FROM instances
+WHERE qc_pass = '1' AND instance_id IN (SELECT unnest(string_split(distil_ids, '|')) FROM hq_sigs)""",
+                            "instances", "hq_sigs")
+SQL["map_tas_to_instances"] = build("""
+SELECT i.instance_id, coalesce(CAST(h.tas AS VARCHAR), 'nan') AS tas
+FROM instances i
+LEFT JOIN (SELECT inst, max(sig_id) AS sig_id FROM (
+             SELECT sig_id, unnest(string_split(distil_ids, '|')) AS inst FROM hq_sigs) GROUP BY inst) m
+  ON m.inst = i.instance_id
+LEFT JOIN hq_sigs h ON h.sig_id = m.sig_id""", "instances", "hq_sigs")
+cte("label_strings", """
+  SELECT c.pert_id,
+         CASE WHEN l.m IS NULL THEN NULL
+              WHEN c.pert_id % 4 = 0 THEN '[' || array_to_string(list_transform(l.m, lambda x: '''' || x || ''''), ', ') || ']'
+              WHEN c.pert_id % 4 = 1 THEN array_to_string(l.m, '|')
+              WHEN c.pert_id % 4 = 2 THEN ' ' || array_to_string(l.m, ' ; ') || ' '
+              ELSE array_to_string(l.m, ';') || ';nan' END AS raw
+  FROM (SELECT DISTINCT pert_id FROM cp_profiles) c
+  LEFT JOIN (SELECT pert_id, list_sort(list(moa)) AS m FROM pert_moa GROUP BY pert_id) l ON l.pert_id = c.pert_id""",
+    "cp_profiles", "pert_moa")
+cte("label_clean", """
+  SELECT pert_id, CASE WHEN raw IS NULL THEN []::VARCHAR[] ELSE
+    list_sort(list_distinct(list_transform(list_filter(list_transform(
+      CASE WHEN starts_with(trim(raw), '[') AND ends_with(trim(raw), ']')
+           THEN regexp_extract_all(trim(raw), '''([^'']*)''', 1)
+           ELSE regexp_split_to_array(trim(raw), '[;|]') END,
+      lambda x: trim(x)), lambda x: x NOT IN ('', 'nan', 'None')), lambda x: lower(x)))) END AS c
+  FROM label_strings""", "label_strings")
+SQL["clean_label_set"] = build("""
+SELECT pert_id, array_to_string(c, ';') AS labels, len(c) AS n_labels FROM label_clean""", "label_clean")
+SQL["label_set_split"] = build("""
+SELECT pert_id, array_to_string(c, '#') AS items, len(c) AS n_items FROM (
+  SELECT pert_id, CASE WHEN raw IS NULL OR raw = '' THEN []::VARCHAR[]
+                       ELSE list_sort(list_distinct(string_split(raw, ';'))) END AS c FROM label_strings)""",
+                            "label_strings")
+SQL["category_codes"] = build("""
+SELECT sig_id, dense_rank() OVER (ORDER BY cmap_name) - 1 AS drug_code,
+       dense_rank() OVER (ORDER BY pert_type) - 1 AS type_code FROM profiles""", "profiles")
+SQL["vocab_filter"] = build(f"SELECT sig_id, pos, {rnd('value', 'value')} FROM expr_long WHERE pos % 9 <> 0",
+                            "expr_long")
+SQL["vocab_report"] = build("""
+SELECT CAST(sum(CASE WHEN pos % 9 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_matched, count(*) AS n_total
+FROM (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS pos)""")
+cte("binned", """
+  SELECT sig_id, list_transform(e, lambda x: CASE WHEN x = 0 THEN 0
+                                             ELSE len(list_filter(edges, lambda ed: ed <= x)) END) AS b
+  FROM (SELECT sig_id, e, CASE WHEN len(nz) = 0 THEN []::DOUBLE[] ELSE list_transform(range(0, 50), lambda j:
+          CASE WHEN ((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)
+                     - floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END))) >= 0.5
+               THEN nz[least(CAST(floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)) AS BIGINT) + 2, len(nz))]
+                    - (nz[least(CAST(floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)) AS BIGINT) + 2, len(nz))]
+                       - nz[CAST(floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)) AS BIGINT) + 1])
+                      * (1 - ((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)
+                              - floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END))))
+               ELSE nz[CAST(floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)) AS BIGINT) + 1]
+                    + (nz[least(CAST(floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)) AS BIGINT) + 2, len(nz))]
+                       - nz[CAST(floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)) AS BIGINT) + 1])
+                      * ((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)
+                         - floor((len(nz) - 1) * (CASE WHEN j = 49 THEN 1.0 ELSE j * (1.0::DOUBLE / 49) END)))
+          END) END AS edges
+        FROM (SELECT sig_id, e, list_sort(list_filter(e, lambda x: x <> 0)) AS nz FROM (
+                SELECT sig_id, list_transform(embedding::DOUBLE[], lambda x: greatest(x, 0.0)) AS e FROM profiles)))""",
+    "profiles")
+cte("binned_long", "SELECT sig_id, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS bin FROM binned", "binned")
+SQL["value_binning"] = build("SELECT sig_id, pos, bin FROM binned_long", "binned_long")
+SQL["random_value_mask"] = build("SELECT sig_id, pos, bin AS value FROM binned_long", "binned_long")
+SQL["tokenize_profile"] = build("""
+SELECT sig_id, 0 AS position, -1 AS gene_pos, 0 AS value FROM (SELECT DISTINCT sig_id FROM binned_long)
+UNION ALL
+SELECT sig_id, row_number() OVER (PARTITION BY sig_id ORDER BY pos) AS position, pos AS gene_pos, bin AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY sig_id ORDER BY md5(CAST(sig_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR))) AS r
+      FROM binned_long WHERE bin <> 0) WHERE r <= 999""", "binned_long")
+
+
+def _bucket(key: str, seed: int = 0) -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % 10)"
+
+
+SQL["train_valid_split"] = build(f"""
+SELECT sig_id, CASE WHEN {_bucket('sig_id')} < 1 THEN 'valid' ELSE 'train' END AS split FROM profiles""", "profiles")
+SQL["group_holdout_split"] = build(f"""
+SELECT sig_id, pert_id, CASE WHEN {_bucket('pert_id')} < 1 THEN 'test' ELSE 'train' END AS split FROM profiles""",
+                                   "profiles")
+SQL["normalize_key"] = build("""
+SELECT compound, lower(trim(compound)) AS compound_key, target, upper(trim(target)) AS gene_key FROM targets""",
+                             "targets")
+_short = "p_type"
+for _old, _new in [("inhibitor", "inh."), ("agonist", "ago."), ("antagonist", "antag."), ("receptor", "rec."),
+                   ("modulator", "mod."), ("sensitizer", "sens."), ("Tyrosine kinase", "TK"),
+                   ("Protein synthesis", "Prot. synth."), ("Estrogen", "ER"), ("Dopamine", "DA"),
+                   ("Glucocorticoid", "GC"), ("Insulin", "Ins.")]:
+    _short = f"replace({_short}, '{_old}', '{_new}')"
+SQL["label_shortening"] = f"""
+SELECT p_type, trim(regexp_replace({_short}, '\\s+', ' ', 'g')) AS short FROM (SELECT DISTINCT p_type FROM part)"""
+SQL["concat_matrices"] = build("SELECT sig_id, pert_type FROM profiles", "profiles")
+SQL["key_match_signatures"] = build("SELECT cmap_name, min(sig_id) AS sig_id FROM profiles GROUP BY cmap_name",
+                                    "profiles")
+SQL["read_profiles_subset"] = build("""
+SELECT sig_id, pert_id FROM profiles
+WHERE pert_type = 'trt_cp' AND qc_pass = '1' AND sig_id IN (SELECT sig_id FROM signatures)""",
+                                    "profiles", "signatures")

@@ -472,3 +472,168 @@ def q_e20(spark, d):
     n = r.agg(F.count(F.lit(1))).scalar()
     return rounded(r.groupBy("recover").agg(F.count(F.lit(1)).alias("n"))
                    .withColumn("pct", 100.0 * F.col("n") / n))
+
+
+# ----------------------------------------------------- ingest, QC, prep --
+
+from ..functions import labels as lb  # noqa: E402
+from ..functions.vectors import clip_negative  # noqa: E402
+from ..operators import clean as cl  # noqa: E402
+
+
+def _expr(spark, d):
+    return fx.expr_profiles(Tables(spark, d))
+
+
+@register("landmark_filter")
+def q_f1(spark, d):
+    t = Tables(spark, d)
+    return rounded(cl.landmark_filter(cl.to_long(fx.expr_profiles(t)), fx.gene_vocab(t)))
+
+
+@register("clip_negative")
+def q_f2(spark, d):
+    e = _expr(spark, d).withColumn("expr", clip_negative("expr"))
+    return rounded(cl.to_long(e))
+
+
+@register("global_min_gate")
+def q_a17(spark, d):
+    e = _expr(spark, d)
+    g = e.agg(F.min(F.array_min("expr")).alias("global_min"))
+    return rounded(g.select("global_min", (F.col("global_min") < 0).alias("clipped")))
+
+
+@register("drop_empty_profiles")
+def q_f3(spark, d):
+    e = cl.drop_empty_profiles(cl.global_min_gate(_expr(spark, d)))
+    return rounded(e.select("sig_id", F.aggregate("expr", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@register("hq_signature_filter")
+def q_f4(spark, d):
+    return cl.hq_signature_filter(fx.signatures(Tables(spark, d))).select("sig_id")
+
+
+@register("explode_instance_ids")
+def q_f5(spark, d):
+    return cl.explode_instance_ids(fx.signatures(Tables(spark, d)))
+
+
+@register("hq_instances")
+def q_f6(spark, d):
+    t = Tables(spark, d)
+    return cl.hq_instances(fx.signatures(t), fx.instances(t)).select("instance_id")
+
+
+@register("map_tas_to_instances")
+def q_f7(spark, d):
+    t = Tables(spark, d)
+    return cl.map_tas_to_instances(fx.signatures(t), fx.instances(t))
+
+
+@register("clean_label_set")
+def q_f8(spark, d):
+    ls = fx.label_strings(Tables(spark, d))
+    c = lb.clean_label_set("raw")
+    return ls.select("pert_id", F.array_join(c, ";").alias("labels"), F.size(c).alias("n_labels"))
+
+
+@register("label_set_split")
+def q_f9(spark, d):
+    ls = fx.label_strings(Tables(spark, d))
+    c = F.array_sort(lb.label_set_split("raw", ";"))
+    return ls.select("pert_id", F.array_join(c, "#").alias("items"), F.size(c).alias("n_items"))
+
+
+@register("category_codes")
+def q_f10(spark, d):
+    p = fx.profiles(Tables(spark, d))
+    return (cl.category_codes(cl.category_codes(p, "cmap_name", "drug_code"), "pert_type", "type_code")
+            .select("sig_id", "drug_code", "type_code"))
+
+
+@register("vocab_filter")
+def q_f11(spark, d):
+    t = Tables(spark, d)
+    vocab = fx.gene_vocab(t).filter(F.col("feature_space") == "landmark")
+    j = cl.vocab_filter(cl.to_long(fx.expr_profiles(t)), vocab)
+    return rounded(j.filter(F.col("flag") == 1).select("sig_id", "pos", "value"))
+
+
+@register("vocab_report")
+def q_f11r(spark, d):
+    t = Tables(spark, d)
+    vocab = fx.gene_vocab(t).filter(F.col("feature_space") == "landmark")
+    genes = fx.gene_vocab(t).select("pos")
+    j = cl.vocab_filter(genes.withColumn("sig_id", F.lit(0)), vocab)
+    return j.agg(F.sum(F.when(F.col("flag") == 1, 1).otherwise(0)).cast("long").alias("n_matched"),
+                 F.count(F.lit(1)).alias("n_total"))
+
+
+def _binned(spark, d):
+    e = cl.global_min_gate(_expr(spark, d))
+    return cl.bin_values(e.select("sig_id", "expr"), "expr", "binned", 51).select(
+        "sig_id", F.col("binned").alias("expr"))
+
+
+@register("value_binning")
+def q_f12(spark, d):
+    return cl.to_long(_binned(spark, d)).withColumnRenamed("value", "bin")
+
+
+@register("tokenize_profile")
+def q_f13(spark, d):
+    return cl.tokenize(cl.to_long(_binned(spark, d)), 1000)
+
+
+@register("random_value_mask")
+def q_f14(spark, d):
+    b = _binned(spark, d)
+    m = b.select("sig_id", cl.random_value_mask(F.col("expr"), F.col("sig_id"), 0.0).alias("expr"))
+    return cl.to_long(m)
+
+
+@register("train_valid_split")
+def q_f15(spark, d):
+    return cl.train_valid_split(fx.profiles(Tables(spark, d)).select("sig_id"), "sig_id")
+
+
+@register("group_holdout_split")
+def q_f16(spark, d):
+    return cl.group_holdout_split(fx.profiles(Tables(spark, d)).select("sig_id", "pert_id"), "pert_id")
+
+
+@register("normalize_key")
+def q_f18(spark, d):
+    tg = fx.targets(Tables(spark, d))
+    return tg.select("compound", lb.normalize_compound("compound").alias("compound_key"), "target",
+                     lb.normalize_gene("target").alias("gene_key"))
+
+
+@register("label_shortening")
+def q_f22(spark, d):
+    p = Tables(spark, d).part.select("p_type").distinct()
+    return p.select("p_type", lb.shorten_label("p_type").alias("short"))
+
+
+@register("concat_matrices")
+def q_j6(spark, d):
+    t = Tables(spark, d)
+    a = fx.compound_profiles(t).select("sig_id", "pert_type")
+    b = fx.knockdown_profiles(t).select("sig_id", "pert_type")
+    return a.unionByName(b)
+
+
+@register("key_match_signatures")
+def q_j7(spark, d):
+    p = fx.profiles(Tables(spark, d))
+    return cl.key_match_first(p, "cmap_name", "sig_id").select("cmap_name", "sig_id")
+
+
+@register("read_profiles_subset")
+def q_s5(spark, d):
+    t = Tables(spark, d)
+    keep = fx.signatures(t).select(F.col("sig_id").alias("s"))
+    p = fx.profiles(t).filter((F.col("pert_type") == "trt_cp") & (F.col("qc_pass") == "1"))
+    return p.join(keep, p.sig_id == keep.s, "left_semi").select("sig_id", "pert_id")

@@ -214,3 +214,19 @@ def external_aliases(t: Tables) -> DataFrame:
 
 def external_reference(t: Tables) -> DataFrame:
     return compound_profiles(t).filter(F.col("sig_id") % 10 != 9)
+
+
+def label_strings(t: Tables) -> DataFrame:
+    """Free-text label cells in the formats the cleaners must accept: a Python
+    list literal, '|'-joined, ';'-joined with spaces, a trailing 'nan' item,
+    and NULL for unannotated compounds."""
+    cp = compound_profiles(t).select("pert_id").distinct()
+    lab = pert_moa(t).groupBy("pert_id").agg(F.array_sort(F.collect_list("moa")).alias("m"))
+    j = cp.join(lab, "pert_id", "left")
+    style = F.col("pert_id") % 4
+    raw = (F.when(F.col("m").isNull(), F.lit(None).cast("string"))
+           .when(style == 0, F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]")))
+           .when(style == 1, F.array_join("m", "|"))
+           .when(style == 2, F.concat(F.lit(" "), F.array_join("m", " ; "), F.lit(" ")))
+           .otherwise(F.concat(F.array_join("m", ";"), F.lit(";nan"))))
+    return j.select("pert_id", raw.alias("raw"))
