@@ -851,3 +851,103 @@ SQL["read_profiles_subset"] = build("""
 SELECT sig_id, pert_id FROM profiles
 WHERE pert_type = 'trt_cp' AND qc_pass = '1' AND sig_id IN (SELECT sig_id FROM signatures)""",
                                     "profiles", "signatures")
+
+
+# ------------------------------------------------- pairs, AUROC, external --
+cte("sampled", """
+  SELECT seed, sig_id, pert_id, cmap_name, embedding FROM (
+    SELECT CAST(s.seed AS INTEGER) AS seed, p.sig_id, p.pert_id, p.cmap_name, p.embedding,
+           row_number() OVER (PARTITION BY s.seed, p.pert_id
+                              ORDER BY md5(CAST(s.seed AS VARCHAR) || ':' || CAST(p.sig_id AS VARCHAR)), p.sig_id) AS r
+    FROM sh_profiles p, range(10) s(seed))
+  WHERE r = 1""", "sh_profiles")
+cte("sp_unit", """
+  SELECT seed, sig_id, cmap_name, space, CASE WHEN nrm > 0 THEN list_transform(v, lambda x: x / nrm) END AS u FROM (
+    SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM (
+      SELECT seed, sig_id, cmap_name, 'embedding' AS space, embedding::DOUBLE[] AS v FROM sampled
+      UNION ALL
+      SELECT seed, sig_id, cmap_name, 'raw' AS space, list_transform(embedding::DOUBLE[], lambda x: greatest(x, 0.0))
+      FROM sampled))""", "sampled")
+cte("sp_pairs", """
+  SELECT a.seed, a.space, a.sig_id AS id_a, b.sig_id AS id_b, list_inner_product(a.u, b.u) AS similarity,
+         1 - list_inner_product(a.u, b.u) AS distance, a.cmap_name = b.cmap_name AS same
+  FROM sp_unit a JOIN sp_unit b ON a.seed = b.seed AND a.space = b.space AND a.sig_id < b.sig_id""", "sp_unit")
+SQL["stratified_sample"] = build("SELECT seed, pert_id, sig_id FROM sampled", "sampled")
+SQL["pairwise_cosine"] = build(f"""
+SELECT seed, id_a, id_b, {rnd('distance', 'distance')} FROM sp_pairs WHERE space = 'embedding'""", "sp_pairs")
+SQL["same_label_pairs"] = build("SELECT seed, id_a, id_b, same FROM sp_pairs WHERE space = 'embedding'", "sp_pairs")
+
+
+def auc_sql(src: str, keys: str, score: str, label: str) -> str:
+    return f"""
+SELECT {keys}, CAST(P AS BIGINT) AS n_pos, CAST(N AS BIGINT) AS n_neg,
+       {rnd('CASE WHEN P > 0 AND N > 0 THEN (rpos - P * (P + 1) / 2.0) / (P * N) END', 'auroc')}
+FROM (SELECT {keys}, sum(pos * (before + (pos + neg + 1) / 2.0)) AS rpos, sum(pos) AS P, sum(neg) AS N
+      FROM (SELECT *, coalesce(sum(pos + neg) OVER (PARTITION BY {keys} ORDER BY s
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM (SELECT {keys}, {score} AS s, sum(CASE WHEN {label} THEN 1 ELSE 0 END) AS pos,
+                         sum(CASE WHEN {label} THEN 0 ELSE 1 END) AS neg
+                  FROM {src} WHERE {score} IS NOT NULL GROUP BY {keys}, {score}))
+      GROUP BY {keys})"""
+
+
+SQL["repeated_auroc"] = build(auc_sql("sp_pairs", "seed, space", "similarity", "same"), "sp_pairs")
+cte("e8_thr", """
+  SELECT seed, quantile_cont(distance, 0.001) AS threshold FROM sp_pairs WHERE space = 'raw' GROUP BY seed""", "sp_pairs")
+cte("e8_lab", """
+  SELECT e.seed, e.similarity, r.distance < t.threshold AS positive
+  FROM sp_pairs e JOIN sp_pairs r ON r.seed = e.seed AND r.id_a = e.id_a AND r.id_b = e.id_b AND r.space = 'raw'
+  JOIN e8_thr t ON t.seed = e.seed
+  WHERE e.space = 'embedding'""", "sp_pairs", "e8_thr")
+SQL["percentile_positive"] = build(f"""
+SELECT t.seed, {rnd('t.threshold', 'threshold')}, a.n_pos, a.n_neg, a.auroc
+FROM e8_thr t JOIN ({auc_sql('e8_lab', 'seed', 'similarity', 'positive')}) a ON a.seed = t.seed""",
+                                   "e8_thr", "e8_lab")
+
+cte("hext", """
+  SELECT e.sig_id, e.treatment, a.ref_name, e.embedding FROM (
+    SELECT sig_id, 'X' || CAST(pert_id AS VARCHAR) AS treatment, embedding FROM cp_profiles WHERE sig_id % 10 = 9) e
+  JOIN (SELECT DISTINCT 'X' || CAST(pert_id AS VARCHAR) AS treatment, cmap_name AS ref_name FROM cp_profiles
+        WHERE pert_id % 11 <> 0) a ON a.treatment = e.treatment""", "cp_profiles")
+cte("xd", """
+  SELECT h.sig_id AS id_a, r.sig_id AS id_b, h.treatment, h.ref_name, r.cmap_name,
+         1 - list_inner_product(h.u, r.u) AS distance, r.cmap_name = h.ref_name AS same
+  FROM (SELECT sig_id, treatment, ref_name, list_transform(v, lambda x: x / nrm) AS u FROM (
+          SELECT *, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS nrm
+          FROM hext)) h,
+       (SELECT sig_id, cmap_name, list_transform(v, lambda x: x / nrm) AS u FROM (
+          SELECT sig_id, cmap_name, embedding::DOUBLE[] AS v,
+                 sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS nrm
+          FROM cp_profiles WHERE sig_id % 10 <> 9)) r""", "hext", "cp_profiles")
+cte("w9", """
+  SELECT id_a AS sig_id, treatment, ref_name, rank0, n_compounds, d AS true_distance, rank0 / n_compounds AS rel_rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d, cmap_name) - 1 AS rank0,
+               count(*) OVER (PARTITION BY id_a) AS n_compounds
+        FROM (SELECT id_a, treatment, ref_name, cmap_name, min(distance) AS d FROM xd GROUP BY ALL))
+  WHERE cmap_name = ref_name""", "xd")
+SQL["harmonize_names"] = build("SELECT sig_id, treatment, ref_name FROM hext", "hext")
+SQL["cross_cosine"] = build(f"SELECT id_a, id_b, {rnd('distance', 'distance')} FROM xd", "xd")
+SQL["background_vs_same"] = build(f"""
+SELECT id_a, same, count(*) AS n, {rnd('avg(distance)', 'mean_distance')}, {rnd('min(distance)', 'min_distance')}
+FROM xd GROUP BY id_a, same""", "xd")
+SQL["argsort_unique_rank"] = build(f"""
+SELECT sig_id, treatment, ref_name, rank0, n_compounds, {rnd('true_distance', 'true_distance')},
+       {rnd('rel_rank', 'rel_rank')} FROM w9""", "w9")
+SQL["best_example_per_group"] = build(f"""
+SELECT treatment, arg_min(sig_id, (rank0, sig_id)) AS sig_id, min(rank0) AS rank0,
+       {rnd('arg_min(true_distance, (rank0, sig_id))', 'true_distance')}, count(*) AS n_queries
+FROM w9 GROUP BY treatment""", "w9")
+SQL["kde_grid"] = build(f"""
+SELECT s.set, CAST(g.g AS INTEGER) AS g, {rnd('m.lo + g.g * (m.hi - m.lo) / 199', 'x')},
+       {rnd('sum(exp(-0.5 * power((m.lo + g.g * (m.hi - m.lo) / 199 - s.distance) / b.bw, 2))) / (max(b.n) * max(b.bw) * sqrt(2 * pi()))', 'density')}
+FROM (SELECT CASE WHEN same THEN 'same' ELSE 'background' END AS set, distance FROM xd) s
+JOIN (SELECT CASE WHEN same THEN 'same' ELSE 'background' END AS set, count(distance) AS n,
+             stddev_samp(distance) * power(count(distance), -0.2) AS bw FROM xd GROUP BY 1) b ON b.set = s.set
+CROSS JOIN (SELECT min(distance) AS lo, max(distance) AS hi FROM xd) m
+CROSS JOIN range(200) g(g)
+GROUP BY s.set, g.g, m.lo, m.hi""", "xd")
+SQL["ecdf_distances"] = build(f"""
+SELECT set, {rnd('distance', 'distance')}, {rnd('c', 'ecdf')} FROM (
+  SELECT set, distance, sum(n) OVER (PARTITION BY set ORDER BY distance) / sum(n) OVER (PARTITION BY set) AS c
+  FROM (SELECT CASE WHEN same THEN 'same' ELSE 'background' END AS set, distance, count(*) AS n
+        FROM xd GROUP BY 1, 2))""", "xd")

@@ -637,3 +637,75 @@ def q_s5(spark, d):
     keep = fx.signatures(t).select(F.col("sig_id").alias("s"))
     p = fx.profiles(t).filter((F.col("pert_type") == "trt_cp") & (F.col("qc_pass") == "1"))
     return p.join(keep, p.sig_id == keep.s, "left_semi").select("sig_id", "pert_id")
+
+
+# ------------------------------------------------- pairs, AUROC, external --
+
+from ..operators import pairs as prs  # noqa: E402
+from . import recap as rc  # noqa: E402
+
+
+@register("stratified_sample")
+def q_w11(spark, d):
+    return rc.sampled_knockdowns(Tables(spark, d)).select("seed", "pert_id", "sig_id")
+
+
+@register("pairwise_cosine")
+def q_v5(spark, d):
+    p = rc.space_pairs(Tables(spark, d)).filter(F.col("space") == "embedding")
+    return rounded(p.select("seed", "id_a", "id_b", "distance"))
+
+
+@register("same_label_pairs")
+def q_e9(spark, d):
+    p = rc.space_pairs(Tables(spark, d)).filter(F.col("space") == "embedding")
+    return p.select("seed", "id_a", "id_b", "same")
+
+
+@register("repeated_auroc")
+def q_e12(spark, d):
+    return rounded(rc.repeated_auroc(Tables(spark, d)))
+
+
+@register("percentile_positive")
+def q_e8(spark, d):
+    return rounded(rc.percentile_positive(Tables(spark, d)))
+
+
+@register("harmonize_names")
+def q_f17(spark, d):
+    return rc.harmonized_external(Tables(spark, d)).select("sig_id", "treatment", "ref_name")
+
+
+@register("cross_cosine")
+def q_v6(spark, d):
+    return rounded(rc.external_distances(Tables(spark, d)).select("id_a", "id_b", "distance"))
+
+
+@register("background_vs_same")
+def q_e19(spark, d):
+    x = rc.external_distances(Tables(spark, d))
+    return rounded(x.groupBy("id_a", "same").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"),
+                                                 F.min("distance").alias("min_distance")))
+
+
+@register("argsort_unique_rank")
+def q_w9(spark, d):
+    return rounded(rc.unique_rank(rc.external_distances(Tables(spark, d))))
+
+
+@register("best_example_per_group")
+def q_w10(spark, d):
+    return rounded(rc.best_example(rc.unique_rank(rc.external_distances(Tables(spark, d)))))
+
+
+@register("kde_grid")
+def q_a16(spark, d):
+    x = rc.external_distances(Tables(spark, d)).withColumn("set", F.when(F.col("same"), "same").otherwise("background"))
+    return rounded(rc.kde_grid(x, "distance", "set", 200).select("set", "g", "x", "density"))
+
+
+@register("ecdf_distances")
+def q_a15(spark, d):
+    x = rc.external_distances(Tables(spark, d)).withColumn("set", F.when(F.col("same"), "same").otherwise("background"))
+    return rounded(stats.ecdf(x, "distance", by=["set"]))
