@@ -951,3 +951,25 @@ SELECT set, {rnd('distance', 'distance')}, {rnd('c', 'ecdf')} FROM (
   SELECT set, distance, sum(n) OVER (PARTITION BY set ORDER BY distance) / sum(n) OVER (PARTITION BY set) AS c
   FROM (SELECT CASE WHEN same THEN 'same' ELSE 'background' END AS set, distance, count(*) AS n
         FROM xd GROUP BY 1, 2))""", "xd")
+
+
+# ------------------------------------------- fingerprints, embedding, LSH --
+cte("fp", """
+  SELECT seed, doc_id, list_distinct(list_transform(string_split(text, ' '),
+           lambda x: CAST(CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) % 2048 AS INTEGER))) AS bits
+  FROM (SELECT * FROM (
+          SELECT CAST(s.seed AS INTEGER) AS seed, d.doc_id, d.text,
+                 row_number() OVER (PARTITION BY s.seed, d.source || '/' || d.lang
+                                    ORDER BY md5(CAST(s.seed AS VARCHAR) || ':' || CAST(d.doc_id AS VARCHAR)), d.doc_id) AS r
+          FROM documents d, range(10) s(seed))
+        WHERE r = 1)""")
+SQL["tanimoto_distance"] = build(f"""
+SELECT a.seed, a.doc_id AS id_a, b.doc_id AS id_b,
+       {rnd("1 - CASE WHEN len(list_distinct(list_concat(a.bits, b.bits))) = 0 THEN 0.0 ELSE len(list_intersect(a.bits, b.bits)) / len(list_distinct(list_concat(a.bits, b.bits))) END", 'distance')}
+FROM fp a JOIN fp b ON a.seed = b.seed AND a.doc_id < b.doc_id""", "fp")
+SQL["batch_embed"] = build(f"""
+SELECT e.sig_id, CAST(w.j AS INTEGER) AS pos,
+       {rnd("CAST(sum(CAST(e.x AS DOUBLE) * (((7 * e.i + 3 * w.j) % 11) - 5) / 10.0) AS FLOAT)", 'value')}
+FROM (SELECT sig_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM profiles) e,
+     range(16) w(j)
+GROUP BY e.sig_id, w.j""", "profiles")

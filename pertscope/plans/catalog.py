@@ -709,3 +709,47 @@ def q_a16(spark, d):
 def q_a15(spark, d):
     x = rc.external_distances(Tables(spark, d)).withColumn("set", F.when(F.col("same"), "same").otherwise("background"))
     return rounded(stats.ecdf(x, "distance", by=["set"]))
+
+
+# ------------------------------------------- fingerprints, embedding, LSH --
+
+import numpy as np  # noqa: E402
+
+from ..operators import embed as emb  # noqa: E402
+
+
+def _sampled_docs(spark, d):
+    docs = Tables(spark, d).documents.select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("grp"))
+    s = prs.stratified_sample(docs, "grp", "doc_id", 1, list(range(rc.N_SAMPLES)))
+    return s.withColumn("bits", prs.fold_fingerprint(F.split(F.col("text"), " ")))
+
+
+@register("tanimoto_distance")
+def q_v7(spark, d):
+    p = prs.tanimoto_pairs(_sampled_docs(spark, d), "doc_id", "bits", by=["seed"])
+    return rounded(p.select("seed", "id_a", "id_b", "distance"))
+
+
+def projection_weights(d_in: int = 64, d_out: int = 16) -> np.ndarray:
+    """Deterministic stand-in weights: w[i, j] = ((7i + 3j) mod 11 - 5) / 10."""
+    i = np.arange(d_in)[:, None]
+    j = np.arange(d_out)[None, :]
+    return ((7 * i + 3 * j) % 11 - 5) / 10.0
+
+
+@register("batch_embed")
+def q_v8(spark, d):
+    p = fx.profiles(Tables(spark, d))
+    e = emb.batch_embed(p, "embedding", emb.linear_projection(projection_weights()), 16)
+    return rounded(e.select("sig_id", F.posexplode("embedding").alias("pos", "value")))
+
+
+@register("approx_knn_recall")
+def q_v9(spark, d):
+    t = Tables(spark, d)
+    q, r = fx.compound_profiles(t), fx.knockdown_profiles(t)
+    exact = cosine_knn(q, r, 10).select("query_id", "ref_id")
+    approx = emb.approx_knn(q, r, 10).select("query_id", "ref_id")
+    hit = exact.join(approx, ["query_id", "ref_id"], "left_semi").agg(F.count(F.lit(1)).alias("h"))
+    tot = exact.agg(F.count(F.lit(1)).alias("n"))
+    return hit.join(tot).select(F.lit(10).alias("k"), (F.col("h") / F.col("n")).alias("recall"))
