@@ -44,13 +44,20 @@ def hypergeom_support(k: Column, big_n: Column, big_k: Column, n: Column) -> tup
 def hypergeom_sf(k: Column, big_n: Column, big_k: Column, n: Column) -> Column:
     """P(X >= k) for X ~ Hypergeometric(population N, successes K, draws n).
 
-    Sums the pmf from k to min(K, n) with log-factorials; the sum runs over at
-    most min(K, n) - k + 1 terms.
+    One log-pmf (log-factorials) at the lower end, then the ratio recurrence
+    pmf(i+1)/pmf(i) = (K-i)(n-i) / ((i+1)(N-K-n+i+1)) over i = lo..hi, so each
+    step costs four logarithms instead of nine log-factorials.
     """
-    lo = F.greatest(k, n - (big_n - big_k), F.lit(0))
-    hi = F.least(big_k, n)
-    denom = log_binom(big_n, n)
-    terms = F.sequence(lo.cast("int"), hi.cast("int"))
-    total = F.aggregate(terms, F.lit(0.0),
-                        lambda acc, i: acc + F.exp(log_binom(big_k, i) + log_binom(big_n - big_k, n - i) - denom))
+    lo, hi = hypergeom_support(k, big_n, big_k, n)
+    lp0 = hypergeom_pmf_log(lo, big_n, big_k, n)
+    nk = big_n - big_k
+    terms = F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int"))
+    acc0 = F.struct(F.lit(0.0).alias("s"), lp0.cast("double").alias("lp"))
+
+    def step(acc, i):
+        nxt = (acc["lp"] + F.log((big_k - i).cast("double")) + F.log((n - i).cast("double"))
+               - F.log((i + 1).cast("double")) - F.log((nk - n + i + 1).cast("double")))
+        return F.struct((acc["s"] + F.exp(acc["lp"])).alias("s"), nxt.alias("lp"))
+
+    total = F.aggregate(terms, acc0, step, lambda acc: acc["s"])
     return F.when(lo > hi, F.lit(0.0)).otherwise(F.least(total, F.lit(1.0)))

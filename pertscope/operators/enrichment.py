@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hypergeom_pmf_log, hypergeom_support
+from ..functions.mathx import hypergeom_pmf_log, hypergeom_sf, hypergeom_support
 from ..session import materialize
 from .ranks import prefix_agg
 
@@ -68,7 +68,8 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     per_size = ov.groupBy("compound", "n_genes").agg(F.max("k").alias("k"))
     cand = per_size.join(n_in, "compound")
     triples = cand.select("k", "n_genes", "n").distinct().withColumn("big_n", big_n)
-    pv = upper_tail(triples, "k", "big_n", "n_genes", "n").drop("big_n")
+    pv = (triples.withColumn("p", hypergeom_sf(F.col("k"), F.col("big_n"), F.col("n_genes"), F.col("n")))
+          .drop("big_n"))
     best = cand.join(pv, ["k", "n_genes", "n"]).groupBy("compound").agg(F.min("p").alias("best_p"))
     compounds = query_genes.select("compound").distinct()
     out = (compounds.join(n_in, "compound", "left").join(best, "compound", "left")

@@ -20,7 +20,9 @@ def gene_sets(t: Tables) -> DataFrame:
     gs = fx.gene_sets(t)
     prio = (F.when(F.col("library") == "A", 0).when(F.col("library") == "N", 1)
             .when(F.col("library") == "R", 2).otherwise(3))
-    return en.resolve_library_overrides(gs.withColumn("priority", prio))
+    # the merged library is reference data read by several branches (universe,
+    # term sizes, overlap join): resolve it once and keep it as a table
+    return materialize(en.resolve_library_overrides(gs.withColumn("priority", prio)), "gene_sets")
 
 
 def enrichment(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.knn import cosine_knn
+from ..session import materialize
 from ..operators.propagation import Propagation, propagate_labels
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
@@ -21,12 +22,16 @@ def infer_labels(spark, sf_dir: str, *, k_raw: int = 50, weighting: str = "softm
                  min_unique_ref_compounds: int = 3) -> Propagation:
     """Unannotated compound profiles -> kNN among annotated profiles -> labels."""
     t = Tables(spark, sf_dir)
-    query = fx.unannotated_profiles(t).select("sig_id", "pert_id", "embedding")
-    ref = fx.annotated_profiles(t).select("sig_id", "pert_id", "embedding")
+    labels = materialize(_labels(t), "labels")       # small dictionary, read by many branches
+    query = fx.compound_profiles(t).join(labels.select(F.col("group").alias("pert_id")).distinct(), "pert_id",
+                                         "left_anti").select("sig_id", "pert_id", "embedding")
+    ref = fx.compound_profiles(t).join(labels.select(F.col("group").alias("pert_id")).distinct(), "pert_id",
+                                       "left_semi").select("sig_id", "pert_id", "embedding")
     # only the first k_raw neighbours are used downstream, so search for k_raw
     nb = cosine_knn(query, ref, k_raw, group_col="pert_id")
-    samples = query.select(F.col("sig_id").alias("query_id"), F.col("pert_id").alias("query_group"))
-    return propagate_labels(samples, nb, _labels(t), k_raw=k_raw, weighting=weighting,
+    samples = materialize(query.select(F.col("sig_id").alias("query_id"), F.col("pert_id").alias("query_group")),
+                          "samples")
+    return propagate_labels(samples, nb, labels, k_raw=k_raw, weighting=weighting,
                             temperature=temperature, collapse_mode=collapse_mode,
                             min_unique_ref_compounds=min_unique_ref_compounds)
 
@@ -48,10 +53,13 @@ def loo_benchmark(spark, sf_dir: str, *, k_raw: int = 50, weighting: str = "soft
     compounds - one kNN join with ``query_group <> ref_group``, not one index
     per held-out compound."""
     t = Tables(spark, sf_dir)
-    ann = fx.annotated_profiles(t).select("sig_id", "pert_id", "embedding")
+    labels = materialize(_labels(t), "labels")
+    ann = fx.compound_profiles(t).join(labels.select(F.col("group").alias("pert_id")).distinct(), "pert_id",
+                                       "left_semi").select("sig_id", "pert_id", "embedding")
     nb = cosine_knn(ann, ann, k_raw, group_col="pert_id", exclude_same_group=True)
-    samples = ann.select(F.col("sig_id").alias("query_id"), F.col("pert_id").alias("query_group"))
-    return propagate_labels(samples, nb, _labels(t), k_raw=k_raw, weighting=weighting,
+    samples = materialize(ann.select(F.col("sig_id").alias("query_id"), F.col("pert_id").alias("query_group")),
+                          "samples")
+    return propagate_labels(samples, nb, labels, k_raw=k_raw, weighting=weighting,
                             temperature=temperature, collapse_mode=collapse_mode,
                             min_unique_ref_compounds=min_unique_ref_compounds)
 
