@@ -973,3 +973,31 @@ SELECT e.sig_id, CAST(w.j AS INTEGER) AS pos,
 FROM (SELECT sig_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM profiles) e,
      range(16) w(j)
 GROUP BY e.sig_id, w.j""", "profiles")
+
+
+# ------------------------------------------------------------- remaining --
+SQL["count_overlay"] = build(f"""
+SELECT top_moa, count_all, count_filt, {rnd('perc_all', 'perc_all')}, {rnd('perc_filt', 'perc_filt')},
+       {_short.replace('p_type', 'top_moa').join(['trim(regexp_replace(', ", '\\\\s+', ' ', 'g')) AS top_moa_short"])}
+FROM (SELECT top_moa, count(*) AS count_all, sum(CASE WHEN top_conf > 0.25 THEN 1 ELSE 0 END) AS count_filt,
+             count(*) / (SELECT count(*) FROM bench WHERE top_moa IS NOT NULL) * 100 AS perc_all,
+             sum(CASE WHEN top_conf > 0.25 THEN 1 ELSE 0 END) / (SELECT count(*) FROM bench WHERE top_moa IS NOT NULL) * 100
+               AS perc_filt
+      FROM bench WHERE top_moa IS NOT NULL GROUP BY top_moa)
+WHERE count_filt > 0
+ORDER BY count_filt DESC, top_moa LIMIT 10""", "bench")
+SQL["l2_normalize"] = build(f"""
+SELECT sig_id, generate_subscripts(u, 1) - 1 AS pos, {rnd('unnest(u)', 'value')} FROM (
+  SELECT sig_id, CASE WHEN nrm = 0 THEN v ELSE list_transform(v, lambda x: x / nrm) END AS u FROM (
+    SELECT sig_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS nrm
+    FROM profiles))""", "profiles")
+SQL["closest_per_group"] = build(f"""
+SELECT query_id, ref_group, {rnd('d', 'distance')} FROM inf_cmp0""", "inf_cmp0")
+SQL["neighbor_weights"] = build(f"""
+SELECT query_id, ref_group, {rnd('w', 'w')}, n_unique FROM inf_coll_all""", "inf_coll_all")
+SQL["lookup_left"] = build("""
+SELECT p.sig_id, t.true_moa FROM profiles p LEFT JOIN true_sets t ON t.pert_id = p.pert_id""", "profiles", "true_sets")
+SQL["read_matrix_subset"] = build(f"""
+SELECT l.sig_id, l.pos, {rnd('l.value', 'value')} FROM expr_long l JOIN profiles p ON p.sig_id = l.sig_id
+WHERE p.pert_type = 'trt_sh' AND l.pos % 9 <> 0""", "expr_long", "profiles")
+SQL["count_overlay"] = SQL["count_overlay"].replace("'\\\\s+'", "'\\s+'")

@@ -314,3 +314,18 @@ def classification_metrics(df: DataFrame, truth: str, pred: str, by: list[str] |
     return agg.select(*by, F.col("n").cast("long").alias("n"), (F.col("correct") / F.col("n")).alias("accuracy"),
                       (1 - F.col("correct") / F.col("n")).alias("error_rate"),
                       "macro_precision", "macro_recall", "macro_f1")
+
+
+def count_overlay(df: DataFrame, label: str, conf: str, threshold: float = 0.25, top_n: int = 10) -> DataFrame:
+    """A10: per label, count over all rows and over rows with ``conf`` strictly
+    above the threshold, both as % of all labelled rows; the report keeps the
+    ``top_n`` labels by filtered count (ties by label)."""
+    d = df.filter(F.col(label).isNotNull())
+    n_total = d.agg(F.count(F.lit(1))).scalar()
+    c = d.groupBy(label).agg(F.count(F.lit(1)).alias("count_all"),
+                             F.sum(F.when(F.col(conf) > threshold, 1).otherwise(0)).alias("count_filt"))
+    top = c.filter(F.col("count_filt") > 0).orderBy(F.col("count_filt").desc(), F.col(label)).limit(top_n)
+    return top.select(label, F.col("count_all").cast("long").alias("count_all"),
+                      F.col("count_filt").cast("long").alias("count_filt"),
+                      (F.col("count_all") / n_total * 100).alias("perc_all"),
+                      (F.col("count_filt") / n_total * 100).alias("perc_filt"))

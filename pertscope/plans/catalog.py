@@ -753,3 +753,60 @@ def q_v9(spark, d):
     hit = exact.join(approx, ["query_id", "ref_id"], "left_semi").agg(F.count(F.lit(1)).alias("h"))
     tot = exact.agg(F.count(F.lit(1)).alias("n"))
     return hit.join(tot).select(F.lit(10).alias("k"), (F.col("h") / F.col("n")).alias("recall"))
+
+
+# ------------------------------------------------------------- remaining --
+
+from ..functions.vectors import l2_normalize  # noqa: E402
+from ..operators.propagation import collapse_neighbors  # noqa: E402
+
+
+@register("count_overlay")
+def q_a10(spark, d):
+    b = inference.benchmark_table(spark, d)
+    o = stats.count_overlay(b, "top_moa", "top_conf", 0.25, 10)
+    return rounded(o.withColumn("top_moa_short", lb.shorten_label("top_moa")))
+
+
+@register("l2_normalize")
+def q_v1(spark, d):
+    p = fx.profiles(Tables(spark, d)).select("sig_id", l2_normalize("embedding").alias("v"))
+    return rounded(p.select("sig_id", F.posexplode("v").alias("pos", "value")))
+
+
+def _inf_collapsed(spark, d):
+    t = Tables(spark, d)
+    labels = inference._labels(t)
+    query = fx.unannotated_profiles(t).select("sig_id", "pert_id", "embedding")
+    ref = fx.annotated_profiles(t).select("sig_id", "pert_id", "embedding")
+    nb = cosine_knn(query, ref, 50, group_col="pert_id")
+    return nb, labels
+
+
+@register("closest_per_group")
+def q_w8(spark, d):
+    nb, labels = _inf_collapsed(spark, d)
+    lab = labels.select(F.col("group").alias("ref_group")).distinct()
+    c = (nb.filter(F.col("rank") <= 50).join(lab, "ref_group", "left_semi")
+         .groupBy("query_id", "ref_group").agg(F.min("distance").alias("distance")))
+    return rounded(c)
+
+
+@register("neighbor_weights")
+def q_p1(spark, d):
+    nb, labels = _inf_collapsed(spark, d)
+    return rounded(collapse_neighbors(nb, labels, k_raw=50, weighting="softmax", temperature=0.07))
+
+
+@register("lookup_left")
+def q_j1(spark, d):
+    t = Tables(spark, d)
+    names = inference.true_label_sets(t)
+    return fx.profiles(t).select("sig_id", "pert_id").join(names, "pert_id", "left").select("sig_id", "true_moa")
+
+
+@register("read_matrix_subset")
+def q_s3(spark, d):
+    t = Tables(spark, d)
+    sh = fx.expr_profiles(t).filter(F.col("pert_type") == "trt_sh")
+    return rounded(cl.landmark_filter(cl.to_long(sh), fx.gene_vocab(t)))
