@@ -62,7 +62,8 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     upper-tail p over terms with overlap, 1 if none) and ``has_result`` (n > 0)."""
     universe = gene_universe(gs)
     big_n = universe.agg(F.count(F.lit(1))).scalar()
-    qg = query_genes.select("compound", "gene").distinct()
+    # the per-compound gene lists feed three branches: write them once
+    qg = materialize(query_genes.select("compound", "gene").distinct(), "query_genes")
     n_in = (qg.join(universe, "gene", "left_semi").groupBy("compound").agg(F.count(F.lit(1)).alias("n")))
     ov = term_overlap(qg, gs, min_size, max_size)
     per_size = ov.groupBy("compound", "n_genes").agg(F.max("k").alias("k"))
@@ -71,7 +72,7 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     pv = (triples.withColumn("p", hypergeom_sf(F.col("k"), F.col("big_n"), F.col("n_genes"), F.col("n")))
           .drop("big_n"))
     best = cand.join(pv, ["k", "n_genes", "n"]).groupBy("compound").agg(F.min("p").alias("best_p"))
-    compounds = query_genes.select("compound").distinct()
+    compounds = qg.select("compound").distinct()
     out = (compounds.join(n_in, "compound", "left").join(best, "compound", "left")
            .select("compound", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
                    F.when(F.col("n") > 0, F.coalesce("best_p", F.lit(1.0))).otherwise(F.lit(1.0)).alias("best_p"),

@@ -21,7 +21,7 @@ def score_batch(batch: DataFrame, reference: DataFrame, labels: DataFrame, k_raw
 
 
 def start_scoring(stream: DataFrame, reference: DataFrame, labels: DataFrame, sink_path: str,
-                  checkpoint_path: str, k_raw: int = 50):
+                  checkpoint_path: str, k_raw: int = 50, available_now: bool = False):
     """Start the query: every micro-batch is scored and appended to ``sink_path``
     (Parquet); progress lives in ``checkpoint_path`` on shared storage, so a
     restarted query resumes without re-scoring committed batches."""
@@ -29,5 +29,7 @@ def start_scoring(stream: DataFrame, reference: DataFrame, labels: DataFrame, si
         score_batch(batch, reference, labels, k_raw).withColumn("epoch", F.lit(epoch_id)) \
             .write.mode("append").parquet(sink_path)
 
-    return (stream.writeStream.foreachBatch(run)
-            .option("checkpointLocation", checkpoint_path).start())
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path)
+    if available_now:
+        w = w.trigger(availableNow=True)     # process what is there, then stop
+    return w.start()
