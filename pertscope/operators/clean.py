@@ -157,6 +157,8 @@ def group_holdout_split(df: DataFrame, group_col: str, test_fraction_tenths: int
 
 
 def key_match_first(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """First row per key in input order."""
-    w = Window.partitionBy(key).orderBy(order_col)
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+    """First row per key in input order.  A ``min_by`` aggregate, so a key
+    holding many rows is combined map-side instead of sorted in one window."""
+    others = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("__r"))
+    return first.select(key, *[F.col(f"__r.{c}").alias(c) for c in others])

@@ -27,6 +27,21 @@ def register(name: str):
     return deco
 
 
+def normalized(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Output contract: integral columns as BIGINT, fractional as DOUBLE
+    rounded to ``digits`` places (so results compare across engines)."""
+    cols = []
+    for f in df.schema.fields:
+        t = f.dataType
+        if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
+            cols.append(F.col(f.name).cast("long").alias(f.name))
+        elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
+            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
