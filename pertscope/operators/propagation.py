@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 WEIGHTINGS = ("uniform", "inverse", "softmax")
 COLLAPSE_MODES = ("closest", "sum")
 
@@ -105,8 +107,12 @@ def propagate_labels(samples: DataFrame, neighbors: DataFrame, labels: DataFrame
     """P2/P3 + P4-P9.  ``samples(query_id, query_group)``, ``labels(group, label)``."""
     labels = labels.select("group", "label").distinct()
     n_lab = labels.groupBy("group").agg(F.count(F.lit(1)).alias("n_labels"))
-    collapsed_all = collapse_neighbors(neighbors, labels, k_raw=k_raw, weighting=weighting,
-                                       temperature=temperature, collapse_mode=collapse_mode)
+    # (sample, reference compound) weights and the sparse P table are each read
+    # by several branches below; writing them once keeps every branch from
+    # re-deriving them (and cuts lineage for executor loss)
+    collapsed_all = materialize(collapse_neighbors(neighbors, labels, k_raw=k_raw, weighting=weighting,
+                                                   temperature=temperature, collapse_mode=collapse_mode),
+                                "collapsed")
     n_unique = collapsed_all.groupBy("query_id").agg(F.max("n_unique").alias("n_unique_ref_compounds"))
     collapsed = collapsed_all.filter(F.col("n_unique") >= min_unique_ref_compounds)
 
@@ -115,9 +121,9 @@ def propagate_labels(samples: DataFrame, neighbors: DataFrame, labels: DataFrame
               .join(labels.withColumnRenamed("group", "ref_group"), "ref_group")
               .groupBy("query_id", "label")
               .agg(F.sum(F.col("w") / F.col("n_labels")).alias("raw")))
-    sample_probs = (shares.withColumn("p", F.col("raw") / (F.sum("raw").over(Window.partitionBy("query_id"))
-                                                          + F.lit(1e-12)))
-                    .select("query_id", "label", "p"))
+    sample_probs = materialize(
+        shares.withColumn("p", F.col("raw") / (F.sum("raw").over(Window.partitionBy("query_id")) + F.lit(1e-12)))
+        .select("query_id", "label", "p"), "sample_probs")
 
     sample_best = top_with_ties(sample_probs, "query_id")
     sample_tied = top_tied_labels(sample_probs, "query_id")
