@@ -67,7 +67,9 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     n_in = (qg.join(universe, "gene", "left_semi").groupBy("compound").agg(F.count(F.lit(1)).alias("n")))
     ov = term_overlap(qg, gs, min_size, max_size)
     per_size = ov.groupBy("compound", "n_genes").agg(F.max("k").alias("k"))
-    cand = per_size.join(n_in, "compound")
+    # one row per (compound, term size), read by the triple extraction and the
+    # join back: written once so the overlap join runs once
+    cand = materialize(per_size.join(n_in, "compound"), "enrichment_candidates")
     triples = cand.select("k", "n_genes", "n").distinct().withColumn("big_n", big_n)
     pv = (triples.withColumn("p", hypergeom_sf(F.col("k"), F.col("big_n"), F.col("n_genes"), F.col("n")))
           .drop("big_n"))
