@@ -1001,3 +1001,18 @@ SQL["read_matrix_subset"] = build(f"""
 SELECT l.sig_id, l.pos, {rnd('l.value', 'value')} FROM expr_long l JOIN profiles p ON p.sig_id = l.sig_id
 WHERE p.pert_type = 'trt_sh' AND l.pos % 9 <> 0""", "expr_long", "profiles")
 SQL["count_overlay"] = SQL["count_overlay"].replace("'\\\\s+'", "'\\s+'")
+
+cte("conf_long", " UNION ALL ".join(
+    f"SELECT compound, recover, '{c}' AS metric, {c} AS score FROM recovery WHERE {c} IS NOT NULL"
+    for c in ("score_n_sigs", "score_tas", "score_enrichment", "score_robustness", "composite_score")), "recovery")
+SQL["unpivot_conf_scores"] = build(f"SELECT compound, recover, metric, {rnd('score', 'score')} FROM conf_long",
+                                   "conf_long")
+SQL["score_box_summary"] = build(f"""
+SELECT q.metric, q.recover, {rnd('q1', 'q1')}, {rnd('median', 'median')}, {rnd('q3', 'q3')}, CAST(q.n AS BIGINT) AS n,
+       {rnd('max(CASE WHEN c.score <= q3 + 1.5 * (q3 - q1) THEN c.score END)', 'whisker_high')},
+       {rnd('min(CASE WHEN c.score >= q1 - 1.5 * (q3 - q1) THEN c.score END)', 'whisker_low')}
+FROM (SELECT metric, recover, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median,
+             quantile_cont(score, 0.75) AS q3, count(score) AS n
+      FROM conf_long GROUP BY metric, recover) q
+JOIN conf_long c ON c.metric = q.metric AND c.recover = q.recover
+GROUP BY q.metric, q.recover, q.q1, q.median, q.q3, q.n""", "conf_long")

@@ -825,3 +825,21 @@ def q_s3(spark, d):
     t = Tables(spark, d)
     sh = fx.expr_profiles(t).filter(F.col("pert_type") == "trt_sh")
     return rounded(cl.landmark_filter(cl.to_long(sh), fx.gene_vocab(t)))
+
+
+_SCORE_COLS = ["score_n_sigs", "score_tas", "score_enrichment", "score_robustness", "composite_score"]
+
+
+def _conf_long(spark, d):
+    r = gr.recovery(spark, d).select("compound", "recover", *_SCORE_COLS)
+    return r.unpivot(["compound", "recover"], _SCORE_COLS, "metric", "score").filter(F.col("score").isNotNull())
+
+
+@register("unpivot_conf_scores")
+def q_a14c(spark, d):
+    return rounded(_conf_long(spark, d))
+
+
+@register("score_box_summary")
+def q_a13c(spark, d):
+    return rounded(stats.five_number_summary(_conf_long(spark, d), "score", ["metric", "recover"]))
