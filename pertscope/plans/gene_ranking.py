@@ -49,7 +49,7 @@ def null_tables(spark, sf_dir: str, n_perm: int, seed: int = 0, k: int = K_GENES
     from ..session import materialize
     t = Tables(spark, sf_dir)
     _, cg, _ = robustness_tables(spark, sf_dir, k)
-    observed = rk.min_rank_percentile(cg)
+    observed = materialize(rk.min_rank_percentile(cg), "observed_ranks")
     permuted = nulls.permute_labels(fx.ref_genes(t), n_perm, seed)
     null = nulls.null_robustness(fx.ranked_hits(t), permuted, fx.cp_signatures(t), k)
     # the null table is n_perm times the observed one: write it once
