@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import clip_negative
 from ..operators import pairs as pr
 from ..operators import stats
+from ..session import materialize
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
 
@@ -33,7 +34,8 @@ def space_pairs(t: Tables) -> DataFrame:
     p = emb.unionByName(raw)
     p = (p.join(genes.withColumnRenamed("sig_id", "id_a").withColumnRenamed("cmap_name", "gene_a"), ["seed", "id_a"])
          .join(genes.withColumnRenamed("sig_id", "id_b").withColumnRenamed("cmap_name", "gene_b"), ["seed", "id_b"]))
-    return p.withColumn("same", F.col("gene_a") == F.col("gene_b"))
+    # the sampled-pair table feeds several rank computations: write it once
+    return materialize(p.withColumn("same", F.col("gene_a") == F.col("gene_b")), "sampled_pairs")
 
 
 def repeated_auroc(t: Tables) -> DataFrame:
