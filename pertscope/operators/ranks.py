@@ -98,3 +98,27 @@ def with_average_rank(df: DataFrame, value_col: str, by: list[str] | None = None
     by = list(by or [])
     ranks = average_ranks(df, value_col, by, out_col).drop("n")
     return df.join(ranks, [*by, value_col], "left")
+
+
+def exact_percentiles(df: DataFrame, col: str, quantiles: dict[str, float],
+                      by: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles (the usual definition: value at
+    position h = (N-1)*q, interpolated between floor(h) and ceil(h)) per ``by``
+    group, without gathering a group's values in one task: positions are read
+    off bucketed cumulative counts over distinct values."""
+    by = list(by or [])
+    d = df.filter(F.col(col).isNotNull())
+    vc = d.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    pre = prefix_agg(vc, col, ["n"], by=by, inclusive=True, suffix="_cum")
+    tot = vc.groupBy(*by).agg(F.sum("n").alias("__total"))
+    j = pre.join(tot, by) if by else pre.withColumn("__total", vc.agg(F.sum("n")).scalar())
+    aggs = []
+    for name, q in quantiles.items():
+        h = (F.col("__total") - 1) * F.lit(float(q))
+        aggs += [F.min(F.when(F.col("n_cum") > F.floor(h), F.col(col))).alias(f"__lo_{name}"),
+                 F.min(F.when(F.col("n_cum") > F.ceil(h), F.col(col))).alias(f"__hi_{name}"),
+                 F.first(h - F.floor(h)).alias(f"__f_{name}")]
+    agg = j.groupBy(*by).agg(*aggs)
+    outs = [(F.col(f"__lo_{n}") + F.col(f"__f_{n}") * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(n)
+            for n in quantiles]
+    return agg.select(*by, *outs)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranks import average_ranks, prefix_agg
+from .ranks import average_ranks, exact_percentiles, prefix_agg
 
 
 # ----------------------------------------------------------- calibration --
@@ -229,9 +229,8 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
 
 def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Count, exact median and mean per group."""
-    return df.groupBy(by).agg(F.count(F.col(value)).alias("n"),
-                              F.percentile(value, 0.5).alias("median"),
-                              F.avg(value).alias("mean"))
+    base = df.groupBy(by).agg(F.count(F.col(value)).alias("n"), F.avg(value).alias("mean"))
+    return base.join(exact_percentiles(df, value, {"median": 0.5}, [by]), by, "left")
 
 
 def histogram(df: DataFrame, value: str, n_bins: int = 20, by: list[str] | None = None) -> DataFrame:
@@ -252,10 +251,8 @@ def histogram(df: DataFrame, value: str, n_bins: int = 20, by: list[str] | None
 def five_number_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """q1, median, q3 (linear interpolation) and the upper whisker =
     largest value <= q3 + 1.5*IQR, per group."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"),
-                            F.percentile(value, 0.5).alias("median"),
-                            F.percentile(value, 0.75).alias("q3"),
-                            F.count(F.col(value)).alias("n"))
+    q = (exact_percentiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+         .join(df.groupBy(*by).agg(F.count(F.col(value)).alias("n")), by))
     j = df.join(q, by)
     fence = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     wh = j.groupBy(*by).agg(F.max(F.when(F.col(value) <= fence, F.col(value))).alias("whisker_high"),
