@@ -11,17 +11,23 @@ from ..functions.labels import clean_label_set
 from ..operators.enrichment import load_gene_sets
 
 
+def _read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Every column of a tab-separated file with a header, as strings, by the
+    names in the header; the order of the columns in the file does not matter."""
+    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).csv(path)
+
+
 def read_metadata_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab-separated metadata, every column read as a string; 'nan' -> NULL."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
+    df = _read_tsv(spark, path)
     return df.select(*[F.when(F.col(c) == "nan", None).otherwise(F.col(c)).alias(c) for c in columns])
 
 
 def read_compound_info(spark: SparkSession, path: str, schema: T.StructType, key_cols: list[str],
                        sentinel: str = "restricted") -> DataFrame:
     """Compound table; rows missing a key column or carrying the sentinel dropped."""
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path).dropna(subset=key_cols)
+    df = _read_tsv(spark, path)
+    df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]).dropna(subset=key_cols)
     cond = F.lit(True)
     for c in key_cols:
         cond = cond & (F.col(c) != sentinel)

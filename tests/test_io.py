@@ -32,3 +32,15 @@ def test_write_neighbors_skips_existing(spark):
     io.write_neighbors(spark.createDataFrame([(1, 1, 2, 0.1)], "query_id long, rank int, ref_id long, distance double"), out)
     io.write_neighbors(spark.createDataFrame([(9, 1, 9, 0.9)], "query_id long, rank int, ref_id long, distance double"), out)
     assert [r.query_id for r in spark.read.parquet(out).collect()] == [1]
+
+
+def test_metadata_is_read_by_column_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from pertscope.sources.io import read_compound_info, read_metadata_tsv
+    (tmp_path / "m.tsv").write_text("sig_id\tpert_id\ttas\ns1\tP1\t0.5\ns2\trestricted\tnan\n")
+    path = str(tmp_path / "m.tsv")
+    got = read_metadata_tsv(spark, path, ["tas", "sig_id"]).orderBy("sig_id").collect()
+    assert [tuple(r) for r in got] == [("0.5", "s1"), (None, "s2")]
+    schema = T.StructType([T.StructField("tas", T.DoubleType()), T.StructField("pert_id", T.StringType())])
+    assert [tuple(r) for r in read_compound_info(spark, path, schema, ["pert_id"]).collect()] == [(0.5, "P1")]
