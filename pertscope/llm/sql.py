@@ -25,7 +25,7 @@ FROM escaped GROUP BY conv_id
 QUALITY = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), w -> w <> '') AS w,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda w: w <> '') AS w,
     string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
