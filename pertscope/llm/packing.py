@@ -18,7 +18,10 @@ that runs again gives the same ids.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 END_ID = 1
+LATIN_END = "\u0250"  # letters below are in composed form, with the same properties in all Unicode versions
 PIECES = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "n_loss long")
 
@@ -109,29 +113,96 @@ class Packer:
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that drops white space: each run of
-    other characters is looked up in a memo of bounded size."""
+    """Ids of whole texts from a tokenizer that drops white space.
 
-    def __init__(self, path: str, memo: int = 300_000):
+    Each run of other characters is looked up in a memo; a run not met before
+    is split as the tokenizer's own pattern splits it, and each part goes to
+    the tokenizer's model alone, which spares building an encoding for every
+    run.  Special tokens, characters beyond the Latin blocks (whose properties
+    differ between Unicode versions) and tokenizers of another make take the
+    tokenizer's full path.
+
+    The memo is bounded: of two generations of ``memo`` runs the older is let
+    go, and runs that are met again move to the newer.
+    """
+
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, memo
-
-    def ids(self, text: str) -> np.ndarray:
-        runs = text.encode("utf-8").split()
-        memo = self.memo
-        try:
-            return np.frombuffer(b"".join([memo[r] for r in runs]), dtype="<u4")
-        except KeyError:
-            pass
-        if len(memo) > self.most:
-            memo.clear()
-        new = list({r for r in runs if r not in memo})
-        for r, e in zip(new, self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in new],
-                                                              add_special_tokens=False)):
-            memo[r] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([memo[r] for r in runs]), dtype="<u4")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), _Memo(self._new, {}), memo
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        # the dotted capital i has a lower case of two characters
+        self.special = ["\u0130", *[t["content"] for t in made.get("added_tokens") or []]]
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.parts = _parts(made)
+
+    def ids(self, text: str | bytes) -> np.ndarray:
+        runs = (text.encode("utf-8") if isinstance(text, str) else text).split()
+        if len(self.memo) > self.most:
+            self.memo = _Memo(self._new, dict(self.memo))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, runs)), dtype="<u4")
+
+    def _new(self, run: bytes) -> bytes:
+        low = run.lower()
+        if self.parts and low.isalpha():        # ASCII letters
+            return self._part(low.decode("ascii")) if low == run else self.memo[low]
+        text = run.decode("utf-8")
+        if self.parts is None or max(text) >= LATIN_END or any(t in text for t in self.special):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        parts = [p.encode("utf-8") for p in self.parts(text.lower())]
+        if len(parts) == 1 and parts[0] == run:
+            return self._part(text)
+        if len(run) <= 64:                      # parts of common length are worth remembering
+            return b"".join([self.memo[p] for p in parts])
+        return b"".join([self._part(p.decode("utf-8")) for p in parts])
+
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = self.bytes_of(part)[0][0]
+        return _packed([t.id for t in self.tokenizer.model.tokenize(part)])
+
+
+class _Memo(dict):
+    """Makes what is missing, looking first in the generation before."""
+
+    def __init__(self, make: Callable, older: dict):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.older.get(run)
+        if ids is None:
+            ids = self.make(run)
+        self[run] = ids
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _parts(made: dict) -> Callable | None:
+    """The splitting function of a tokenizer file that normalizes by NFC, white
+    space and lower case, splits by one pattern and maps bytes; else None."""
+    import regex
+
+    norm = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    pre = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if norm != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in pre] != ["Split", "ByteLevel"]:
+        return None
+    split, by_byte = pre
+    if (split.get("behavior"), split.get("invert"), by_byte.get("use_regex"), by_byte.get("add_prefix_space")) != (
+            "Removed", True, False, False) or made["model"].get("type") != "BPE":
+        return None
+    return regex.compile(split["pattern"]["Regex"]).findall
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, kept from task to task."""
+    return WordTokenizer(path)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", capacity: int = MAX_TOKENS,
@@ -152,9 +223,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         tokenizer = None
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            tokenizer = tokenizer or WordTokenizer(tokenizer_path)
+            tokenizer = tokenizer or _tokenizer(tokenizer_path)
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(key, np.concatenate([tokenizer.ids(text.as_py() or ""), end]))
+                packer.add(key, np.concatenate([tokenizer.ids(text.as_py() or b""), end]))
             if out:
                 yield _batch(out, batch.schema.field(0).type)
                 out.clear()
@@ -163,7 +234,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield _batch(out, pa.int64() if not isinstance(out[0][0], str) else pa.string())
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col("text").cast("string").alias("_text")).mapInArrow(
+    return docs.select(F.col(id_col), F.col("text").cast("string").cast("binary").alias("_text")).mapInArrow(
         run, f"{id_col} {kind}, {PIECES}")
 
 

@@ -606,3 +606,22 @@ def test_pii_odd_tables(odd, rows, nothing):
         joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
     assert pii.find_pii(nothing).count() == 0
+
+
+def test_word_tokenizer_equals_the_whole_text_path():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from pertscope.llm.packing import WordTokenizer
+    from pertscope.llm.queries import tokenizer_path
+
+    whole, own = Tokenizer.from_file(tokenizer_path()), WordTokenizer(tokenizer_path(), memo=500)
+    assert own.parts is not None
+    rng = random.Random(5)
+    pool = [*"ab'sStTlLrRe09.,!?<|>éÉİıΣσßﬁ ́\u0085 　漢か각\U00010400ǅ\x00\x1c\x7f\xad_-", " ", "\n",
+            "<|endoftext|>", "don't", "'ll", "word", "Word", "x" * 300]
+    for _ in range(5000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert own.ids(text).tolist() == want and own.ids(text.encode("utf-8")).tolist() == want, ascii(text)
