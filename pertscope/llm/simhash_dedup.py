@@ -158,7 +158,11 @@ def links(distinct_fp: DataFrame, max_bits: int) -> DataFrame:
             yield from _linked(a[:cut], f[:cut], max_bits)
         yield from _linked(held_a, held_f, max_bits)
 
-    rows = distinct_fp.select("fp").mapInArrow(replicate, "anchor int, fp long")
+    # A value makes about 60 rows: small partitions of values are dealt out first, by an
+    # expression of their own, as an exchange by fp would merge into the one of the distinct.
+    parts = int(distinct_fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (distinct_fp.select("fp").repartition(parts, F.xxhash64("fp"))
+            .mapInArrow(replicate, "anchor int, fp long"))
     return (rows.repartition("anchor").sortWithinPartitions("anchor")
             .mapInArrow(compare, "a long, b long").distinct())
 
