@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hypergeom_pmf_log, hypergeom_sf, hypergeom_support
+from ..functions.mathx import hypergeom_sf
 from ..session import materialize
 from .ranks import prefix_agg
 
@@ -84,22 +84,6 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     return materialize(out, "enrichment_best_p")
 
 
-def upper_tail(df: DataFrame, k: str, big_n: str, big_k: str, n: str, out: str = "p") -> DataFrame:
-    """Exact hypergeometric upper tail P(X >= k) per row of ``df``.
-
-    The pmf terms are exploded into rows and summed by a grouped aggregate, so
-    every term is a code-generated expression (no interpreted lambda)."""
-    lo, hi = hypergeom_support(F.col(k), F.col(big_n), F.col(big_k), F.col(n))
-    keys = [k, big_n, big_k, n]
-    terms = (df.select(*keys).distinct()
-             .withColumn("__i", F.explode(F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int"))))
-             .withColumn("__t", F.when(F.col("__i") <= hi,
-                                       F.exp(hypergeom_pmf_log(F.col("__i"), F.col(big_n), F.col(big_k), F.col(n))))
-                         .otherwise(F.lit(0.0))))
-    tail = terms.groupBy(*keys).agg(F.least(F.sum("__t"), F.lit(1.0)).alias(out))
-    return df.join(tail, keys)
-
-
 def bh_adjust(df: DataFrame, p_col: str = "p", out_col: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg step-up adjustment, capped at 1.
 

@@ -10,9 +10,10 @@ Plan (one job, no driver loop, nothing collected):
    reference row to the ``Bq`` tiles of its block column (the usual block-matrix
    multiply layout).  ``cogroup(...).applyInPandas`` hands one tile - one query
    block and one reference block - to a Python worker at a time.
-3. Inside the tile: normalise in float64, one GEMM, mask excluded pairs
-   (same group / same id), keep the local top-k per query row (all rows tied
-   with the k-th value are kept, so the merge stays exact under ties).
+3. Inside the tile: normalise in float64, one GEMM per 512 query rows, mask
+   excluded pairs (same group / same id), keep the local top-k per query row in
+   the order (distance, ref_id), ties included, so at most k candidates leave a
+   tile however many references are equal.
 4. Merge the per-tile candidates with ``row_number() over (partition by query
    order by distance, ref_id) <= k``; Spark plans this as a WindowGroupLimit,
    i.e. a partial top-k before the shuffle and a final one after.
@@ -33,6 +34,7 @@ from ..session import materialize
 
 DEFAULT_QUERY_BLOCK_ROWS = 4096
 DEFAULT_REF_BLOCK_ROWS = 16384
+GEMM_ROWS = 512                  # query rows whose distances are held at a time
 
 
 def _normalise_rows(x: np.ndarray) -> np.ndarray:
@@ -52,31 +54,35 @@ def _tile_topk(k: int, exclude_group: bool, exclude_self: bool, has_group: bool)
         cols = ["query_id", "ref_id", "distance"] + (["query_group", "ref_group"] if has_group else [])
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: [] for c in cols})
+        right = right.sort_values("rid", kind="stable", ignore_index=True)   # ties go to the lower id
         q = _normalise_rows(_stack(left["v"]))
         r = _normalise_rows(_stack(right["v"]))
-        sim = q @ r.T
         qid = left["qid"].to_numpy()
         rid = right["rid"].to_numpy()
-        if exclude_self:
-            sim[qid[:, None] == rid[None, :]] = -np.inf
         if has_group:
             codes, _ = pd.factorize(pd.concat([left["qg"], right["rg"]], ignore_index=True))
             qg_code, rg_code = codes[: len(left)], codes[len(left):]
+        found = []
+        for at in range(0, len(q), GEMM_ROWS):
+            some = slice(at, at + GEMM_ROWS)
+            dist = 1.0 - q[some] @ r.T
+            if exclude_self:
+                dist[qid[some, None] == rid[None, :]] = np.inf
             if exclude_group:
-                sim[qg_code[:, None] == rg_code[None, :]] = -np.inf
-        n_ref = sim.shape[1]
-        kk = min(k, n_ref)
-        if kk < n_ref:
-            kth = np.partition(sim, n_ref - kk, axis=1)[:, n_ref - kk]
-            keep = sim >= kth[:, None]
-        else:
-            keep = np.ones_like(sim, dtype=bool)
-        keep &= np.isfinite(sim)
-        rows, cols_idx = np.nonzero(keep)
+                dist[qg_code[some, None] == rg_code[None, :]] = np.inf
+            keep = np.isfinite(dist)
+            if k < dist.shape[1]:
+                kth = np.partition(dist, k - 1, axis=1)[:, k - 1, None]
+                nearer, tied = dist < kth, dist == kth
+                room = k - nearer.sum(axis=1, keepdims=True)
+                keep &= nearer | (tied & (np.cumsum(tied, axis=1) <= room))
+            row, col = np.nonzero(keep)
+            found.append((row + at, col, dist[row, col]))
+        rows, cols_idx, distance = (np.concatenate(x) for x in zip(*found))
         out = {
             "query_id": qid[rows],
             "ref_id": rid[cols_idx],
-            "distance": 1.0 - sim[rows, cols_idx],
+            "distance": distance,
         }
         if has_group:
             out["query_group"] = left["qg"].to_numpy()[rows]
@@ -104,6 +110,8 @@ def cosine_knn(query: DataFrame, ref: DataFrame, k: int, *,
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    if exclude_same_group and group_col is None:
+        raise ValueError("exclude_same_group needs group_col")
     spark = query.sparkSession
     has_group = group_col is not None
     id_type = query.schema[id_col].dataType

@@ -39,9 +39,9 @@ def signatures_per_compound(signatures: DataFrame, by: list[str] | None = None)
 
 
 def support_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """A2: distinct signatures per (compound, gene)."""
+    """A2: signatures per (compound, gene); ``pairs`` has each (signature, gene) once."""
     by = list(by or [])
-    return pairs.groupBy(*by, "compound", "gene").agg(F.countDistinct("cp_sig").alias("n_support"))
+    return pairs.groupBy(*by, "compound", "gene").agg(F.count("cp_sig").alias("n_support"))
 
 
 def robustness(pairs: DataFrame, signatures: DataFrame, by: list[str] | None = None) -> DataFrame:

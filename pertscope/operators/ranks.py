@@ -5,7 +5,8 @@ The helpers here instead:
 
 1. reduce the input to distinct values with counts (map-side combine),
 2. cut the value range into buckets at approximate quantiles of the distinct
-   values (a scalar subquery of at most ``n_buckets`` split points),
+   values, in their own type (a scalar subquery of at most ``n_buckets`` split
+   points),
 3. run the running aggregate inside each bucket (window partitioned by
    bucket), aggregate each bucket to one row, and carry the bucket totals
    forward with a window over the tiny (groups x buckets) totals table.
@@ -17,41 +18,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-DEFAULT_BUCKETS = 64
-
-
-def _with_bucket(df: DataFrame, col: str, n_buckets: int, out: str) -> DataFrame:
-    """Bucket = number of approximate quantile split points <= value.  The
-    split points are a scalar subquery evaluated once inside the same plan."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000)).scalar()
-    return (df.withColumn("__splits", splits)
-            .withColumn(out, F.size(F.filter(F.col("__splits"), lambda s: s <= F.col(col).cast("double"))))
+from pyspark.sql import types as T
+
+MIN_BUCKETS, MAX_BUCKETS = 64, 1024     # a cluster's shuffle partitions lie between
+SAMPLE_PER_BUCKET = 32
+
+
+def _n_buckets(df: DataFrame) -> int:
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _split_points(df: DataFrame, col: str, n_buckets: int) -> Column:
+    """At most ``n_buckets - 1`` values of ``col``, in its own type, that cut the
+    rows into about equal parts: a scalar subquery evaluated once inside the
+    same plan.  Types without a numeric value are cut by a hashed sample whose
+    share falls with the row count, so about 32 values a bucket are sorted."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        return df.agg(F.percentile_approx(F.col(col), probs, 10000)).scalar()
+    every = F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(n_buckets * SAMPLE_PER_BUCKET)).cast("long")
+    sample = (df.filter(F.pmod(F.xxhash64(*df.columns), F.greatest(every, F.lit(1))) == 0)
+              .agg(F.array_sort(F.collect_list(col)).alias("s")))
+    return sample.select(F.transform(
+        F.sequence(F.lit(1), F.lit(n_buckets - 1)),
+        lambda i: F.get("s", F.floor(i * F.size("s") / F.lit(n_buckets)).cast("int")))).scalar()
+
+
+def _with_bucket(df: DataFrame, col: str, n_buckets: int, out: str, descending: bool = False) -> DataFrame:
+    """Bucket = number of split points that come before the value or equal it;
+    null goes to the first bucket."""
+    key = F.col(col)
+    return (df.withColumn("__splits", _split_points(df, col, n_buckets))
+            .withColumn(out, F.size(F.filter(F.col("__splits"), lambda s: s > key if descending else s <= key)))
             .drop("__splits"))
 
 
 def prefix_agg(vc: DataFrame, order_col: str, cols: list[str], *, by: list[str] | None = None,
                agg: str = "sum", descending: bool = False, inclusive: bool = False,
-               n_buckets: int = DEFAULT_BUCKETS, suffix: str = "_before") -> DataFrame:
+               n_buckets: int | None = None, suffix: str = "_before") -> DataFrame:
     """Add ``<c><suffix>`` = running ``agg`` of ``c`` over rows that come before
     (or up to, if ``inclusive``) each row in ``order_col`` order, within ``by``.
 
     ``vc`` should already hold one row per distinct (by, order value); rows
-    tied on ``order_col`` are otherwise ordered arbitrarily.
+    tied on ``order_col`` are otherwise ordered arbitrarily.  ``order_col`` may
+    have any orderable type and is compared in that type (nulls first); the
+    bucket count follows the session's shuffle partitions unless given.
     """
     by = list(by or [])
     if agg not in ("sum", "min", "max"):
         raise ValueError(agg)
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
-    key = F.col(order_col).cast("double")
-    if descending:
-        vc = vc.withColumn("__ord", -key)
-    else:
-        vc = vc.withColumn("__ord", key)
-    vc = _with_bucket(vc, "__ord", n_buckets, "__bucket")
+    vc = _with_bucket(vc, order_col, n_buckets or _n_buckets(vc), "__bucket", descending)
     upper = 0 if inclusive else -1
-    wl = (Window.partitionBy(*by, "__bucket").orderBy("__ord")
+    order = F.desc_nulls_first(order_col) if descending else F.asc_nulls_first(order_col)
+    wl = (Window.partitionBy(*by, "__bucket").orderBy(order)
           .rowsBetween(Window.unboundedPreceding, upper))
     loc = vc
     for c in cols:
@@ -69,7 +90,7 @@ def prefix_agg(vc: DataFrame, order_col: str, cols: list[str], *, by: list[str]
             val = F.when(lo.isNull(), of).when(of.isNull(), lo).otherwise(
                 F.least(lo, of) if agg == "min" else F.greatest(lo, of))
         out = out.withColumn(f"{c}{suffix}", val)
-    return out.drop("__ord", "__bucket", *[f"__loc_{c}" for c in cols], *[f"__off_{c}" for c in cols])
+    return out.drop("__bucket", *[f"__loc_{c}" for c in cols], *[f"__off_{c}" for c in cols])
 
 
 def value_counts(df: DataFrame, value_col: str, by: list[str] | None = None,
@@ -93,13 +114,6 @@ def average_ranks(df: DataFrame, value_col: str, by: list[str] | None = None,
                       (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out_col))
 
 
-def with_average_rank(df: DataFrame, value_col: str, by: list[str] | None = None,
-                      out_col: str = "avg_rank") -> DataFrame:
-    by = list(by or [])
-    ranks = average_ranks(df, value_col, by, out_col).drop("n")
-    return df.join(ranks, [*by, value_col], "left")
-
-
 def exact_percentiles(df: DataFrame, col: str, quantiles: dict[str, float],
                       by: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolated percentiles (the usual definition: value at

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,8 @@ _BASE_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+_shipped: dict[str, str] = {}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               driver_memory: str = "16g", app_name: str = "pertscope") -> SparkSession:
@@ -61,6 +64,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the workers, once per application, so that
+    tasks import it wherever the driver was started."""
+    context = spark.sparkContext
+    if _shipped.get("application") == context.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-modules-"), f"{name}-modules.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.join(name, os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    _shipped["application"] = context.applicationId
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` once as Parquet under the checkpoint folder and read it back.
 

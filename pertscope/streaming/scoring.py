@@ -1,12 +1,11 @@
 """Scoring newly arriving query profiles against a static annotated reference
 with Structured Streaming.  Each micro-batch runs the same kNN + propagation
-plan as the batch job (``foreachBatch``) and appends compound-level results;
-the reference side is a static Parquet table."""
+plan as the batch job (``foreachBatch``) and writes the top label of each
+profile to a folder of its own; the reference side is a static Parquet table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.knn import cosine_knn
 from ..operators.propagation import propagate_labels
@@ -22,12 +21,14 @@ def score_batch(batch: DataFrame, reference: DataFrame, labels: DataFrame, k_raw
 
 def start_scoring(stream: DataFrame, reference: DataFrame, labels: DataFrame, sink_path: str,
                   checkpoint_path: str, k_raw: int = 50, available_now: bool = False):
-    """Start the query: every micro-batch is scored and appended to ``sink_path``
-    (Parquet); progress lives in ``checkpoint_path`` on shared storage, so a
-    restarted query resumes without re-scoring committed batches."""
+    """Start the query: every micro-batch is scored and written to
+    ``sink_path/epoch=<id>`` (Parquet; read ``sink_path`` for all of them).
+    Progress lives in ``checkpoint_path`` on shared storage.  A batch that was
+    written but not committed runs again after a restart and overwrites its own
+    folder, so no row appears twice."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        score_batch(batch, reference, labels, k_raw).withColumn("epoch", F.lit(epoch_id)) \
-            .write.mode("append").parquet(sink_path)
+        score_batch(batch, reference, labels, k_raw).write.mode("overwrite").parquet(
+            f"{sink_path.rstrip('/')}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path)
     if available_now:

@@ -50,3 +50,21 @@ def test_pairwise_upper_triangle_and_zero_vector(spark):
     pairs = {(r.id_a, r.id_b): r.similarity for r in rows}
     assert set(pairs) == {(1, 2), (1, 3), (2, 3)}
     assert pairs[(1, 2)] is None and abs(pairs[(1, 3)] - 2 ** -0.5) < 1e-12
+
+
+def test_knn_cuts_ties_by_id_inside_a_tile(spark):
+    """Zero and duplicated vectors tie with everything: at most k rows leave a tile."""
+    import pandas as pd
+
+    from pertscope.operators.knn import _tile_topk
+    left = pd.DataFrame({"qid": [1, 2], "v": [np.zeros(2), np.array([1.0, 0.0])]})
+    right = pd.DataFrame({"rid": np.arange(500)[::-1], "v": [np.array([2.0, 0.0])] * 500})
+    out = _tile_topk(5, False, False, False)(left, right)
+    assert {q: sorted(g["ref_id"]) for q, g in out.groupby("query_id")} == {1: [0, 1, 2, 3, 4], 2: [0, 1, 2, 3, 4]}
+
+    ids = [f"r{j:03d}" for j in range(40)]
+    ref = spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], "sig_id string, embedding array<double>")
+    query = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 0.0])], "sig_id string, embedding array<double>")
+    nb = cosine_knn(query, ref, 6, ref_block_rows=7, checkpoint=False).collect()
+    for q in "ab":
+        assert [r.ref_id for r in sorted(nb, key=lambda r: r.rank) if r.query_id == q] == ids[:6]
