@@ -824,6 +824,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY sig_id ORDER BY md5(CAST(sig_id
       FROM binned_long WHERE bin <> 0) WHERE r <= 999""", "binned_long")
 
 
+SQL["random_value_mask_share"] = build("""
+SELECT sig_id, pos, CASE WHEN bin <> -2 AND CAST(('0x' || substr(md5('0:' || CAST(sig_id AS VARCHAR) || ':'
+         || CAST(pos AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.4 THEN -1 ELSE bin END AS value
+FROM binned_long""", "binned_long")
+SQL["tokenize_padded"] = build("""
+SELECT sig_id, position, coalesce(gene_pos, -2) AS gene_pos, coalesce(value, -2) AS value
+FROM (SELECT DISTINCT sig_id, unnest(range(0, 40)) AS position FROM binned_long) LEFT JOIN (
+  SELECT sig_id, 0 AS position, -1 AS gene_pos, 0 AS value FROM (SELECT DISTINCT sig_id FROM binned_long)
+  UNION ALL
+  SELECT sig_id, row_number() OVER (PARTITION BY sig_id ORDER BY pos) AS position, pos AS gene_pos, bin AS value
+  FROM (SELECT *, row_number() OVER (PARTITION BY sig_id
+                  ORDER BY md5(CAST(sig_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR))) AS r
+        FROM binned_long WHERE bin <> 0) WHERE r <= 39) USING (sig_id, position)""", "binned_long")
+
+
 def _bucket(key: str, seed: int = 0) -> str:
     return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % 10)"
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import clip_negative, vector_sum
+from .ranks import prefix_agg
 
 
 def to_long(df: DataFrame, vec: str = "expr", id_col: str = "sig_id") -> DataFrame:
@@ -66,11 +67,11 @@ def map_tas_to_instances(sig: DataFrame, instances: DataFrame, sentinel: str = "
 
 
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """0-based code by sorted distinct value (dense rank over the distinct
-    values, joined back)."""
-    d = df.select(col).distinct()
-    w = Window.orderBy(col)        # runs over the distinct categories only
-    codes = d.select(col, (F.dense_rank().over(w) - 1).alias(out))
+    """0-based code by sorted distinct value, joined back; rows without a
+    value are left out.  The distinct values are numbered bucket by bucket."""
+    d = df.filter(F.col(col).isNotNull()).select(col).distinct().withColumn("__one", F.lit(1))
+    codes = prefix_agg(d, col, ["__one"], suffix="_before").select(
+        col, F.col("__one_before").cast("int").alias(out))
     return df.join(codes, col)
 
 
@@ -110,11 +111,11 @@ def bin_values(df: DataFrame, vec: str, out: str, n_bins: int = 51) -> DataFrame
     return df.withColumn(out, _bin_udf(n_bins)(F.col(vec)))
 
 
-def tokenize(long_binned: DataFrame, max_len: int = 1000, cls_id: int = -1, pad_value: int = -2) -> DataFrame:
-    """per profile keep non-zero genes, prepend <cls>, truncate or pad to
+def tokenize(long_binned: DataFrame, max_len: int = 1000, cls_id: int = -1) -> DataFrame:
+    """per profile keep non-zero genes, prepend <cls>, truncate to
     ``max_len``.  Over-long profiles keep the genes with the smallest
-    ``md5(sig_id:pos)`` (deterministic subsample).  Returns the non-pad tokens
-    ``(sig_id, position, gene_pos, value)`` plus ``n_pad`` per profile."""
+    ``md5(sig_id:pos)`` (deterministic subsample).  Returns the tokens
+    ``(sig_id, position, gene_pos, value)``; ``pad_tokens`` fills them up."""
     nz = long_binned.filter(F.col("value") != 0)
     w = Window.partitionBy("sig_id").orderBy(F.md5(F.concat_ws(":", F.col("sig_id").cast("string"),
                                                                  F.col("pos").cast("string"))))
@@ -126,6 +127,14 @@ def tokenize(long_binned: DataFrame, max_len: int = 1000, cls_id: int = -1, pad_
     return cls.unionByName(toks.withColumn("value", F.col("value").cast("int")))
 
 
+def pad_tokens(tokens: DataFrame, max_len: int = 1000, pad_id: int = -2, pad_value: int = -2) -> DataFrame:
+    """the tokens of every profile and pad tokens after them, up to ``max_len``."""
+    held = tokens.groupBy("sig_id").agg(F.max("position").alias("__last")).filter(F.col("__last") < max_len - 1)
+    pads = held.select("sig_id", F.explode(F.sequence(F.col("__last") + 1, F.lit(max_len - 1))).alias("position"),
+                       F.lit(pad_id).alias("gene_pos"), F.lit(pad_value).alias("value"))
+    return tokens.unionByName(pads)
+
+
 def random_value_mask(vec: Column, key: Column, ratio: float = 0.0, mask_value: int = -1,
                       pad_value: int = -2, seed: int = 0) -> Column:
     """replace a ``ratio`` share of non-pad values with ``mask_value``

@@ -609,6 +609,17 @@ def q_f14(spark, d):
     return cl.to_long(m)
 
 
+@register("random_value_mask_share")
+def q_f14_share(spark, d):
+    m = _binned(spark, d).select("sig_id", cl.random_value_mask(F.col("expr"), F.col("sig_id"), 0.4).alias("expr"))
+    return cl.to_long(m)
+
+
+@register("tokenize_padded")
+def q_f13_padded(spark, d):
+    return cl.pad_tokens(cl.tokenize(cl.to_long(_binned(spark, d)), 40), 40)
+
+
 @register("train_valid_split")
 def q_f15(spark, d):
     return cl.train_valid_split(fx.profiles(Tables(spark, d)).select("sig_id"), "sig_id")
