@@ -4,16 +4,16 @@ The sparse (compound x gene) @ (gene x term) product is an equi-join on gene
 followed by ``groupBy(compound, term).count()``: only non-zero overlaps are
 ever produced.  p-values are exact hypergeometric tails; because the tail for
 fixed (K, n) falls as k grows, only the largest overlap per (compound, term
-size) can give the compound's minimum, so the tail is evaluated once per
-distinct (k, K, n) triple instead of once per (compound, term) pair.
+size) can give the compound's minimum, and the tails of all k are suffix sums
+over one pmf table per distinct (K, n).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hypergeom_sf
+from ..functions.mathx import hypergeom_pmf_log, hypergeom_support
 from ..session import materialize
 from .ranks import prefix_agg
 
@@ -57,6 +57,24 @@ def term_overlap(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, max_
         F.count(F.lit(1)).alias("k"), F.first("n_genes").alias("n_genes"))
 
 
+def upper_tails(cand: DataFrame, big_n: Column) -> DataFrame:
+    """``(n_genes, n, k, p)``: exact hypergeometric tails P(X >= k) for every
+    pair (n_genes, n) of ``cand`` and every k from its smallest overlap up.
+
+    One row per pair and support value carries a code-generated pmf; a suffix
+    sum, smallest terms first, turns them into the tails of all k at once.  A
+    pair's rows are at most its term size, so no window grows with the data."""
+    pairs = cand.groupBy("n_genes", "n").agg(F.min("k").alias("low")).withColumn("big_n", big_n)
+    lo, hi = hypergeom_support(F.col("low"), F.col("big_n"), F.col("n_genes"), F.col("n"))
+    # below the support the tail is that of its lower end: those k share its value
+    rows = pairs.withColumn("k", F.explode(F.sequence(F.col("low"), hi)))
+    pmf = F.when(F.col("k") >= lo, F.exp(hypergeom_pmf_log(F.col("k"), F.col("big_n"), F.col("n_genes"), F.col("n")))
+                 ).otherwise(F.lit(0.0))
+    w = Window.partitionBy("n_genes", "n").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumn("pmf", pmf)
+            .select("n_genes", "n", "k", F.least(F.sum("pmf").over(w), F.lit(1.0)).alias("p")))
+
+
 def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, max_size: int = 500) -> DataFrame:
     """Per compound, ``n`` (genes inside the universe), ``best_p`` (minimum
     upper-tail p over terms with overlap, 1 if none) and ``has_result`` (n > 0)."""
@@ -70,9 +88,7 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     # one row per (compound, term size), read by the triple extraction and the
     # join back: written once so the overlap join runs once
     cand = materialize(per_size.join(n_in, "compound"), "enrichment_candidates")
-    triples = cand.select("k", "n_genes", "n").distinct().withColumn("big_n", big_n)
-    pv = (triples.withColumn("p", hypergeom_sf(F.col("k"), F.col("big_n"), F.col("n_genes"), F.col("n")))
-          .drop("big_n"))
+    pv = upper_tails(cand, big_n)
     best = cand.join(pv, ["k", "n_genes", "n"]).groupBy("compound").agg(F.min("p").alias("best_p"))
     compounds = qg.select("compound").distinct()
     out = (compounds.join(n_in, "compound", "left").join(best, "compound", "left")

@@ -31,11 +31,12 @@ def enrichment(spark, sf_dir: str) -> DataFrame:
     return en.enrichment_scores(best)
 
 
-def confidence_table(spark, sf_dir: str) -> DataFrame:
+def confidence_table(spark, sf_dir: str, ranking: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``conf``: n_sigs, score_n_sigs, mean_tas, score_tas, enrich_score_raw,
-    score_enrichment, robustness_100, score_robustness, composite_score."""
+    score_enrichment, robustness_100, score_robustness, composite_score.
+    ``ranking``: the (cg, top) of ``robustness_tables`` where the caller has them."""
     t = Tables(spark, sf_dir)
-    _, cg, top = robustness_tables(spark, sf_dir)
+    cg, top = ranking or robustness_tables(spark, sf_dir)[1:]
     compounds = top.select("compound").distinct()
     samples = fx.cp_signatures(t)
     enr = enrichment(spark, sf_dir).select("compound", "enrich_score_raw")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as rk
 from ..operators.knn import cosine_knn
+from ..session import materialize
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
 
@@ -46,7 +47,6 @@ def single_targets(t: Tables) -> DataFrame:
 def null_tables(spark, sf_dir: str, n_perm: int, seed: int = 0, k: int = K_GENES):
     """Observed and permuted robustness rank tables for the null analyses."""
     from ..operators import nulls
-    from ..session import materialize
     t = Tables(spark, sf_dir)
     _, cg, _ = robustness_tables(spark, sf_dir, k)
     observed = materialize(rk.min_rank_percentile(cg), "observed_ranks")
@@ -63,9 +63,11 @@ def recovery(spark, sf_dir: str) -> DataFrame:
     from .confidence import confidence_table
     from ..functions.labels import normalize_compound
     t = Tables(spark, sf_dir)
-    _, _, top = robustness_tables(spark, sf_dir)
+    # read by the target match and by the confidence scores: ranked once
+    cg = materialize(robustness_tables(spark, sf_dir)[1], "robustness")
+    top = rk.top_genes(cg, K_GENES)
     pos = rk.best_target_position(top, fx.targets(t)).filter(F.col("note") == "ok")
-    conf = confidence_table(spark, sf_dir)
+    conf = confidence_table(spark, sf_dir, (cg, top))
     keyed = pos.select(normalize_compound("compound").alias("key"), F.col("best_target_rank").alias("robustness_rank"))
     return (conf.withColumn("key", normalize_compound("compound")).join(keyed, "key")
             .drop("key").withColumn("recover", F.col("robustness_rank").isNotNull()))
