@@ -724,6 +724,22 @@ SELECT recover, count(*) AS n, {rnd('100.0 * count(*) / (SELECT count(*) FROM re
 FROM recovery GROUP BY recover""", "recovery")
 
 
+cte("recover_scores", "SELECT round(composite_score, 9) AS score, recover FROM recovery", "recovery")
+SQL["recover_calibration"] = build(thresholds_sql("recover_scores", "score", "recover"), "recover_scores")
+cte("recover_sc", '''
+  SELECT score AS s, sum(CASE WHEN recover THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN recover THEN 0 ELSE 1 END) AS neg
+  FROM recover_scores WHERE score IS NOT NULL GROUP BY score''', "recover_scores")
+SQL["mann_whitney_recover"] = build(f'''
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+       {rnd('CASE WHEN n1 > 0 AND n2 > 0 THEN u END', 'u')},
+       {rnd('CASE WHEN n1 > 0 AND n2 > 0 AND sigma > 0 THEN (u - n1 * n2 / 2.0 - 0.5) / sigma END', 'z')}
+FROM (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u,
+             sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sigma
+      FROM (SELECT sum(pos * (before + (pos + neg + 1) / 2.0)) AS r1, sum(pos) AS n1, sum(neg) AS n2,
+                   sum(power(pos + neg, 3) - (pos + neg)) AS tie
+            FROM (SELECT *, coalesce(sum(pos + neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                            AS before FROM recover_sc)))''', "recover_sc")
+
 # ----------------------------------------------------- ingest, QC, prep --
 cte("expr_long", """
   SELECT sig_id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value

@@ -161,14 +161,13 @@ def mann_whitney_greater(df: DataFrame, value: str, flag: str) -> DataFrame:
     U from average ranks; tie-corrected normal approximation with continuity
     correction; NULL when either side is empty.
     """
-    d = df.filter(F.col(value).isNotNull() & F.col(flag).isNotNull()).select(value, F.col(flag).cast("boolean").alias("g"))
-    ranks = average_ranks(d, value, out_col="r")
-    ties = ranks.agg(F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("tie_sum"))
-    j = d.join(ranks.drop("n"), value)
-    s = j.agg(F.sum(F.when(F.col("g"), F.col("r"))).alias("r1"),
-              F.sum(F.col("g").cast("long")).alias("n1"),
-              F.sum((~F.col("g")).cast("long")).alias("n2"))
-    s = s.withColumn("tie_sum", ties.scalar())
+    # one row per distinct value: a value that many rows share is no hot join key
+    counts = (score_class_counts(df.filter(F.col(flag).isNotNull()), value, flag)
+              .withColumn("n", F.col("pos") + F.col("neg")))
+    ranks = prefix_agg(counts, value, ["n"]).withColumn("r", F.col("n_before") + (F.col("n") + 1) / 2)
+    s = ranks.agg(F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("r"))).alias("r1"),
+                  F.sum("pos").alias("n1"), F.sum("neg").alias("n2"),
+                  F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("tie_sum"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2

@@ -481,6 +481,20 @@ def q_p15(spark, d):
     return rounded(r.select("compound", "composite_score", "robustness_rank", "recover"))
 
 
+@register("mann_whitney_recover")
+def q_e17_recover(spark, d):
+    """Whether recovered compounds have the greater composite score."""
+    r = gr.recovery(spark, d).select(F.round("composite_score", 9).alias("score"), "recover")
+    return rounded(stats.mann_whitney_greater(r, "score", "recover").select("n1", "n2", "u", "z"))
+
+
+@register("recover_calibration")
+def q_e5_recover(spark, d):
+    """Share of recovered compounds at or above each composite-score threshold."""
+    r = gr.recovery(spark, d).select(F.round("composite_score", 9).alias("score"), "recover")
+    return rounded(stats.accuracy_above_threshold(r, "score", "recover"))
+
+
 @register("recovery_split")
 def q_e20(spark, d):
     r = gr.recovery(spark, d)
