@@ -49,23 +49,28 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64, copy=False)
 
 
-def _tile_topk(k: int, exclude_group: bool, exclude_self: bool, has_group: bool):
+def _cosine_tile(left: pd.Series, right: pd.Series):
+    """Distances of one tile: a function of a slice of the left rows."""
+    q, r = _normalise_rows(_stack(left)), _normalise_rows(_stack(right))
+    return lambda some: 1.0 - q[some] @ r.T
+
+
+def _tile_topk(k: int, exclude_group: bool, exclude_self: bool, has_group: bool, tile=_cosine_tile):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "ref_id", "distance"] + (["query_group", "ref_group"] if has_group else [])
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: [] for c in cols})
         right = right.sort_values("rid", kind="stable", ignore_index=True)   # ties go to the lower id
-        q = _normalise_rows(_stack(left["v"]))
-        r = _normalise_rows(_stack(right["v"]))
+        distances = tile(left["v"], right["v"])
         qid = left["qid"].to_numpy()
         rid = right["rid"].to_numpy()
         if has_group:
             codes, _ = pd.factorize(pd.concat([left["qg"], right["rg"]], ignore_index=True))
             qg_code, rg_code = codes[: len(left)], codes[len(left):]
         found = []
-        for at in range(0, len(q), GEMM_ROWS):
+        for at in range(0, len(left), GEMM_ROWS):
             some = slice(at, at + GEMM_ROWS)
-            dist = 1.0 - q[some] @ r.T
+            dist = distances(some)
             if exclude_self:
                 dist[qid[some, None] == rid[None, :]] = np.inf
             if exclude_group:
@@ -108,6 +113,18 @@ def cosine_knn(query: DataFrame, ref: DataFrame, k: int, *,
     (leave-one-group-out search as one join); ``exclude_self`` drops ref_id ==
     query_id (self-graph).
     """
+    return tiled_knn(query, ref, k, _cosine_tile, id_col=id_col, vec_col=vec_col, group_col=group_col,
+                     exclude_same_group=exclude_same_group, exclude_self=exclude_self,
+                     query_block_rows=query_block_rows, ref_block_rows=ref_block_rows, checkpoint=checkpoint)
+
+
+def tiled_knn(query: DataFrame, ref: DataFrame, k: int, tile, *, id_col: str, vec_col: str,
+              group_col: str | None = None, exclude_same_group: bool = False, exclude_self: bool = False,
+              query_block_rows: int = DEFAULT_QUERY_BLOCK_ROWS, ref_block_rows: int = DEFAULT_REF_BLOCK_ROWS,
+              checkpoint: bool = True) -> DataFrame:
+    """``cosine_knn`` with the distances of ``tile(left values, right values)``,
+    which gives a function from a slice of left rows to a matrix; infinite
+    distances are no neighbours."""
     if k < 1:
         raise ValueError("k must be >= 1")
     if exclude_same_group and group_col is None:
@@ -147,7 +164,7 @@ def cosine_knn(query: DataFrame, ref: DataFrame, k: int, *,
     schema = T.StructType(fields)
 
     cand = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb"))
-            .applyInPandas(_tile_topk(k, exclude_same_group, exclude_self, has_group), schema))
+            .applyInPandas(_tile_topk(k, exclude_same_group, exclude_self, has_group, tile), schema))
 
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
