@@ -18,7 +18,7 @@ from .common import SPACE_CHARS, WORD, n_words, text_of, words
 # The symbols that the contract counts, closing punctuation of a
 # sentence (with what may follow it), and phrases of page furniture.
 SYMBOLS = "#*$%&|<>"
-LINE_END = r"""[.!?:;…。！？]["'»”’)\]]*[\x20\x09-\x0D]*$"""
+MARKS, CLOSERS = ".!?:;…。！？", "\"'»”’)]"
 NAVIGATION = r"(^|[\x20\x09])[|»›•>][\x20\x09].*[\x20\x09][|»›•>]([\x20\x09]|$)"
 BOILERPLATE = (r"(?i)(all rights reserved|cookie policy|accept cookies|enable javascript|privacy policy"
                r"|terms of (use|service)|click here|sign up now|log in to|subscribe to our|licensed under the)")
@@ -34,13 +34,19 @@ def _n_symbols(col: Column) -> Column:
     return (F.char_length(col) - F.char_length(F.translate(col, SYMBOLS, ""))).cast("long")
 
 
+def _closed(line: Column) -> Column:
+    """Ends in a closing mark, however many closers and then white space follow it."""
+    body = F.rtrim(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(CLOSERS))
+    return F.substring(body, -1, 1).isin(*MARKS)
+
+
 def line_fails(line: Column) -> Column:
     """True for a line with a word that breaks a rule: symbols over a tenth of
     its characters, no closing punctuation, shouted double marks for a third of
     its words, two or more menu separators, or a boilerplate phrase."""
     return line.rlike(WORD) & (
         (_n_symbols(line) * 10 > F.char_length(line))
-        | ~F.substring(line, -8, 8).rlike(LINE_END)
+        | ~_closed(line)
         | (F.regexp_count(line, F.lit("!!")) * 3 > n_words(line))
         | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
 

@@ -242,6 +242,17 @@ def test_quality_line_rules(spark):
     assert kept[0]["n_chars"] == len(kept[0]["text"])
 
 
+def test_quality_closing_marks_before_long_ends(spark):
+    words = " ".join(f"word{k}" for k in range(25))
+    ends = {"." + " " * 40: True, "!" + "\t \r" * 9: True, '."' + "'\")]" * 20: True, "?" + "”" * 9 + " " * 9: True,
+            " " * 40: False, '"' * 20: False, ". x" + " " * 20: False, ". " + '"' * 9: False, "." + "," * 9: False}
+    df = spark.createDataFrame([(k, words + e, "", "", 0) for k, e in enumerate(ends)], SCHEMA)
+    got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert [got[k]["kept"] for k in range(len(ends))] == list(ends.values())
+    kept = {r["doc_id"]: r["text"] for r in quality_rules.clean(df).collect()}
+    assert kept == {k: words + e for k, (e, ok) in enumerate(ends.items()) if ok}
+
+
 def test_quality_odd_tables(odd, nothing):
     out = quality_rules.clean(odd)
     assert out.columns == odd.columns
