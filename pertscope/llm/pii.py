@@ -5,9 +5,10 @@ validate it.
 
 Kinds, in this order: email, ip, card, phone (the base, leftmost and not
 overlapping within a kind), then what the method adds: url (a scheme with user
-data), iban (mod 97), ssn (cue or shape 3-2-4 with valid areas) and account
-(an identifier cue followed by a number of 6 to 20 characters).  Added spans
-never replace base spans, and one that lies inside a base span is left out.
+data), iban (length of its country and mod 97, with or without a cue), ssn (cue
+or shape 3-2-4 with valid areas) and account (an identifier cue followed by a
+number of 6 to 20 characters).  Added spans never replace base spans, and one
+that lies inside a base span is left out.
 
 Defined results: null and empty texts have no spans; whole texts are read,
 however long, in linear time; repeated rows give repeated results; an empty
@@ -29,6 +30,12 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "ssn", "account")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
 CUES = ("account", "acct", "iban", "ssn", "social security", "passport", "customer id", "member id")
+IBAN_LENGTH = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU"}.items() for code in codes.split()}
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,8 +44,10 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_CODE = re.compile(r"[A-Z]{2}")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-_ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|id|#))?[ :#=]{1,3}([A-Z]{0,3}[0-9][A-Z0-9-]{5,19})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?: ?(?i:number|no\.?|id|#))?[ :#=]{1,3}([A-Z]{0,3}[0-9][A-Z0-9-]{5,19})(?![A-Za-z0-9])")
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -48,7 +57,7 @@ def luhn(digits: str) -> bool:
 
 
 def automaton():
-    """Anchors and what each calls for."""
+    """Anchors and what each calls for, to be run over ``_lower`` of a text."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -59,12 +68,16 @@ def automaton():
     for s in SCHEMES:
         a.add_word(s, "scheme")
     for c in CUES:
-        for form in {c, c.upper(), c.capitalize(), c.title()}:
-            a.add_word(form, "cue")
+        a.add_word(c, "cue")
     a.make_automaton()
     return a
 
 
+def _lower(text: str) -> str:
+    """ASCII letters in lower case, every code point in its place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     """Local part back from the at-sign, not beyond ``floor``; labels after."""
     start = at
@@ -91,14 +104,37 @@ def _iban_valid(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban(text: str, start: int, cued: bool) -> int | None:
+    """End of the account number at ``start``, as long as its country has it.
+    Without a cue in front it must stand alone.  Behind a cue, a country that is
+    not listed ends where a token does, the longest valid one."""
+    m = _IBAN.match(text, start)
+    if not m:
+        return None
+    n = IBAN_LENGTH.get(text[start:start + 2])
+    ends = [i + 1 for i in range(start, m.end()) if text[i] != " "]
+    if n:
+        ends = ends[n - 1:n]
+    else:
+        ends = [e for e in reversed(ends) if text[e:e + 1] == " " or e == m.end()] if cued else []
+    if not cued and (text[start - 1:start] in _ALNUM or ends and text[ends[0]:ends[0] + 1] in _ALNUM):
+        return None
+    return next((e for e in ends if _iban_valid(text[start:e])), None)
+
+
 def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
     """Spans ``(start, kind index, end)`` sorted; code points, end exclusive."""
     spans: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = 0
     extra: list[tuple[int, int, int]] = []
-    ssn = False
-    for last, what in anchors.iter(text):
+    ssn = cued = False
+    for last, what in anchors.iter(_lower(text)):
         if what == "digit":
+            code = text[last - 2:last]
+            if code in IBAN_LENGTH or cued and _CODE.fullmatch(code):
+                end = _iban(text, last - 2, cued)
+                if end:
+                    extra.append((last - 2, 5, end))
             if last >= ip_end:
                 m = _DOTTED.match(text, last)
                 ip_end = m.end()
@@ -129,9 +165,7 @@ def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
             if m:
                 extra.append((last + 1, 4, m.end()))
         else:
-            m = _IBAN.search(text, last + 1, last + 60)
-            if m and _iban_valid(m.group()):
-                extra.append((m.start(), 5, m.end()))
+            cued = True
             m = _ACCOUNT.match(text, last + 1)
             if m:
                 extra.append((m.start(1), 7, m.end(1)))

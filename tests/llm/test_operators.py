@@ -601,6 +601,25 @@ def test_pii_added_spans():
     assert not found("accounting 12 and 000-12-3456")
 
 
+def test_pii_accounts_to_their_own_end():
+    anchors = pii.automaton()
+    found = lambda t: {(pii.KINDS[k], t[a:b]) for a, k, b in pii.find_spans(t, anchors)}
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    every = {("iban", x) for x in (de, gb, no)}
+    assert ("iban", de) in found(f"IBAN {de} BIC COBADEFF")                 # words in capitals behind it
+    assert ("iban", gb) in found(f"IBAN {gb} BIC NWBKGB2L")
+    assert every <= found(f"IBANs: {de}, {gb}, {no}.")                      # a list
+    assert every <= found(f"iban {'is given below ' * 20}{de} or {gb}\n{no}")   # far from the cue
+    assert every <= found(f"pay to {de} or {gb}; {no}")                     # no cue
+    assert ("iban", de) in found(f"iBAN{de}")
+    assert ("iban", "XX57 1234 5678 9012 345") in found("IBAN XX57 1234 5678 9012 345 BIC")   # country not listed
+    assert not found("pay DE89370400440532013001 or A" + de + " or " + de + "x")
+    for cue in ("Customer ID", "Member ID", "CUSTOMER Id", "Account Number", "mEMBER iD"):
+        assert ("account", "AB1234567") in found(f"{cue}: AB1234567 ok")
+    assert ("url", "bob:pw1@host.example") in found("see HTTPS://bob:pw1@host.example/x")
+    assert ("account", "AB1234567") in found("İİ ẞ Customer ID: AB1234567")  # positions stay
+
+
 def test_pii_long_texts_take_linear_time():
     import time
     anchors, began = pii.automaton(), time.time()
