@@ -365,6 +365,28 @@ def test_secret_scan(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_secret_values_of_any_shape(spark):
+    def found(t):
+        return {t[a:b] for a, b, _ in secret_scan.spans(t)}
+    for t, value in (("password=hunter2", "hunter2"), ("secret = CorrectHorseBatteryStaple", "CorrectHorseBatteryStaple"),
+                     ("PWD: P@ssw0rd!2024, then", "P@ssw0rd!2024"), ('"api_key": "a b\\"c"}', 'a b\\"c'),
+                     ("token='x'", "x"), ("auth: token=hunter2.", "hunter2"), ("key XkcdQwertZuiopAsdf here", "XkcdQwertZuiopAsdf"),
+                     ("pwd='open", "open"), ("password=...", "...")):
+        assert value in found(t), t
+    assert found("password=") == found('pwd: ""') == set()
+    import time
+    began = time.time()
+    for t in ("password=" * 40_000, "pwd='" * 60_000, 'pwd="\\' * 60_000, "token: " * 40_000, "secret" * 50_000):
+        secret_scan.values(t)
+    assert time.time() - began < 20
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["order", "alpha", "betagammadelta"]) for _ in range(9)) + " "
+             + ("password=hunter%d" % k if k % 3 == 0 else "order 12345678%05d" % k), "", "", 0) for k in range(60)]
+    got = secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).where("is_secret").collect()
+    assert {(r["doc_id"], r["end"] - r["start"]) for r in got} == {
+        (k, len("hunter%d" % k)) for k in range(60) if k % 3 == 0}
+
+
 # 7 -------------------------------------------------------------------------
 
 def brute_targets(sizes):
