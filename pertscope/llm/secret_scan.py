@@ -8,17 +8,20 @@ closing punctuation; a name inside a value begins a value of its own instead.
 The dictionary is every lower-cased letter-only word that makes up at least
 ``MIN_SHARE`` of the corpus, so at most 1 / MIN_SHARE words: that bound is why
 it may be broadcast.  The forest is trained on at most ``MAX_TRAIN`` labelled
-findings, the first by hash; everything else covers all rows.
+findings, the first by hash of each label up to half of them, and both labels
+weigh the same; everything else covers all rows.
 
 Labelled findings come as a column ``label`` (1, 0 or null).  ``rule_labels``
 makes them where nobody labelled: vendor formats and assignments to a secret's
 name are 1, but for plain words, texts with blanks and values of low entropy;
 numbers, dates, addresses and mostly-dictionary runs without such a name are 0;
-the rest stays null and is decided by the forest.
+the rest stays null and is decided by the forest.  A vendor format labelled 1 is
+a secret whatever the forest says.
 
 Defined results: null and empty texts have no candidates; whole texts are read;
 repeated rows give repeated findings; without labels of both kinds nothing can be
-learnt, and a finding's probability is its label (0.5 without one); an empty table gives an empty table; other columns are ignored.
+learnt, and a finding's probability is its label (0.5 without one, and no
+secret); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,13 +195,19 @@ def candidates(docs: DataFrame, frequent: set[str]) -> DataFrame:
 def train(found: DataFrame, max_train: int = MAX_TRAIN):
     """A forest from labelled findings, or None without both labels."""
     order = F.xxhash64(F.struct(*FEATURES), F.col("doc_id"), F.col("start"))
-    sample = found.where("label is not null").orderBy(order, "doc_id", "start").limit(max_train)
+    one, other = (found.where(F.col("label") == k).orderBy(order, "doc_id", "start").limit(max_train // 2)
+                  for k in (0, 1))
     # bounded: one partition in one order, so that training gives the same forest again
-    sample = materialize(sample.select(*FEATURES, F.col("label").cast("double").alias("label"), order.alias("o"))
+    sample = materialize(one.unionByName(other)
+                         .select(*FEATURES, F.col("label").cast("double").alias("label"), order.alias("o"))
                          .coalesce(1).sortWithinPartitions("o", *FEATURES), "secret-train")
-    if sample.select("label").distinct().count() < 2:
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(n) < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    sample = sample.withColumn("weight", F.when(F.col("label") == 1, sum(n.values()) / (2 * n[1.0]))
+                               .otherwise(sum(n.values()) / (2 * n[0.0])))
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=TREES,
+                                    maxDepth=DEPTH, seed=SEED)
     return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample))
 
 
@@ -208,10 +217,14 @@ def scan(docs: DataFrame, found: DataFrame | None = None, threshold: float = 0.5
     if found is None:
         found = materialize(candidates(docs, dictionary(docs)), "secret-candidates")
     model = train(found)
+    labelled = F.coalesce(F.col("label") == 1, F.lit(False))
     if model is None:
         scored = found.withColumn("probability", F.coalesce(F.col("label").cast("double"), F.lit(0.5)))
+        secret = labelled
     else:
         seen = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(found)
         scored = model.transform(seen).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select("doc_id", "start", "end", "label", *FEATURES, "probability",
-                         (F.col("probability") >= threshold).alias("is_secret"))
+        secret = F.col("probability") >= threshold
+        if "vendor" in found.columns:
+            secret = secret | (F.col("vendor") & labelled)
+    return scored.select("doc_id", "start", "end", "label", *FEATURES, "probability", secret.alias("is_secret"))

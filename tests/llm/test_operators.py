@@ -387,6 +387,21 @@ def test_secret_values_of_any_shape(spark):
         (k, len("hunter%d" % k)) for k in range(60) if k % 3 == 0}
 
 
+def test_secret_verdicts_with_rare_labels(spark):
+    from pyspark.sql import functions as F
+    rows = [(k, "order %015d" % (k * 7919), "", "", 0) for k in range(400)]
+    rows += [(900 + k, "see AKIA" + "QWERTZUIOP23456" + "AB"[k], "", "", 0) for k in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = secret_scan.candidates(df, set())
+    got = secret_scan.scan(df, found).where("is_secret").collect()
+    assert {r["doc_id"] for r in got} == {900, 901}
+    sample = secret_scan.train(found, 20)                 # 2 of 402 findings: both are drawn
+    assert sample is not None
+    # without both labels nothing is learnt, and what has no label is no secret
+    alone = found.withColumn("label", F.when(F.col("doc_id") == 900, 1))
+    assert {r["doc_id"] for r in secret_scan.scan(df, alone).where("is_secret").collect()} == {900}
+
+
 # 7 -------------------------------------------------------------------------
 
 def brute_targets(sizes):
