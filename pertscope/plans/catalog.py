@@ -770,6 +770,13 @@ def q_v7(spark, d):
     return rounded(p.select("seed", "id_a", "id_b", "distance"))
 
 
+@register("tanimoto_nearest")
+def q_v7_all(spark, d):
+    docs = Tables(spark, d).documents.select("doc_id", prs.fold_fingerprint(F.split(F.col("text"), " ")).alias("bits"))
+    nearest = prs.tanimoto_knn(docs.filter(F.col("doc_id") % 50 == 0), docs, 10, "doc_id", "bits")
+    return rounded(nearest.select("query_id", "rank", "ref_id", "distance"))
+
+
 def projection_weights(d_in: int = 64, d_out: int = 16) -> np.ndarray:
     """Deterministic stand-in weights: w[i, j] = ((7i + 3j) mod 11 - 5) / 10."""
     i = np.arange(d_in)[:, None]
