@@ -19,6 +19,8 @@ from .common import SPACE_CHARS, WORD, n_words, text_of, words
 # sentence (with what may follow it), and phrases of page furniture.
 SYMBOLS = "#*$%&|<>"
 MARKS, CLOSERS = ".!?:;…。！？", "\"'»”’)]"
+LINE_END = r"""[.!?:;…。！？]["'»”’)\]]*[\x20\x09-\x0D]*\z"""
+OPEN_TAIL = r"""^["'»”’)\]\x20\x09-\x0D]*\z"""
 NAVIGATION = r"(^|[\x20\x09])[|»›•>][\x20\x09].*[\x20\x09][|»›•>]([\x20\x09]|$)"
 BOILERPLATE = (r"(?i)(all rights reserved|cookie policy|accept cookies|enable javascript|privacy policy"
                r"|terms of (use|service)|click here|sign up now|log in to|subscribe to our|licensed under the)")
@@ -37,7 +39,9 @@ def _n_symbols(col: Column) -> Column:
 def _closed(line: Column) -> Column:
     """Ends in a closing mark, however many closers and then white space follow it."""
     body = F.rtrim(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(CLOSERS))
-    return F.substring(body, -1, 1).isin(*MARKS)
+    tail = F.substring(line, -8, 8)
+    # only a tail of nothing but closers and white space pays for the trims of the whole line
+    return tail.rlike(LINE_END) | (tail.rlike(OPEN_TAIL) & F.substring(body, -1, 1).isin(*MARKS))
 
 
 def line_fails(line: Column) -> Column:
