@@ -57,4 +57,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-SQL = {"op3_chat_format": CHAT, "op4_quality_rules": QUALITY}
+
+
+def _vector_codes(parts: int = 4, width: int = 16, rounds: int = 4) -> str:
+    """Codebooks round by round; vectors of the table hold parts * width components."""
+    floor = "CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)"
+    distance = " + ".join(f"(p.v[{i}] - b.v[{i}]) * (p.v[{i}] - b.v[{i}])" for i in range(1, width + 1))
+    # division of longs, rounded down
+    mean = ", ".join(f"CAST((sum(p.v[{i}]) - ((sum(p.v[{i}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+                     for i in range(1, width + 1))
+    slices = " UNION ALL ".join(f"SELECT vec_id, label, row, {k} AS pos, v[{k * width + 1}:{(k + 1) * width}] AS v FROM kept"
+                                for k in range(parts))
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT p.row, p.pos, min(({distance}) * 256 + b.entry) AS best
+  FROM pieces p JOIN book{r} b USING (pos) GROUP BY p.row, p.pos)""")
+        if r < rounds:
+            steps.append(f"""
+book{r + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN (
+    SELECT p.pos, n.best % 256 AS entry, [{mean}] AS v
+    FROM pieces p JOIN near{r} n USING (row, pos) GROUP BY p.pos, n.best % 256) m USING (pos, entry))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row,
+    list_transform(embedding, lambda x: {floor}) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED ({slices}),
+book0 AS MATERIALIZED (SELECT pos, row AS entry, v FROM pieces WHERE row < 256),{",".join(steps)},
+coded AS (
+  SELECT vec_id, any_value(k.label) AS label, string_agg(printf('%02x', n.best % 256), '' ORDER BY pos) AS code,
+    CAST(sum(n.best // 256) AS BIGINT) AS error
+  FROM near{rounds} n JOIN kept k USING (row) GROUP BY row, vec_id),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, digest
+"""
+
+
+SQL = {"op3_chat_format": CHAT, "op4_quality_rules": QUALITY, "op13_vector_codes": _vector_codes()}
