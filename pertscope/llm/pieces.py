@@ -36,12 +36,48 @@ from .common import text_of
 SPACE = "▁"             # how the model writes a blank
 LINE_ENDS = "\n\r\t\x0b\x0c"
 CHARS = 1 << 21              # above every code point
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LONG = 64                    # characters; longer words are not remembered
 NONE = np.iinfo(np.int32).max
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6      # kinds of pieces in a model file
 
 
+class _Table:
+    """A map from whole numbers to whole numbers for arrays of keys: open
+    addressing with steps of one, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << self.bits, dtype=np.int32)
+        left, at, self.steps = np.arange(len(keys)), self._home(keys), 0
+        while len(left):
+            # of the keys that want a free place one gets it
+            free = np.flatnonzero(self.keys[at] < 0)
+            place, first = np.unique(at[free], return_index=True)
+            self.keys[place], self.values[place] = keys[left[free[first]]], values[left[free[first]]]
+            stay = self.keys[at] != keys[left]
+            left, at = left[stay], (at[stay] + 1) & (len(self.keys) - 1)
+            self.steps += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 where there is none."""
+        at = self._home(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1).astype(np.int32)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[left]]
+            found = held == keys[left]
+            out[left[found]] = self.values[at[left[found]]]
+            left = left[~found & (held >= 0)]
+        return out
+
+
 class Pieces:
     """The tables of one model file: BPE with byte fallback, identity
     normalization, a blank put first, and no user-defined or unused piece."""
@@ -72,22 +108,23 @@ class Pieces:
         return ord(text) if len(text) == 1 else CHARS + self.ids[text] if text in self.ids else None
 
     def _pairs(self) -> None:
-        made, self.beside = {}, set()
+        made, beside = {}, set()
         for text, k in self.ids.items():
-            self.beside.update(ord(a) * CHARS + ord(b) for a, b in zip(text, text[1:]))
+            beside.update(ord(a) * CHARS + ord(b) for a, b in zip(text, text[1:]))
             for cut in range(1, len(text)):
                 a, b = self._symbol(text[:cut]), self._symbol(text[cut:])
                 if a is not None and b is not None:
                     made[a * 2 * CHARS + b] = k
-        self.keys = np.array(sorted(made), dtype=np.int64)
-        self.made = np.array([made[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.beside = np.array(sorted(self.beside), dtype=np.int64)
+        keys, made = (np.array(x, dtype=np.int64) for x in (list(made), list(made.values())))
+        self.pairs = _Table(keys, made)
+        beside = np.array(sorted(beside), dtype=np.int64)
+        self.beside = _Table(beside, np.ones(len(beside), dtype=np.int64))
         # pieces that open a pair ranking no later than themselves
         self.early = np.zeros(len(self.rank), dtype=bool)
-        for part in (self.keys // (2 * CHARS), self.keys % (2 * CHARS)):
+        for part in (keys // (2 * CHARS), keys % (2 * CHARS)):
             some = part >= CHARS
             piece = part[some] - CHARS
-            self.early[piece[self.rank[self.made[some]] <= self.rank[piece]]] = True
+            self.early[piece[self.rank[made[some]] <= self.rank[piece]]] = True
         loners = [c for c in LINE_ENDS if not any(c in t for t in self.ids if len(t) > 1)]
         ends = re.escape("".join(loners))
         tail = f"|[{ends}]+" if loners else ""
@@ -106,26 +143,22 @@ class Pieces:
         self.blank = np.array([k == NORMAL and t.startswith(SPACE) for t, k in zip(self.texts, self.kinds)])
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * (2 * CHARS) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        made = self.made[at]
-        return np.where(self.keys[at] == key, self.rank[made], NONE), made
+        """Rank and piece of pairs of symbols; the rank NONE where there is no piece."""
+        made = self.pairs.get(left.astype(np.int64) * (2 * CHARS) + right)
+        return np.where(made >= 0, self.rank[made], NONE), made
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words in order, and the word of each."""
-        joined = "".join(words)
-        sym = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        sym = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<i4").astype(np.int32)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
         inside = owner[1:] == owner[:-1]
-        near = sym[:-1] * CHARS + sym[1:]
-        at = np.minimum(np.searchsorted(self.beside, near), len(self.beside) - 1)
-        inside &= self.beside[at] == near
+        inside &= self.beside.get(sym[:-1].astype(np.int64) * CHARS + sym[1:]) > 0
         # a word from here on: a stretch whose neighbours occur together in some piece
-        word = np.concatenate([[0], np.cumsum(~inside)]) if len(sym) else np.zeros(0, dtype=np.int64)
-        origin = owner
+        word = np.zeros(len(sym), dtype=np.int32)
+        word[1:] = np.cumsum(~inside)
+        place = np.arange(len(sym), dtype=np.int32)
+        rank, made = np.full(len(sym), NONE, dtype=np.int32), np.zeros(len(sym), dtype=np.int32)
         done: list[tuple] = []
-        place = np.arange(len(sym))
-        rank, made = np.full(len(sym), NONE, dtype=np.int64), np.zeros(len(sym), dtype=np.int64)
 
         def look(spots: np.ndarray) -> None:
             """Pairs of the entries at ``spots`` with the next of the same word."""
@@ -138,33 +171,27 @@ class Pieces:
         look(place)
         while len(sym):
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            sizes = np.diff(first, append=len(sym))
-            least = np.repeat(np.minimum.reduceat(rank, first), sizes)
-            ends = least == NONE
-            if ends.any():
-                done.append((place[ends], sym[ends]))
-                going = ~ends
-                sym, word, place, rank, made, least = (x[going] for x in (sym, word, place, rank, made, least))
-                if not len(sym):
-                    break
-            hit = np.flatnonzero(rank == least)
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(sym)))
+            keep = least < NONE
+            done.append((place[~keep], sym[~keep]))
+            hit = np.flatnonzero((rank == least) & keep)
+            if not len(hit):
+                break
             head = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (word[hit[1:]] != word[hit[:-1]])])
             since = np.arange(len(hit)) - np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
-            take = since % 2 == 0
-            hit = hit[take]
+            hit = hit[since % 2 == 0]
             if (some := np.flatnonzero(self.early[made[hit]])).size:
                 hit = hit[self._undisturbed(hit, some, sym, word, made, least)]
             sym[hit] = made[hit] + CHARS
-            keep = np.ones(len(sym), dtype=bool)
             keep[hit + 1] = False
-            moved = hit - np.arange(len(hit))            # one entry has gone for each merge before
+            moved = np.cumsum(keep)[hit] - 1
             sym, word, place, rank, made = (x[keep] for x in (sym, word, place, rank, made))
             look(np.concatenate([moved - 1, moved]))
         if not done:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return sym, owner
         place, sym = (np.concatenate(x) for x in zip(*done))
-        order = np.argsort(place, kind="stable")
-        return sym[order], origin[place[order]]
+        order = np.argsort(place)
+        return sym[order], owner[place[order]]
 
     def _undisturbed(self, hit: np.ndarray, some: np.ndarray, sym: np.ndarray, word: np.ndarray, made: np.ndarray,
                      least: np.ndarray) -> np.ndarray:
@@ -234,14 +261,14 @@ class Encoder:
     """Encodes texts, remembering words; of more than ``memo`` words it starts
     the memory anew, so that it stays bounded."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 150_000):
         self.pieces, self.memo, self.known = Pieces(path), memo, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces.words((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > self.memo:
             self.known = {}
-        new = list({w for own in split for w in own if w not in self.known})
+        new = [w for w in set().union(*split) if w not in self.known]
         if new:
             self.known.update(zip(new, self.pieces.encode_words(new)))
         out = [b"".join(map(self.known.__getitem__, own)) for own in split]
@@ -257,29 +284,36 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, model_path: str, out_col: str = "ids") -> DataFrame:
-    """``docs`` as one struct ``row`` beside the ids of its text, end id last."""
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about ``SLICE_BYTES`` each."""
+    marks = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+    ends = [0, *marks.tolist(), len(sizes)] if len(sizes) else [0]
+    return zip(ends, ends[1:])
+
+
+def encode(docs: DataFrame, model_path: str, out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` as one struct ``row`` beside the ids of its text, end id last,
+    and, where ``decoded_col`` names a column, what these ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = None, b""
         for batch in batches:
-            encoder = encoder or _encoder(model_path)
+            encoder = _encoder(model_path)
             end = int(encoder.pieces.end).to_bytes(4, "little")
-            texts = batch.column(1)
-            sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[
-                texts.offset:texts.offset + batch.num_rows + 1])) // SLICE_BYTES if batch.num_rows else np.zeros(0)
-            marks = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-            for at, to in zip(marks, marks[1:]):
-                found = [x + end for x in encoder.encode(texts.slice(at, to - at).to_pylist())]
-                offsets = pa.array(np.cumsum([0, *[len(x) // 4 for x in found]]), type=pa.int32())
-                values = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(offsets, values)],
-                    names=["row", out_col])
-
-    slim = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_of(docs).alias("_text"))
+            for at, to in _slices(batch.column(2).to_numpy()):
+                found = [x + end for x in encoder.encode(batch.column(1).slice(at, to - at).to_pylist())]
+                offsets = np.cumsum([0, *[len(x) // 4 for x in found]])
+                values = np.frombuffer(b"".join(found), dtype="<i4")
+                out = [batch.column(0).slice(at, to - at),
+                       pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values))]
+                if decoded_col:
+                    out.append(pa.array(encoder.pieces.decode_flat(values, offsets), type=pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=["row", out_col, decoded_col][:len(out)])
+
+    text = text_of(docs)
+    slim = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("_text"),
+                       F.octet_length(text).alias("_size"))
     kind = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(run, f"row {kind}, {out_col} array<int>")
+    return slim.mapInArrow(run, f"row {kind}, {out_col} array<int>" + (f", {decoded_col} string" if decoded_col else ""))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -287,14 +321,10 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("_ids"))
-            filled = lists if not lists.null_count else pa.array(
-                [x or [] for x in lists.to_pylist()], type=lists.type)
-            texts = _encoder(model_path).pieces.decode_flat(
-                filled.flatten().to_numpy(), np.concatenate([[0], np.cumsum(filled.value_lengths().to_numpy())])
-                if batch.num_rows else np.zeros(1, dtype=np.int64))
-            shown = pa.array([None if gone else t for t, gone in zip(texts, lists.is_null().to_pylist())],
-                             type=pa.string())
+            lists = batch.column(1)
+            ids, counts = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+            texts = _encoder(model_path).pieces.decode_flat(ids, np.concatenate([[0], np.cumsum(counts)]))
+            shown = pa.array(texts, type=pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), shown], names=["_row", out_col])
 
     packed = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), rows[ids_col].alias("_ids"))

@@ -102,11 +102,9 @@ def _with_periodic_tails(docs: DataFrame) -> DataFrame:
 
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs, path).select("row.doc_id", "ids")
-    return pieces.decode(encoded, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded_col="decoded").select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
