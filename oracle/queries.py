@@ -935,6 +935,83 @@ SELECT t.seed, {rnd('t.threshold', 'threshold')}, a.n_pos, a.n_neg, a.auroc
 FROM e8_thr t JOIN ({auc_sql('e8_lab', 'seed', 'similarity', 'positive')}) a ON a.seed = t.seed""",
                                    "e8_thr", "e8_lab")
 
+cte("cmp_info", """
+  SELECT c.pert_id, CASE WHEN c.pert_id % 13 = 0 THEN 'restricted' ELSE d.text END AS canonical_smiles,
+         CASE WHEN c.pert_id % 17 = 0 THEN NULL WHEN c.pert_id % 19 = 0 THEN 'restricted'
+              ELSE 'K' || CAST(c.pert_id // 2 AS VARCHAR) END AS inchi_key
+  FROM (SELECT DISTINCT pert_id FROM cp_profiles) c LEFT JOIN documents d ON d.doc_id = c.pert_id""", "cp_profiles")
+
+
+def two_spaces(name: str, sampled: str) -> None:
+    """Unit vectors and pairs of a sampled table in the embedding and the clipped space."""
+    cte(f"{name}_unit", f"""
+  SELECT seed, sig_id, space, CASE WHEN nrm > 0 THEN list_transform(v, lambda x: x / nrm) END AS u FROM (
+    SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM (
+      SELECT seed, sig_id, 'embedding' AS space, embedding::DOUBLE[] AS v FROM {sampled}
+      UNION ALL
+      SELECT seed, sig_id, 'raw' AS space, list_transform(embedding::DOUBLE[], lambda x: greatest(x, 0.0))
+      FROM {sampled}))""", sampled)
+    cte(f"{name}_pairs", f"""
+  SELECT a.seed, a.space, a.sig_id AS id_a, b.sig_id AS id_b, list_inner_product(a.u, b.u) AS similarity
+  FROM {name}_unit a JOIN {name}_unit b ON a.seed = b.seed AND a.space = b.space AND a.sig_id < b.sig_id""",
+        f"{name}_unit")
+
+
+cte("chem", """
+  SELECT seed, sig_id, pert_id, embedding, bits FROM (
+    SELECT CAST(s.seed AS INTEGER) AS seed, p.sig_id, p.pert_id, p.embedding, i.bits,
+           row_number() OVER (PARTITION BY s.seed, p.pert_id
+                              ORDER BY md5(CAST(s.seed AS VARCHAR) || ':' || CAST(p.sig_id AS VARCHAR)), p.sig_id) AS r
+    FROM cp_profiles p JOIN (
+      SELECT pert_id, list_distinct(list_transform(list_filter(string_split(canonical_smiles, ' '), lambda x: x <> ''),
+               lambda x: CAST(CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) % 2048 AS INTEGER))) AS bits
+      FROM cmp_info WHERE canonical_smiles IS NOT NULL AND canonical_smiles <> 'restricted') i
+      ON i.pert_id = p.pert_id, range(10) s(seed)
+    WHERE len(i.bits) > 0) WHERE r = 1""", "cp_profiles", "cmp_info")
+two_spaces("chem", "chem")
+cte("chem_ref", """
+  SELECT a.seed, a.sig_id AS id_a, b.sig_id AS id_b,
+         1 - len(list_intersect(a.bits, b.bits)) / len(list_distinct(list_concat(a.bits, b.bits))) AS distance
+  FROM chem a JOIN chem b ON a.seed = b.seed AND a.sig_id < b.sig_id""", "chem")
+cte("chem_thr", "SELECT seed, quantile_cont(distance, 0.001) AS threshold FROM chem_ref GROUP BY seed", "chem_ref")
+cte("chem_lab", """
+  SELECT p.seed, p.space, p.similarity, r.distance < t.threshold AS positive
+  FROM chem_pairs p JOIN chem_ref r USING (seed, id_a, id_b) JOIN chem_thr t USING (seed)""",
+    "chem_pairs", "chem_ref", "chem_thr")
+SQL["chemical_auroc"] = build(f"""
+SELECT CAST(a.seed AS BIGINT) AS seed, a.space, a.n_pos, a.n_neg, a.auroc, {rnd('t.threshold', 'threshold')}
+FROM ({auc_sql('chem_lab', 'seed, space', 'similarity', 'positive')}) a JOIN chem_thr t USING (seed)""",
+                              "chem_lab", "chem_thr")
+
+cte("tprof", """
+  SELECT seed, sig_id, embedding, target FROM (
+    SELECT CAST(s.seed AS INTEGER) AS seed, p.sig_id, p.embedding, k.target,
+           row_number() OVER (PARTITION BY s.seed, i.inchi_key
+                              ORDER BY md5(CAST(s.seed AS VARCHAR) || ':' || CAST(p.sig_id AS VARCHAR)), p.sig_id) AS r
+    FROM cp_profiles p
+    JOIN (SELECT inchi_key, min(pert_id) AS pert_id FROM cmp_info
+          WHERE inchi_key IS NOT NULL AND inchi_key <> 'restricted' GROUP BY inchi_key) i ON i.pert_id = p.pert_id
+    JOIN (SELECT 'K' || CAST(pert_id // 2 AS VARCHAR) AS key, arg_min(embedding[1:16], sig_id) AS target FROM cp_profiles
+          WHERE sig_id % 10 >= 3 AND (pert_id // 2) % 7 <> 0 GROUP BY 1) k ON k.key = i.inchi_key,
+    range(10) s(seed)) WHERE r = 1""", "cp_profiles", "cmp_info")
+two_spaces("tprof", "tprof")
+cte("tprof_ref", """
+  SELECT a.seed, a.sig_id AS id_a, b.sig_id AS id_b, 1 - list_inner_product(a.u, b.u) AS distance
+  FROM (SELECT seed, sig_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
+        FROM (SELECT seed, sig_id, target::DOUBLE[] AS v FROM tprof)) a
+  JOIN (SELECT seed, sig_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u
+        FROM (SELECT seed, sig_id, target::DOUBLE[] AS v FROM tprof)) b ON a.seed = b.seed AND a.sig_id < b.sig_id""",
+    "tprof")
+cte("tprof_thr", "SELECT seed, quantile_cont(distance, 0.001) AS threshold FROM tprof_ref GROUP BY seed", "tprof_ref")
+cte("tprof_lab", """
+  SELECT p.seed, p.space, p.similarity, r.distance < t.threshold AS positive
+  FROM tprof_pairs p JOIN tprof_ref r USING (seed, id_a, id_b) JOIN tprof_thr t USING (seed)""",
+    "tprof_pairs", "tprof_ref", "tprof_thr")
+SQL["target_profile_auroc"] = build(f"""
+SELECT CAST(a.seed AS BIGINT) AS seed, a.space, a.n_pos, a.n_neg, a.auroc, {rnd('t.threshold', 'threshold')}
+FROM ({auc_sql('tprof_lab', 'seed, space', 'similarity', 'positive')}) a JOIN tprof_thr t USING (seed)""",
+                                    "tprof_lab", "tprof_thr")
+
 cte("hext", """
   SELECT e.sig_id, e.treatment, a.ref_name, e.embedding FROM (
     SELECT sig_id, 'X' || CAST(pert_id AS VARCHAR) AS treatment, embedding FROM cp_profiles WHERE sig_id % 10 = 9) e

@@ -1,4 +1,4 @@
-"""Batch embedding (V8) and approximate kNN (V9)."""
+"""Batch embedding (V8)."""
 
 from __future__ import annotations
 
@@ -7,10 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .knn import _normalise_rows, _stack, cosine_knn, tiled_knn
 
 
 def batch_embed(df: DataFrame, vec_col: str, fn: Callable[[np.ndarray], np.ndarray], out_dim: int,
@@ -36,39 +34,3 @@ def linear_projection(weights: np.ndarray) -> Callable[[np.ndarray], np.ndarray]
     """A fixed linear map standing in for the (absent) network weights."""
     w = np.asarray(weights, dtype=np.float64)
     return lambda x: x.astype(np.float64) @ w
-
-
-def _lsh_tile(bucket_length: float, num_hash_tables: int, seed: int):
-    """Cosine distances of the pairs that share a bucket in some table; the
-    bucket of a row is the floor of its projection on the table's direction."""
-    def tile(left: pd.Series, right: pd.Series):
-        q, r = _normalise_rows(_stack(left)), _normalise_rows(_stack(right))
-        planes = np.random.default_rng(seed).normal(size=(q.shape[1], num_hash_tables))
-        planes /= np.linalg.norm(planes, axis=0)
-        hq, hr = np.floor(q @ planes / bucket_length), np.floor(r @ planes / bucket_length)
-
-        def distances(some: slice) -> np.ndarray:
-            shared = np.zeros((len(q[some]), len(r)), dtype=bool)
-            for t in range(num_hash_tables):
-                shared |= hq[some, t, None] == hr[None, :, t]
-            return np.where(shared, 1.0 - q[some] @ r.T, np.inf)
-
-        return distances
-
-    return tile
-
-
-def approx_knn(query: DataFrame, ref: DataFrame, k: int, *, id_col: str = "sig_id", vec_col: str = "embedding",
-               bucket_length: float = 1.0, num_hash_tables: int = 6, seed: int = 7, **blocks: int) -> DataFrame:
-    """V9: random-projection LSH on unit vectors, in the block tiles of the
-    exact search: the k nearest among all references that share a bucket with
-    the query, at any distance.  A query with fewer than k such references is
-    searched exactly, so every query gets min(k, references) rows.
-    Approximate: recall is measured against V2."""
-    found = tiled_knn(query, ref, k, _lsh_tile(bucket_length, num_hash_tables, seed), id_col=id_col,
-                      vec_col=vec_col, **blocks)
-    full = found.filter(F.col("rank") == k).select("query_id")
-    short = query.join(full.withColumnRenamed("query_id", "_full"), F.col(id_col) == F.col("_full"), "left_anti")
-    exact = cosine_knn(short, ref, k, id_col=id_col, vec_col=vec_col, checkpoint=False, **blocks)
-    out = found.join(full, "query_id", "left_semi").unionByName(exact)
-    return out.select("query_id", "ref_id", "distance", "rank")

@@ -722,21 +722,29 @@ def q_v6(spark, d):
     return rounded(rc.external_distances(Tables(spark, d)).select("id_a", "id_b", "distance"))
 
 
+@register("chemical_auroc")
+def q_e12_chemical(spark, d):
+    return rounded(rc.chemical_auroc(Tables(spark, d)))
+
+
+@register("target_profile_auroc")
+def q_e12_target(spark, d):
+    return rounded(rc.target_profile_auroc(Tables(spark, d)))
+
+
 @register("background_vs_same")
 def q_e19(spark, d):
-    x = rc.external_distances(Tables(spark, d))
-    return rounded(x.groupBy("id_a", "same").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"),
-                                                 F.min("distance").alias("min_distance")))
+    return rounded(rc.background_vs_same(Tables(spark, d)))
 
 
 @register("argsort_unique_rank")
 def q_w9(spark, d):
-    return rounded(rc.unique_rank(rc.external_distances(Tables(spark, d))))
+    return rounded(rc.unique_rank(Tables(spark, d)))
 
 
 @register("best_example_per_group")
 def q_w10(spark, d):
-    return rounded(rc.best_example(rc.unique_rank(rc.external_distances(Tables(spark, d)))))
+    return rounded(rc.best_example(rc.unique_rank(Tables(spark, d))))
 
 
 @register("kde_grid")
@@ -755,6 +763,7 @@ def q_a15(spark, d):
 
 import numpy as np  # noqa: E402
 
+from ..operators import cells  # noqa: E402
 from ..operators import embed as emb  # noqa: E402
 
 
@@ -795,11 +804,14 @@ def q_v8(spark, d):
 def q_v9(spark, d):
     t = Tables(spark, d)
     q, r = fx.compound_profiles(t), fx.knockdown_profiles(t)
+    index = cells.fit_cells(r, 10)
     exact = cosine_knn(q, r, 10).select("query_id", "ref_id")
-    approx = emb.approx_knn(q, r, 10).select("query_id", "ref_id")
-    hit = exact.join(approx, ["query_id", "ref_id"], "left_semi").agg(F.count(F.lit(1)).alias("h"))
-    tot = exact.agg(F.count(F.lit(1)).alias("n"))
-    return hit.join(tot).select(F.lit(10).alias("k"), (F.col("h") / F.col("n")).alias("recall"))
+    approx = cells.approx_knn(q, r, 10, index=index).select("query_id", "ref_id")
+    hits = exact.join(approx, ["query_id", "ref_id"], "left_semi").agg(F.count(F.lit(1))).scalar()
+    n = exact.agg(F.count(F.lit(1))).scalar()
+    return cells.compared_pairs(q, r, index).select(
+        F.lit(10).alias("k"), (hits / n).alias("recall"), F.col("share").alias("compared_share"),
+        F.lit(len(index.centres)).alias("n_cells"), F.lit(index.n_probe).alias("n_probe"))
 
 
 # ------------------------------------------------------------- remaining --

@@ -230,3 +230,24 @@ def label_strings(t: Tables) -> DataFrame:
            .when(style == 2, F.concat(F.lit(" "), F.array_join("m", " ; "), F.lit(" ")))
            .otherwise(F.concat(F.array_join("m", ";"), F.lit(";nan"))))
     return j.select("pert_id", raw.alias("raw"))
+
+
+def compound_info(t: Tables) -> DataFrame:
+    """Compound table: (pert_id, canonical_smiles, inchi_key).  The structure is
+    the text of the document with the compound's number, null without one,
+    'restricted' for pert_id % 13 = 0; two compounds share a key."""
+    cp = compound_profiles(t).select("pert_id").distinct()
+    doc = t.documents.select(F.col("doc_id").alias("pert_id"), "text")
+    key = (F.when(F.col("pert_id") % 17 == 0, F.lit(None)).when(F.col("pert_id") % 19 == 0, F.lit("restricted"))
+           .otherwise(F.concat(F.lit("K"), _str(F.expr("pert_id div 2")))))
+    return cp.join(doc, "pert_id", "left").select(
+        "pert_id", F.when(F.col("pert_id") % 13 == 0, F.lit("restricted")).otherwise(F.col("text")).alias("canonical_smiles"),
+        key.alias("inchi_key"))
+
+
+def target_signatures(t: Tables) -> DataFrame:
+    """Target signatures: (row_no, key, v); keys repeat, and some compounds' keys are missing."""
+    half = F.expr("pert_id div 2")
+    return (compound_profiles(t).filter(F.col("sig_id") % 10 >= 3).filter(half % 7 != 0)
+            .select(F.col("sig_id").alias("row_no"), F.concat(F.lit("K"), _str(half)).alias("key"),
+                    F.slice("embedding", 1, 16).alias("v")))
