@@ -8,10 +8,12 @@ Grammar of the rendered text::
     conversation = { START role MODE "\n" body "\n" STOP "\n" }
     START = "<|im_start|>"    STOP = "<|im_end|>"    MODE = "" | ";url"
 
-START and STOP count only where no backslash stands before them.  Escaping
-puts one more backslash before every control string in a text; the line feed
-before STOP keeps a final backslash of the text apart from it.  Where the
-parse still differs from the source, the texts of that conversation are
+START and STOP count only where no backslash stands before them, and a body
+holds neither.  Escaping puts one more backslash before every control string in
+a text; the line feed before STOP keeps a final backslash of the text apart from
+it.  The parser matches the whole grammar: a text that departs from it anywhere
+(an end mark that is missing, early or doubled, text outside the marks) does not
+parse and gives null.  Where the parse differs from the source, the texts of that conversation are
 URL-encoded (MODE ``;url``), which no control string survives.  Roles are
 always URL-encoded.
 
@@ -32,6 +34,8 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 CONTROL = (r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>|\[INST\]|\[/INST\]"
            r"|<<SYS>>|<</SYS>>|<s>|</s>")
 URL = ";url"
+BARE_START, BARE_STOP = r"(?<!\\)<\|im_start\|>", r"(?<!\\)<\|im_end\|>"
+HEAD = r"\A[A-Za-z0-9.*_+%-]*(;url)?\z"
 
 
 def escape(text: Column) -> Column:
@@ -51,12 +55,20 @@ def render(turns: Column, encode: bool = False) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """Turns ``struct(role, text)`` of a rendered text."""
-    pieces = F.filter(F.split(text, r"(?<!\\)<\|im_start\|>"), lambda p: p != "")
+    """Turns ``struct(role, text)`` of a rendered text; null if it is none."""
+    pieces = F.split(text, BARE_START)
+    end = "\n" + STOP + "\n"
+
+    def is_turn(p: Column) -> Column:
+        head = F.substring_index(p, "\n", 1)
+        return (head.rlike(HEAD) & p.endswith(end) & (F.regexp_count(p, F.lit(BARE_STOP)) == 1)
+                & (F.char_length(p) > F.char_length(head) + len(end)))
+
+    whole = (F.get(pieces, F.lit(0)) == "") & F.forall(F.slice(pieces, F.lit(2), F.size(pieces)), is_turn)
 
     def turn(p: Column) -> Column:
         head = F.substring_index(p, "\n", 1)
-        # what stands between the first line feed and "\n" + STOP + "\n"
+        # what stands between the first line feed and the last "\n" + STOP + "\n"
         body = F.substring(p, F.char_length(head) + F.lit(2), F.char_length(p) - F.char_length(head) - 3 - len(STOP))
         coded = head.endswith(URL)
         role = F.url_decode(F.when(coded, F.substring(head, F.lit(1), F.char_length(head) - len(URL)))
@@ -65,7 +77,8 @@ def parse(text: Column) -> Column:
                         F.when(coded, F.url_decode(F.when(coded, body).otherwise(F.lit(""))))
                         .otherwise(unescape(body)).alias("text"))
 
-    return F.transform(pieces, turn)
+    turns = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), turn)
+    return F.when(text == "", F.array().cast("array<struct<role:string,text:string>>")).when(whole, turns)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -78,7 +91,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
                                                                      t["text"].alias("text"))).alias("_source"))
     conv = conv.withColumn("_plain", render(F.col("_source")))
     conv = conv.withColumn("_back", parse(F.col("_plain")))
-    conv = conv.withColumn("formatted", F.when(F.col("_back") == F.col("_source"), F.col("_plain"))
+    conv = conv.withColumn("formatted", F.when(F.col("_back").eqNullSafe(F.col("_source")), F.col("_plain"))
                            .otherwise(render(F.col("_source"), encode=True)))
     conv = conv.withColumn("turns", F.when(F.col("formatted") == F.col("_plain"), F.col("_back"))
                            .otherwise(parse(F.col("formatted"))))

@@ -22,7 +22,7 @@ lines without a word are no positions and stay, unless every worded line of a
 document goes, which leaves the empty text; rows that agree in id and text are
 one document, with one result for each row; null ids come first; whole texts are
 read; an empty table gives an empty table; other columns are ignored by
-``repeated_runs`` and kept by ``dedup_lines``.
+``repeated_runs`` and kept by ``dedup_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -138,8 +138,7 @@ def suffix_ranks(lines: DataFrame, max_lines: int) -> list[DataFrame]:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc struct<id, th>, pos, m)``: runs of m lines that are later copies."""
     lines = materialize(_line_rows(docs, min_words).dropDuplicates(["doc", "pos"]), "lines")
-    often = lines.join(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), ["h1", "h2"])
-    longest = often.agg(F.max(F.array_max("runs"))).first()[0] or 1
+    longest = lines.agg(F.max(F.array_max("runs"))).first()[0] or 1         # ``min_words`` at most
     levels = suffix_ranks(lines, longest)
     ranks = levels[0].withColumn("j", F.lit(0))
     for j, level in enumerate(levels[1:], 1):
@@ -153,17 +152,17 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                  ["doc", "at", "j"]).select("doc", "pos", "m", "ra", "rb"), "lines-runs")
     spot = F.struct("doc", "pos")
     first = cand.groupBy("m", "ra", "rb").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that a run of many copies is split where its copies are joined
+    first = materialize(first.drop("n"), "lines-first")
     return cand.join(first, ["m", "ra", "rb"]).where(spot > F.col("first")).select("doc", "pos", "m")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """The documents without later copies of repeated runs; the columns are
-    those of ``docs``, with ``n_chars`` counted anew.  ``report`` adds
-    ``_n_lines``, ``_n_deleted`` and ``_deleted`` (``line:length`` of each
-    deleted stretch, counting lines with a word from 0)."""
-    runs = repeated_runs(docs, min_words).groupBy("doc").agg(
-        F.collect_list(F.struct("pos", "m")).alias("_runs")).select(
-        F.col("doc.id").alias("_id"), F.col("doc.th").alias("_rth"), "_runs")
+def dedup_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row a document: ``row`` (all its columns), the ``text`` without later
+    copies of repeated runs, ``n_lines``, ``n_deleted`` and ``deleted``
+    (``line:length`` of each deleted stretch, counting lines with a word from 0)."""
+    runs = repeated_runs(docs, min_words).groupBy("doc").agg(F.collect_list(F.struct("pos", "m")).alias("runs"))
+    runs = runs.select(F.col("doc.id").alias("rid"), F.col("doc.th").alias("rth"), "runs")
 
     @F.pandas_udf("text string, n_lines long, n_deleted long, deleted string")
     def cut(text, runs):
@@ -174,21 +173,29 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Fals
             out.append((None, 0, 0, "") if x is None else delete_lines(x, r))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "deleted"])
 
-    keyed = docs.withColumn("_th", F.xxhash64(text_of(docs)))
-    both = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_rth")), "left")
+    # one struct holds the user's columns, so that no name meets these
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"),
+                        F.xxhash64(text_of(docs)).alias("th"))
+    both = keyed.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
     # only touched texts go to Python
-    both = both.withColumn("_cut", cut(F.when(F.col("_runs").isNotNull(), F.col("text")), F.col("_runs")))
-    touched = F.col("_runs").isNotNull()
-    out = {"text": F.when(touched, F.col("_cut.text")).otherwise(F.col("text"))}
+    touched = F.col("runs").isNotNull()
+    both = both.withColumn("cut", cut(F.when(touched, F.col("row.text")), F.col("runs")))
+    worded = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return both.select("row", F.when(touched, F.col("cut.text")).otherwise(F.col("row.text")).alias("text"),
+                       worded.cast("long").alias("n_lines"),
+                       F.when(touched, F.col("cut.n_deleted")).otherwise(F.lit(0)).alias("n_deleted"),
+                       F.when(touched, F.col("cut.deleted")).otherwise(F.lit("")).alias("deleted"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without later copies of repeated runs; the columns are
+    those of ``docs``, with ``n_chars`` counted anew where lines went."""
+    found = dedup_report(docs, min_words)
+    out = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(touched, F.char_length("_cut.text")).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType)
-    more = []
-    if report:
-        worded = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        more = [worded.cast("long").alias("_n_lines"), F.col("_cut.n_deleted").alias("_n_deleted"),
-                F.col("_cut.deleted").alias("_deleted")]
-    return both.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns], *more)
+        out["n_chars"] = F.when(F.col("n_deleted") > 0, F.char_length("text")).otherwise(
+            F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[out.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def delete_lines(text: str, runs) -> tuple[str, int, int, str]:

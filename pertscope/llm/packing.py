@@ -220,18 +220,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         packer = Packer(emit, capacity, max_segments, max_loss,
                         first_sequence=TaskContext.get().partitionId() << 40)
-        tokenizer = None
+        tokenizer, key_type = None, None
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            tokenizer = tokenizer or _tokenizer(tokenizer_path)
+            tokenizer, key_type = tokenizer or _tokenizer(tokenizer_path), batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 packer.add(key, np.concatenate([tokenizer.ids(text.as_py() or b""), end]))
             if out:
-                yield _batch(out, batch.schema.field(0).type)
+                yield _batch(out, key_type)
                 out.clear()
         packer.finish()
         if out:
-            yield _batch(out, pa.int64() if not isinstance(out[0][0], str) else pa.string())
+            yield _batch(out, key_type)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col("text").cast("string").cast("binary").alias("_text")).mapInArrow(

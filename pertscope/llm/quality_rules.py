@@ -5,7 +5,7 @@ text is rejected.  DataFrame functions only.
 Defined results: a null or empty text has no words, so it fails the base rule;
 lines without a word are kept and never counted; repeated rows give repeated
 results; an empty table gives an empty table; other columns are ignored by
-``judge`` and kept as they are by ``clean``.
+``judge`` and kept as they are by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,12 +88,9 @@ def _base(df: DataFrame) -> DataFrame:
     }).drop("_s", "_worded")
 
 
-def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, max_lost_pct: int = 50,
-          carry: list[str] | None = None) -> DataFrame:
-    """One row per document: base counts, verdicts, lines removed and the
-    cleaned text (failing lines gone).  ``carry`` names columns to keep."""
-    carry = ["doc_id"] if carry is None else carry
-    df = _base(docs.select(*[docs[c] for c in carry if c != "text"], text_of(docs).alias("_text")))
+def _verdicts(df: DataFrame, min_words: int, max_repeat_pct: int, max_lost_pct: int) -> DataFrame:
+    """Adds counts, verdicts and the cleaned text to ``df(_row, _text)``."""
+    df = _base(df)
     df = df.withColumn("_kept_lines", F.filter("_lines", lambda x: ~line_fails(x)))
     df = df.withColumns({
         "cleaned": F.array_join("_kept_lines", "\n"),
@@ -106,13 +103,28 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, max_lo
     return df.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_text")
 
 
-def clean(docs: DataFrame, **rules) -> DataFrame:
+def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns as one struct, so that no name meets an operator's own."""
+    row = F.struct(*[docs[c] for c in columns]) if columns else F.struct(F.lit(0))
+    return docs.select(row.alias("_row"), text_of(docs).alias("_text"))
+
+
+def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, max_lost_pct: int = 50,
+          id_col: str = "doc_id") -> DataFrame:
+    """One row per document: its id, base counts, verdicts, lines removed and
+    the cleaned text (failing lines gone)."""
+    judged = _verdicts(_packed(docs, [id_col]), min_words, max_repeat_pct, max_lost_pct)
+    return judged.select(F.col("_row").getField(id_col).alias(id_col), *[c for c in judged.columns if c != "_row"])
+
+
+def clean(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, max_lost_pct: int = 50) -> DataFrame:
     """The documents that pass, with failing lines taken out of ``text`` and
-    ``n_chars`` counted anew; the columns are those of ``docs``."""
-    judged = judge(docs, carry=[c for c in docs.columns if c != "text"], **rules)
+    ``n_chars`` counted anew; all other columns are kept, whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    judged = _verdicts(_packed(docs, rest), min_words, max_repeat_pct, max_lost_pct)
     # the partition number keeps the verdict out of pushed filters, where every rule would be computed again
     judged = judged.withColumn("_keep", F.col("kept") & (F.spark_partition_id() >= 0)).where("_keep")
     out = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
-    return judged.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return judged.select(*[out.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

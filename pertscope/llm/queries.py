@@ -27,10 +27,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), report=True)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"),
-                      F.coalesce("_n_deleted", F.lit(0)).alias("n_deleted"),
-                      F.coalesce("_deleted", F.lit("")).alias("deleted"),
+    out = line_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_deleted", "deleted",
                       F.sha2(text_of(out).cast("binary"), 256).alias("text_sha256"))
 
 

@@ -228,11 +228,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The documents with one left of each component: the one with its id.
     Rows that repeat that id leave one too; rows without an id leave the
     smallest text hash of a component that has no id."""
-    marked = docs.withColumn("_row", F.struct(F.col("doc_id").alias("i"), F.xxhash64(text_of(docs)).alias("h")))
-    found = clusters(marked, shingle, max_bits, "_row")
+    key = F.struct(docs["doc_id"].alias("i"), F.xxhash64(text_of(docs)).alias("h"))
+    found = clusters(docs.select(key.alias("key"), docs["text"]), shingle, max_bits, "key")
     keep = found.groupBy("component_id").agg(
-        F.min(F.struct(F.col("_row.i").isNull(), F.col("_row.i").alias("i"), F.col("_row.h").alias("h")))
-        .alias("k")).select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h"))
-    chosen = docs.withColumn("_th", F.xxhash64(text_of(docs))).join(
-        keep, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+        F.min(F.struct(F.col("key.i").isNull(), F.col("key.i").alias("i"), F.col("key.h").alias("h")))
+        .alias("k")).select(F.struct(F.col("k.i"), F.col("k.h")).alias("kept"))
+    # one struct holds the user's columns, so that no name meets these
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    chosen = rows.join(keep, F.col("key.i").eqNullSafe(F.col("kept.i")) & (F.col("key.h") == F.col("kept.h")), "left_semi")
+    return chosen.dropDuplicates(["key"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -141,11 +141,11 @@ def brute_lines(rows, min_words):
 @pytest.mark.parametrize("min_words", [1, 5, 12, 50])
 def test_line_dedup(docs, rows, min_words):
     got = {}
-    for r in line_dedup.dedup_lines(docs, min_words, report=True).collect():
-        spans = [tuple(map(int, s.split(":"))) for s in (r["_deleted"] or "").split(",") if s]
-        got[r["doc_id"]] = [p for a, n in spans for p in range(a, a + n)]
+    for r in line_dedup.dedup_report(docs, min_words).collect():
+        spans = [tuple(map(int, s.split(":"))) for s in r["deleted"].split(",") if s]
+        got[r["row"]["doc_id"]] = [p for a, n in spans for p in range(a, a + n)]
         kept = [x for x in (r["text"] or "").split("\n") if words(x)]
-        assert r["_n_lines"] - len(got[r["doc_id"]]) == len(kept)
+        assert r["n_lines"] - len(got[r["row"]["doc_id"]]) == len(kept)
     assert got == brute_lines(rows, min_words)
 
 
@@ -153,11 +153,11 @@ def test_line_dedup_random(spark):
     rng = random.Random(3)
     rows = [(k, "\n".join(rng.choice(["a", "b", "a b", "c c c", ""]) for _ in range(rng.randint(0, 15))), "", "", 0)
             for k in range(40)]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), 4, report=True).collect()
+    got = line_dedup.dedup_report(spark.createDataFrame(rows, SCHEMA), 4).collect()
     want = brute_lines(rows, 4)
     for r in got:
-        spans = [tuple(map(int, s.split(":"))) for s in (r["_deleted"] or "").split(",") if s]
-        assert [p for a, n in spans for p in range(a, a + n)] == want[r["doc_id"]]
+        spans = [tuple(map(int, s.split(":"))) for s in r["deleted"].split(",") if s]
+        assert [p for a, n in spans for p in range(a, a + n)] == want[r["row"]["doc_id"]]
 
 
 def test_line_dedup_odd_tables(odd, nothing):
