@@ -150,7 +150,6 @@ def test_cross_reductions(spark, block_rows):
     refs = [(100 + i, "hot" if i < 30 else f"N{i % 9}", rng.normal(size=5).tolist()) for i in range(80)]
     refs += [(200, "zero", [0.0] * 5), (201, None, rng.normal(size=5).tolist()), (202, "N3", refs[40][2])]
     queries = [(i, ["hot", "N1", "N3", "zero", "absent", None][i % 6], rng.normal(size=5).tolist()) for i in range(24)]
-    queries.append((99, "N3", refs[40][2]))
     q = spark.createDataFrame(queries, "id long, name string, v array<double>")
     r = spark.createDataFrame(refs, "id long, cmp string, v array<double>")
     args = ("id", "v", "name", "cmp", block_rows)
