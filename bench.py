@@ -27,6 +27,7 @@ HEADLINE = [
     "hypergeom_enrichment",     # overlap join + exact hypergeometric tails
     "composite_score",          # four scores incl. BH-adjusted enrichment
     "shuffled_null_best",       # permutation null (perm as a key)
+    "shuffled_null_single",     # 200 permutations, target ranks counted
     "repeated_auroc",           # 10 draws x 2 spaces of pair AUROC
     "argsort_unique_rank",      # external profiles vs reference
 ]

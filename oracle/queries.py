@@ -704,6 +704,12 @@ SELECT {rnd('r', 'observed_mean_rank1')}, {rnd('p', 'observed_mean_percentile')}
        {rnd(_ep('mean_percentile', 'o.p', '>='), 'empirical_p_mean_percentile_higher')},
        {rnd(_ep('mean_robustness', 'o.v', '>='), 'empirical_p_mean_robustness_higher')}
 FROM (SELECT avg(rank1) AS r, avg(percentile) AS p, avg(value) AS v FROM e15_summary) o""", "e15_summary", "e15_null")
+SQL["range_histogram"] = build(f"""
+SELECT b.bin, {rnd('m.lo + b.bin * (m.hi - m.lo) / 37', 'left')}, {rnd('m.lo + (b.bin + 1) * (m.hi - m.lo) / 37', 'right')},
+       count(c.measure) AS count
+FROM range(37) b(bin) CROSS JOIN (SELECT min(measure) AS lo, max(measure) AS hi FROM calibration) m
+LEFT JOIN calibration c ON least(CAST(floor((c.measure - m.lo) / ((m.hi - m.lo) / 37)) AS BIGINT), 36) = b.bin
+GROUP BY b.bin, m.lo, m.hi""", "calibration")
 SQL["cumulative_hit_curve"] = build(f"""
 SELECT k.k, {rnd('CASE WHEN count(d.compound) > 0 THEN avg(CASE WHEN d.rank1 <= k.k THEN 1.0 ELSE 0.0 END) END', 'observed_frac')},
        {rnd('CASE WHEN count(d.compound) > 0 THEN avg(CASE WHEN d.null_rank1_mean <= k.k THEN 1.0 ELSE 0.0 END) END', 'null_mean_frac')},
@@ -716,6 +722,14 @@ cte("recovery", """
   SELECT c.*, w.best_target_rank AS robustness_rank, w.best_target_rank IS NOT NULL AS recover
   FROM conf c JOIN (SELECT * FROM w7 WHERE matched_compound IS NOT NULL) w
     ON lower(trim(c.compound)) = lower(trim(w.compound))""", "conf", "w7")
+SQL["cumulative_hit_curve_recovered"] = build(f"""
+SELECT k.k, {rnd('CASE WHEN count(d.compound) > 0 THEN avg(CASE WHEN d.rank1 <= k.k THEN 1.0 ELSE 0.0 END) END', 'observed_frac')},
+       {rnd('CASE WHEN count(d.compound) > 0 THEN avg(CASE WHEN d.null_rank1_mean <= k.k THEN 1.0 ELSE 0.0 END) END', 'null_mean_frac')},
+       CAST(count(d.compound) AS BIGINT) AS n_compounds
+FROM range(1, 101) k(k)
+LEFT JOIN (SELECT * FROM e15_summary WHERE rank1 IS NOT NULL AND null_rank1_mean IS NOT NULL
+             AND compound IN (SELECT compound FROM recovery WHERE recover)) d ON true
+GROUP BY k.k""", "e15_summary", "recovery")
 SQL["recover_flag"] = build(f"""
 SELECT compound, {rnd('composite_score', 'composite_score')}, CAST(robustness_rank AS BIGINT) AS robustness_rank, recover
 FROM recovery""", "recovery")
@@ -878,6 +892,31 @@ SELECT p_type, trim(regexp_replace({_short}, '\\s+', ' ', 'g')) AS short FROM (S
 SQL["concat_matrices"] = build("SELECT sig_id, pert_type FROM profiles", "profiles")
 SQL["key_match_signatures"] = build("SELECT cmap_name, min(sig_id) AS sig_id FROM profiles GROUP BY cmap_name",
                                     "profiles")
+SQL["concat_matrix_values"] = build(f"""
+SELECT p.sig_id, 'g' || CAST(g.i AS VARCHAR) AS gene,
+       {rnd("CASE WHEN p.pert_type = 'trt_cp' AND g.i % 9 <> 0 OR p.pert_type = 'trt_sh' AND g.i >= 5 THEN p.embedding[g.i + 1]::DOUBLE END", 'value')}
+FROM profiles p, (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS i) g
+WHERE g.i >= 5 OR g.i % 9 <> 0""", "profiles")
+SQL["knn_graph_euclidean"] = build(f"""
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS BIGINT) AS rank, ref_id,
+       {rnd('distance', 'distance')}
+FROM (SELECT a.sig_id AS query_id, b.sig_id AS ref_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
+      FROM profiles a JOIN profiles b ON a.sig_id <> b.sig_id)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) <= 15""", "profiles")
+SQL["read_metadata_tsv"] = build("""
+SELECT CAST(sig_id AS VARCHAR) AS sig_id, CASE WHEN pert_id % 7 <> 0 THEN cmap_name END AS cmap_name, qc_pass FROM profiles""",
+                                 "profiles")
+SQL["read_compound_info"] = """
+SELECT pert_id, 'K' || CAST(pert_id // 2 AS VARCHAR) AS inchi_key
+FROM (SELECT DISTINCT vec_id // 10 AS pert_id FROM embeddings)
+WHERE pert_id % 4 <> 0 AND pert_id % 17 <> 0 AND pert_id % 19 <> 0"""
+SQL["read_gene_set_text"] = """
+WITH g AS (SELECT DISTINCT l_returnflag AS library, 'S' || CAST(l_suppkey AS VARCHAR) AS term,
+                  'P' || CAST(l_partkey AS VARCHAR) AS gene FROM lineitem WHERE l_suppkey % 3 < 2 OR l_returnflag <> 'R')
+SELECT g.* FROM g JOIN (SELECT term, max(library) AS library FROM g GROUP BY term) USING (term, library)"""
+SQL["read_prior_results"] = build(f"""
+SELECT pert_id AS compound, {rnd('pert_id % 10 / 10', 'conf')}, lower(moa) AS moa FROM pert_moa""", "pert_moa")
+SQL["write_neighbors"] = SQL["cosine_knn"]
 SQL["read_profiles_subset"] = build("""
 SELECT sig_id, pert_id FROM profiles
 WHERE pert_type = 'trt_cp' AND qc_pass = '1' AND sig_id IN (SELECT sig_id FROM signatures)""",

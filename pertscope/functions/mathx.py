@@ -1,63 +1,39 @@
-"""Closed-form math as JVM column expressions (no Python worker)."""
+"""Closed-form math on numpy arrays."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 # ln(m!) for m = 0..9, used below the Stirling-series cut-over.
-_LN_FACT_SMALL = [math.lgamma(m + 1) for m in range(10)]
+_LN_FACT_SMALL = np.array([math.lgamma(m + 1) for m in range(10)])
 _HALF_LN_2PI = 0.5 * math.log(2 * math.pi)
 
 
-def log_factorial(m: Column) -> Column:
-    """ln(m!) for integer m >= 0.
+def log_factorial(m: np.ndarray) -> np.ndarray:
+    """ln(m!) for whole m >= 0.
 
     Exact table for m < 10, otherwise the Stirling series of ln Gamma(m+1) up to
     the z^-7 term (truncation error below 1e-12 relative for z >= 11).
     """
-    z = (m + 1).cast("double")
+    m = np.asarray(m, dtype=np.int64)
+    z = np.maximum(m, 10) + 1.0
     z2 = z * z
-    series = ((z - 0.5) * F.log(z) - z + F.lit(_HALF_LN_2PI)
+    series = ((z - 0.5) * np.log(z) - z + _HALF_LN_2PI
               + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z2) + 1.0 / (1260.0 * z * z2 * z2)
               - 1.0 / (1680.0 * z * z2 * z2 * z2))
-    small = F.element_at(F.array(*[F.lit(v) for v in _LN_FACT_SMALL]), (m + 1).cast("int"))
-    return F.when(m < 10, small).otherwise(series)
+    return np.where(m < 10, _LN_FACT_SMALL[np.minimum(m, 9)], series)
 
 
-def log_binom(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def log_binom(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return log_factorial(n) - log_factorial(k) - log_factorial(np.asarray(n) - k)
 
 
-def hypergeom_pmf_log(i: Column, big_n: Column, big_k: Column, n: Column) -> Column:
-    """ln P(X = i) for X ~ Hypergeometric(N, K, n)."""
-    return log_binom(big_k, i) + log_binom(big_n - big_k, n - i) - log_binom(big_n, n)
-
-
-def hypergeom_support(k: Column, big_n: Column, big_k: Column, n: Column) -> tuple[Column, Column]:
-    """(lo, hi) of the upper tail P(X >= k): i runs over max(k, n-(N-K), 0)..min(K, n)."""
-    return F.greatest(k, n - (big_n - big_k), F.lit(0)), F.least(big_k, n)
-
-
-def hypergeom_sf(k: Column, big_n: Column, big_k: Column, n: Column) -> Column:
-    """P(X >= k) for X ~ Hypergeometric(population N, successes K, draws n).
-
-    One log-pmf (log-factorials) at the lower end, then the ratio recurrence
-    pmf(i+1)/pmf(i) = (K-i)(n-i) / ((i+1)(N-K-n+i+1)) over i = lo..hi, so each
-    step costs four logarithms instead of nine log-factorials.
-    """
-    lo, hi = hypergeom_support(k, big_n, big_k, n)
-    lp0 = hypergeom_pmf_log(lo, big_n, big_k, n)
-    nk = big_n - big_k
-    terms = F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int"))
-    acc0 = F.struct(F.lit(0.0).alias("s"), lp0.cast("double").alias("lp"))
-
-    def step(acc, i):
-        nxt = (acc["lp"] + F.log((big_k - i).cast("double")) + F.log((n - i).cast("double"))
-               - F.log((i + 1).cast("double")) - F.log((nk - n + i + 1).cast("double")))
-        return F.struct((acc["s"] + F.exp(acc["lp"])).alias("s"), nxt.alias("lp"))
-
-    total = F.aggregate(terms, acc0, step, lambda acc: acc["s"])
-    return F.when(lo > hi, F.lit(0.0)).otherwise(F.least(total, F.lit(1.0)))
+def hypergeom_pmf(total: int, marked: int, drawn: int) -> tuple[np.ndarray, int]:
+    """P(X = i) for i from the lower to the upper end of the support of X, the
+    marked among ``drawn`` of ``total`` things of which ``marked`` are; and the
+    lower end."""
+    low, high = max(0, drawn + marked - total), min(marked, drawn)
+    i = np.arange(low, high + 1)
+    return np.exp(log_binom(marked, i) + log_binom(total - marked, drawn - i) - log_binom(total, drawn)), low

@@ -171,3 +171,24 @@ def key_match_first(df: DataFrame, key: str, order_col: str) -> DataFrame:
     others = [c for c in df.columns if c != key]
     first = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("__r"))
     return first.select(key, *[F.col(f"__r.{c}").alias(c) for c in others])
+
+
+def concat_matrices(sources: list[tuple[DataFrame, list[str]]], id_col: str = "sig_id", vec_col: str = "expr") -> tuple[DataFrame, list[str]]:
+    """Rows of several matrices, each with its own gene order, on the union
+    of their genes in name order; a gene that a source lacks is null there.
+
+    A source's order is an array of positions in its vectors, one entry a gene of
+    the union, so rows are rearranged where they are and nothing is shuffled."""
+    if not sources:
+        raise ValueError("no matrix to put together")
+    for _, genes in sources:
+        if len(set(genes)) != len(genes):
+            raise ValueError("a gene stands twice in one matrix")
+    union = sorted({g for _, genes in sources for g in genes})
+    out = None
+    for df, genes in sources:
+        at = {g: i for i, g in enumerate(genes)}
+        place = F.array(*[F.lit(at.get(g)).cast("int") for g in union])
+        rows = df.select(id_col, F.transform(place, lambda i: F.get(F.col(vec_col), i)).alias(vec_col))
+        out = rows if out is None else out.unionByName(rows)
+    return out, union

@@ -1,8 +1,10 @@
 """Gene-set enrichment of per-compound gene lists.
 
-The sparse (compound x gene) @ (gene x term) product is an equi-join on gene
-followed by ``groupBy(compound, term).count()``: only non-zero overlaps are
-ever produced.  p-values are exact hypergeometric tails; because the tail for
+The sparse (compound x gene) @ (gene x term) product runs in tiles of a block of
+compounds and a block of terms, both dealt out by hash, so a gene that stands in
+every list is shared by all tiles instead of being one join key.  A tile counts
+its overlaps with numpy and, for the p-values, sends the largest per (compound,
+term size) only.  p-values are exact hypergeometric tails; because the tail for
 fixed (K, n) falls as k grows, only the largest overlap per (compound, term
 size) can give the compound's minimum, and the tails of all k are suffix sums
 over one pmf table per distinct (K, n).
@@ -10,10 +12,14 @@ over one pmf table per distinct (K, n).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hypergeom_pmf_log, hypergeom_support
+from ..functions.mathx import hypergeom_pmf
 from ..session import materialize
 from .ranks import prefix_agg
 
@@ -48,31 +54,101 @@ def term_sizes(gs: DataFrame, min_size: int = 10, max_size: int = 500) -> DataFr
             .filter((F.col("n_genes") >= min_size) & (F.col("n_genes") <= max_size)))
 
 
-def term_overlap(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, max_size: int = 500) -> DataFrame:
-    """``(compound, term, k, n_genes)`` for every non-zero overlap."""
+BLOCK_GENES, PAIRS = 50_000, 1 << 22          # list entries of a block; matches that a tile counts at a time
+
+
+def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.Index, pd.Index]:
+    """Compound and term numbers with their counts of common genes, and both sides' names."""
+    c, compounds = pd.factorize(left["compound"])
+    t, terms = pd.factorize(right["term"])
+    genes, _ = pd.factorize(pd.concat([left["gene"], right["rgene"]], ignore_index=True))
+    a, b = genes[:len(left)], genes[len(left):]
+    by_gene = np.argsort(b, kind="stable")
+    begin = np.searchsorted(b[by_gene], a)
+    n = np.searchsorted(b[by_gene], a, "right") - begin
+    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        some = slice(at, to)
+        within = np.arange(n[some].sum()) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+        met = by_gene[np.repeat(begin[some], n[some]) + within]
+        key, k = np.unique(np.repeat(c[some], n[some]) * len(terms) + t[met], return_counts=True)
+        keys, place = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, k])).astype(np.int64)
+        at = to
+    return keys // max(len(terms), 1), keys % max(len(terms), 1), counts, compounds, terms
+
+
+def _tiles(query_genes: DataFrame, tg: DataFrame, fn, schema: str, block_genes: int) -> DataFrame:
+    """``fn`` of every tile of ``(compound, gene)`` and ``(term, rgene, n_genes)``."""
+    n = lambda df: F.greatest(F.lit(1), F.ceil(df.agg(F.count("*")).scalar() / F.lit(block_genes))).cast("int")
+    upto = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    n_c, n_t = n(query_genes), n(tg)
+    left = query_genes.withColumn("cb", F.pmod(F.xxhash64("compound"), n_c).cast("int")).withColumn("tb", upto(n_t))
+    right = tg.withColumn("tb", F.pmod(F.xxhash64("term"), n_t).cast("int")).withColumn("cb", upto(n_c))
+    return left.groupBy("cb", "tb").cogroup(right.groupBy("cb", "tb")).applyInPandas(fn, schema)
+
+
+def _sized_genes(gs: DataFrame, min_size: int, max_size: int) -> DataFrame:
     sizes = term_sizes(gs, min_size, max_size)
-    tg = gs.select("term", "gene").distinct().join(sizes, "term")
-    qg = query_genes.select("compound", "gene").distinct()
-    return qg.join(tg, "gene").groupBy("compound", "term").agg(
-        F.count(F.lit(1)).alias("k"), F.first("n_genes").alias("n_genes"))
+    return materialize(gs.select("term", F.col("gene").alias("rgene")).distinct().join(sizes, "term"), "term-genes")
+
+
+def term_overlap(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, max_size: int = 500,
+                 block_genes: int = BLOCK_GENES) -> DataFrame:
+    """``(compound, term, k, n_genes)`` for every non-zero overlap."""
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        i, j, k, compounds, terms = _overlaps(left, right)
+        sizes = right.drop_duplicates("term")["n_genes"].to_numpy()
+        return pd.DataFrame({"compound": compounds.to_numpy(dtype=object)[i], "term": terms.to_numpy(dtype=object)[j],
+                             "k": k, "n_genes": sizes[j] if len(j) else k})
+
+    qg = materialize(query_genes.select("compound", "gene").distinct(), "query_genes")
+    return _tiles(qg, _sized_genes(gs, min_size, max_size), count,
+                  "compound string, term string, k long, n_genes long", block_genes)
+
+
+def largest_overlaps(qg: DataFrame, gs: DataFrame, min_size: int = 10, max_size: int = 500,
+                     block_genes: int = BLOCK_GENES) -> DataFrame:
+    """``(compound, n_genes, k)``: the largest overlap with a term of each size."""
+    def most(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        i, j, k, compounds, _ = _overlaps(left, right)
+        sizes = right.drop_duplicates("term")["n_genes"].to_numpy()
+        key = i * (max_size + 1) + (sizes[j] if len(j) else k)
+        order = np.lexsort((k, key))
+        last = np.flatnonzero(np.append(key[order][1:] != key[order][:-1], True)[:len(key)])
+        return pd.DataFrame({"compound": compounds.to_numpy(dtype=object)[key[order][last] // (max_size + 1)],
+                             "n_genes": key[order][last] % (max_size + 1), "k": k[order][last]})
+
+    found = _tiles(qg, _sized_genes(gs, min_size, max_size), most, "compound string, n_genes long, k long", block_genes)
+    return found.groupBy("compound", "n_genes").agg(F.max("k").alias("k"))
 
 
 def upper_tails(cand: DataFrame, big_n: Column) -> DataFrame:
     """``(n_genes, n, k, p)``: exact hypergeometric tails P(X >= k) for every
-    pair (n_genes, n) of ``cand`` and every k from its smallest overlap up.
-
-    One row per pair and support value carries a code-generated pmf; a suffix
-    sum, smallest terms first, turns them into the tails of all k at once.  A
-    pair's rows are at most its term size, so no window grows with the data."""
-    pairs = cand.groupBy("n_genes", "n").agg(F.min("k").alias("low")).withColumn("big_n", big_n)
-    lo, hi = hypergeom_support(F.col("low"), F.col("big_n"), F.col("n_genes"), F.col("n"))
-    # below the support the tail is that of its lower end: those k share its value
-    rows = pairs.withColumn("k", F.explode(F.sequence(F.col("low"), hi)))
-    pmf = F.when(F.col("k") >= lo, F.exp(hypergeom_pmf_log(F.col("k"), F.col("big_n"), F.col("n_genes"), F.col("n")))
-                 ).otherwise(F.lit(0.0))
-    w = Window.partitionBy("n_genes", "n").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.withColumn("pmf", pmf)
-            .select("n_genes", "n", "k", F.least(F.sum("pmf").over(w), F.lit(1.0)).alias("p")))
+    distinct triple of ``cand``.
+
+    One row a pair (n_genes, n) holds its overlaps k; the tails of all k are one
+    running sum of the pmf, smallest terms first.  A pair's support has at most
+    its term size, so no row grows with the data."""
+    pairs = (cand.select("n_genes", "n", "k").distinct().groupBy("n_genes", "n")
+             .agg(F.collect_list("k").alias("ks")).withColumn("big_n", big_n))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for size, n, ks, total in frame[["n_genes", "n", "ks", "big_n"]].itertuples(index=False):
+                pmf, low = hypergeom_pmf(int(total), int(size), int(n))
+                tail = np.append(np.cumsum(pmf[::-1])[::-1], 0.0)
+                ks = np.asarray(ks, dtype=np.int64)
+                p = np.minimum(tail[np.clip(ks - low, 0, len(pmf))], 1.0)
+                out.append((np.full(len(ks), size), np.full(len(ks), n), ks, p))
+            if out:
+                yield pd.DataFrame(dict(zip(("n_genes", "n", "k", "p"), (np.concatenate(x) for x in zip(*out)))))
+
+    return pairs.mapInPandas(run, "n_genes long, n long, k long, p double")
 
 
 def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, max_size: int = 500) -> DataFrame:
@@ -83,10 +159,9 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
     # the per-compound gene lists feed three branches: write them once
     qg = materialize(query_genes.select("compound", "gene").distinct(), "query_genes")
     n_in = (qg.join(universe, "gene", "left_semi").groupBy("compound").agg(F.count(F.lit(1)).alias("n")))
-    ov = term_overlap(qg, gs, min_size, max_size)
-    per_size = ov.groupBy("compound", "n_genes").agg(F.max("k").alias("k"))
+    per_size = largest_overlaps(qg, gs, min_size, max_size)
     # one row per (compound, term size), read by the triple extraction and the
-    # join back: written once so the overlap join runs once
+    # join back: written once so the overlap tiles run once
     cand = materialize(per_size.join(n_in, "compound"), "enrichment_candidates")
     pv = upper_tails(cand, big_n)
     best = cand.join(pv, ["k", "n_genes", "n"]).groupBy("compound").agg(F.min("p").alias("best_p"))
@@ -96,7 +171,7 @@ def compound_best_p(query_genes: DataFrame, gs: DataFrame, min_size: int = 10, m
                    F.when(F.col("n") > 0, F.coalesce("best_p", F.lit(1.0))).otherwise(F.lit(1.0)).alias("best_p"),
                    (F.coalesce("n", F.lit(0)) > 0).alias("has_result")))
     # one row per compound: written once, so the global BH ranking that follows
-    # reads a small table instead of re-running the overlap join
+    # reads a small table instead of re-running the overlap tiles
     return materialize(out, "enrichment_best_p")
 
 

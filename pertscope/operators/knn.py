@@ -178,7 +178,29 @@ def tiled_knn(query: DataFrame, ref: DataFrame, k: int, tile, *, id_col: str, ve
     return out
 
 
-def knn_graph(profiles: DataFrame, k: int = 15, *, id_col: str = "sig_id",
-              vec_col: str = "embedding") -> DataFrame:
-    """Self-neighbour graph (V4): every profile's k nearest others by cosine."""
-    return cosine_knn(profiles, profiles, k, id_col=id_col, vec_col=vec_col, exclude_self=True)
+def _euclidean_tile(left: pd.Series, right: pd.Series):
+    """Euclidean distances of one tile, from differences where they are small."""
+    q, r = _stack(left), _stack(right)
+    nq, nr = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", r, r)
+
+    def distances(some: slice) -> np.ndarray:
+        scale = nq[some, None] + nr[None, :]
+        d2 = scale - 2 * (q[some] @ r.T)
+        # products lose what near rows differ by
+        i, j = np.nonzero(d2 < 1e-6 * scale)
+        for k in range(0, len(i), 65536):
+            diff = q[some][i[k:k + 65536]] - r[j[k:k + 65536]]
+            d2[i[k:k + 65536], j[k:k + 65536]] = np.einsum("ij,ij->i", diff, diff)
+        return np.sqrt(np.maximum(d2, 0.0))
+
+    return distances
+
+
+def knn_graph(profiles: DataFrame, k: int = 15, *, id_col: str = "sig_id", vec_col: str = "embedding",
+              metric: str = "cosine") -> DataFrame:
+    """Self-neighbour graph (V4): every profile's k nearest others by cosine or,
+    with ``metric='euclidean'``, Euclidean distance."""
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError("metric must be 'cosine' or 'euclidean'")
+    tile = _cosine_tile if metric == "cosine" else _euclidean_tile
+    return tiled_knn(profiles, profiles, k, tile, id_col=id_col, vec_col=vec_col, exclude_self=True)

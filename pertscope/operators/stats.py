@@ -232,6 +232,24 @@ def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     return base.join(exact_percentiles(df, value, {"median": 0.5}, [by]), by, "left")
 
 
+def range_histogram(df: DataFrame, value: str, n_bins: int = 37) -> DataFrame:
+    """A12 over the data's own range: ``(bin, left, right, count)`` of ``n_bins``
+    equal bins from the least to the greatest value, last bin closed, zero bins
+    included; one value alone lies in the middle of a range of length 1."""
+    v = F.col(value).cast("double")
+    lo, hi = (df.agg(f(v)).scalar() for f in (F.min, F.max))
+    half = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0))
+    step = (hi - lo + 2 * half) / F.lit(n_bins)
+    rows = df.where(v.isNotNull()).select(v.alias("_v")).withColumns({"_lo": lo - half, "_step": step})
+    at = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_step")).cast("int"), F.lit(n_bins - 1))
+    counts = rows.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    bins = df.sparkSession.range(0, n_bins).select(F.col("id").cast("int").alias("bin"))
+    return (bins.join(counts, "bin", "left").withColumns({"_lo": lo - half, "_step": step})
+            .select("bin", (F.col("_lo") + F.col("bin") * F.col("_step")).alias("left"),
+                    (F.col("_lo") + (F.col("bin") + 1) * F.col("_step")).alias("right"),
+                    F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+
+
 def histogram(df: DataFrame, value: str, n_bins: int = 20, by: list[str] | None = None) -> DataFrame:
     """Counts on ``n_bins`` equal bins over [0, 1], last bin closed, zero
     bins included."""
@@ -272,23 +290,6 @@ def ecdf(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     return j.select(*by, value, (F.col("n_cum") / F.col("total")).alias("ecdf"))
 
 
-def empirical_p(null: DataFrame, observed: DataFrame, key: list[str], null_col: str, obs_col: str,
-                direction: str = "higher") -> DataFrame:
-    """(count of null values at least as extreme + 1) / (n + 1); NULL values
-    dropped; no null values -> NULL."""
-    if direction == "higher":
-        hit = F.col(null_col) >= F.col(obs_col)
-    elif direction == "lower":
-        hit = F.col(null_col) <= F.col(obs_col)
-    else:
-        raise ValueError("direction must be 'higher' or 'lower'")
-    j = observed.select(*key, obs_col).join(null.filter(F.col(null_col).isNotNull()).select(*key, null_col), key, "left")
-    agg = j.groupBy(*key).agg(F.count(F.col(null_col)).alias("n_null"),
-                              F.sum(F.when(hit, 1).otherwise(0)).alias("n_extreme"))
-    return agg.select(*key, F.when(F.col("n_null") > 0,
-                                   (F.col("n_extreme") + 1) / (F.col("n_null") + 1)).alias("p_value"))
-
-
 def classification_metrics(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """Accuracy, error rate and macro precision / recall / F1 over the
     classes present in truth or prediction (0 on zero division)."""

@@ -441,8 +441,7 @@ def q_e13(spark, d):
 
 
 def _single(spark, d):
-    obs, null = gr.null_tables(spark, d, N_PERM_SINGLE)
-    return nl.shuffled_null_single(obs, null, gr.single_targets(Tables(spark, d)))
+    return nl.shuffled_null_single(*gr.null_inputs(spark, d), gr.single_targets(Tables(spark, d)), N_PERM_SINGLE)
 
 
 @register("shuffled_null_single")
@@ -456,8 +455,7 @@ def q_e14p(spark, d):
 
 
 def _best(spark, d):
-    obs, null = gr.null_tables(spark, d, N_PERM_BEST)
-    return nl.shuffled_null_best(obs, null, fx.targets(Tables(spark, d)))
+    return nl.shuffled_null_best(*gr.null_inputs(spark, d), fx.targets(Tables(spark, d)), N_PERM_BEST)
 
 
 @register("shuffled_null_best")
@@ -475,6 +473,13 @@ def q_w12(spark, d):
     return rounded(nl.cumulative_hit_curve(_best(spark, d)[0], 100))
 
 
+@register("cumulative_hit_curve_recovered")
+def q_w12_recovered(spark, d):
+    """The hit curve of the compounds whose known target was recovered."""
+    r = gr.recovery(spark, d).filter("recover").select("compound")
+    return rounded(nl.cumulative_hit_curve(_best(spark, d)[0], 100, selected=r))
+
+
 @register("recover_flag")
 def q_p15(spark, d):
     r = gr.recovery(spark, d)
@@ -665,6 +670,102 @@ def q_j6(spark, d):
     return a.unionByName(b)
 
 
+@register("concat_matrix_values")
+def q_j6_values(spark, d):
+    """Compounds lack the genes of every ninth position; knock-downs come in the
+    opposite gene order and lack the first five."""
+    t = Tables(spark, d)
+    width = fx.gene_vocab(t).count()
+    own = [i for i in range(width) if i % 9]
+    other = list(range(width - 1, 4, -1))
+    pick = lambda places: F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get("expr", i)).alias("expr")
+    e = fx.expr_profiles(t)
+    sources = [(e.filter(F.col("pert_type") == kind).select("sig_id", pick(places)), [f"g{i}" for i in places])
+               for kind, places in (("trt_cp", own), ("trt_sh", other))]
+    rows, genes = cl.concat_matrices(sources)
+    names = F.array(*[F.lit(g) for g in genes])
+    return rounded(rows.select("sig_id", F.explode(F.arrays_zip(names.alias("gene"), F.col("expr").alias("value"))).alias("x"))
+                   .select("sig_id", "x.gene", "x.value"))
+
+
+@register("knn_graph_euclidean")
+def q_v4_l2(spark, d):
+    return rounded(knn_graph(fx.profiles(Tables(spark, d)), 15, metric="euclidean"))
+
+
+# ------------------------------------------- files, written first, then read --
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import io  # noqa: E402
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
+@register("read_metadata_tsv")
+def q_s1(spark, d):
+    """Metadata written with another column order and one column more."""
+    p = fx.profiles(Tables(spark, d)).select(
+        "qc_pass", F.lit("unused").alias("note"),
+        F.when(F.col("pert_id") % 7 == 0, "nan").otherwise(F.col("cmap_name")).alias("cmap_name"), "sig_id")
+    path = _folder(spark, "metadata")
+    p.write.option("sep", "\t").option("header", True).csv(path)
+    return io.read_metadata_tsv(spark, path, ["sig_id", "cmap_name", "qc_pass"])
+
+
+@register("read_compound_info")
+def q_s2(spark, d):
+    path = _folder(spark, "compounds")
+    fx.compound_info(Tables(spark, d)).select("inchi_key", "pert_id").write.option("sep", "\t").option("header", True).csv(path)
+    schema = T.StructType([T.StructField("pert_id", T.LongType()), T.StructField("inchi_key", T.StringType())])
+    return io.read_compound_info(spark, path, schema, ["inchi_key"])
+
+
+@register("read_gene_set_text")
+def q_s4_text(spark, d):
+    """Three libraries whose terms repeat; a later library replaces a term of an earlier one."""
+    li = Tables(spark, d).lineitem.select(
+        F.col("l_returnflag").alias("library"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("term"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("gene")).where("l_suppkey % 3 < 2 OR l_returnflag <> 'R'")
+    lines = li.groupBy("library", "term").agg(F.collect_set("gene").alias("g")).select(
+        "library", F.concat_ws("\t", "term", F.lit("na"), "g").alias("value"))
+    paths = [(k, _folder(spark, f"library-{k}")) for k in ("A", "N", "R")]
+    for k, path in paths:
+        lines.filter(F.col("library") == k).select("value").write.text(path)
+    return io.read_gmt(spark, paths)
+
+
+@register("read_prior_results")
+def q_s8(spark, d):
+    """Label lists written as text and read back by name."""
+    path = _folder(spark, "prior")
+    moa = fx.pert_moa(Tables(spark, d)).groupBy("pert_id").agg(F.array_sort(F.collect_set("moa")).alias("moa"))
+    io.write_csv(moa.select("moa", F.col("pert_id").alias("compound"), (F.col("pert_id") % 10 / 10).alias("conf")), path)
+    schema = T.StructType([T.StructField("compound", T.LongType()), T.StructField("conf", T.DoubleType()),
+                           T.StructField("moa", T.StringType())])
+    back = io.read_prior_results(spark, path, schema, ["moa"])
+    return rounded(back.select("compound", "conf", F.explode("moa").alias("moa")))
+
+
+@register("write_neighbors")
+def q_s6(spark, d):
+    """The neighbour table written, not written again, and read back."""
+    t = Tables(spark, d)
+    path = _folder(spark, "neighbors")
+    nb = cosine_knn(fx.compound_profiles(t), fx.knockdown_profiles(t), 10)
+    io.write_neighbors(nb, path)
+    io.write_neighbors(nb.limit(0), path)
+    return rounded(spark.read.parquet(path).select("query_id", "rank", "ref_id", "distance"))
+
+
+@register("range_histogram")
+def q_a12_range(spark, d):
+    c = fx.calibration(Tables(spark, d))
+    return rounded(stats.range_histogram(c, "measure", 37))
+
+
 @register("key_match_signatures")
 def q_j7(spark, d):
     p = fx.profiles(Tables(spark, d))
@@ -796,7 +897,8 @@ def projection_weights(d_in: int = 64, d_out: int = 16) -> np.ndarray:
 @register("batch_embed")
 def q_v8(spark, d):
     p = fx.profiles(Tables(spark, d))
-    e = emb.batch_embed(p, "embedding", emb.linear_projection(projection_weights()), 16)
+    weights = emb.ship_parameters(spark, weights=projection_weights())
+    e = emb.batch_embed(p, "embedding", emb.linear_projection, 16, shipped=weights)
     return rounded(e.select("sig_id", F.posexplode("embedding").alias("pos", "value")))
 
 

@@ -44,16 +44,12 @@ def single_targets(t: Tables) -> DataFrame:
     return fx.targets(t).filter(F.col("target_order") == 1).select("compound", "target")
 
 
-def null_tables(spark, sf_dir: str, n_perm: int, seed: int = 0, k: int = K_GENES):
-    """Observed and permuted robustness rank tables for the null analyses."""
-    from ..operators import nulls
+def null_inputs(spark, sf_dir: str, k: int = K_GENES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Observed rank table, hits, reference genes and signatures for the null analyses."""
     t = Tables(spark, sf_dir)
     _, cg, _ = robustness_tables(spark, sf_dir, k)
     observed = materialize(rk.min_rank_percentile(cg), "observed_ranks")
-    permuted = nulls.permute_labels(fx.ref_genes(t), n_perm, seed)
-    null = nulls.null_robustness(fx.ranked_hits(t), permuted, fx.cp_signatures(t), k)
-    # the null table is n_perm times the observed one: write it once
-    return observed, materialize(null, "null_ranks")
+    return observed, fx.ranked_hits(t), fx.ref_genes(t), fx.cp_signatures(t)
 
 
 def recovery(spark, sf_dir: str) -> DataFrame:

@@ -17,9 +17,16 @@ def _read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).csv(path)
 
 
+def _need_columns(df: DataFrame, columns: list[str], path: str) -> None:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(df.columns)}")
+
+
 def read_metadata_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab-separated metadata, every column read as a string; 'nan' -> NULL."""
     df = _read_tsv(spark, path)
+    _need_columns(df, columns, path)
     return df.select(*[F.when(F.col(c) == "nan", None).otherwise(F.col(c)).alias(c) for c in columns])
 
 
@@ -27,6 +34,7 @@ def read_compound_info(spark: SparkSession, path: str, schema: T.StructType, key
                        sentinel: str = "restricted") -> DataFrame:
     """Compound table; rows missing a key column or carrying the sentinel dropped."""
     df = _read_tsv(spark, path)
+    _need_columns(df, schema.names, path)
     df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]).dropna(subset=key_cols)
     cond = F.lit(True)
     for c in key_cols:
@@ -46,9 +54,18 @@ def read_gmt(spark: SparkSession, paths_in_priority_order: list[tuple[str, str]]
     return load_gene_sets(lines)
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job ended there: its mark is the last file it writes."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_neighbors(neighbors: DataFrame, path: str, block_col: str | None = None) -> None:
-    """Write the neighbour table once; an existing output is left untouched."""
-    w = neighbors.write.mode("ignore")
+    """Write the neighbour table once; a finished output is left untouched,
+    what a failed write left behind is replaced."""
+    if _finished(neighbors.sparkSession, path):
+        return
+    w = neighbors.write.mode("overwrite")
     if block_col:
         w = w.partitionBy(block_col)
     w.parquet(path)
@@ -62,11 +79,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_prior_results(spark: SparkSession, path: str, schema: T.StructType, list_cols: list[str]) -> DataFrame:
-    """Re-read exported CSV; string-encoded label lists parsed back to arrays."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
-    for c in list_cols:
-        df = df.withColumn(c, clean_label_set(c))
-    return df
+    """Re-read exported CSV by the names in its header, whatever their order;
+    string-encoded label lists parsed back to arrays."""
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    _need_columns(df, schema.names, path)
+    return df.select(*[clean_label_set(f.name).alias(f.name) if f.name in list_cols
+                       else F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_roc(roc: DataFrame, path: str, partition_cols: tuple[str, ...] = ("label", "space")) -> None:

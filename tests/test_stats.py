@@ -2,9 +2,11 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pertscope.functions.mathx import hypergeom_sf, log_factorial
+from pertscope.functions.mathx import log_factorial
+from pertscope.operators.enrichment import upper_tails
 from pertscope.operators import stats
 from pertscope.operators.enrichment import bh_adjust
 
@@ -67,17 +69,30 @@ def test_spearman_against_numpy(spark):
     assert abs(r.rho - want) < 1e-12 and 0 <= r.p_value <= 1
 
 
-def test_hypergeom_tail_exact(spark):
-    cases = [(1, 200, 20, 5), (3, 2000, 150, 40), (7, 20000, 300, 100), (2, 50, 10, 12)]
-    df = spark.createDataFrame(cases, "k int, pop int, succ int, draws int")
-    got = [r.p for r in df.select(hypergeom_sf(F.col("k"), F.col("pop"), F.col("succ"), F.col("draws")).alias("p")).collect()]
-    for (k, big_n, big_k, n), p in zip(cases, got):
-        want = sum(Fraction(math.comb(big_k, i) * math.comb(big_n - big_k, n - i), math.comb(big_n, n))
-                   for i in range(k, min(big_k, n) + 1))
-        assert abs(p - float(want)) <= 1e-9 * float(want)
-
-
-def test_log_factorial(spark):
-    df = spark.range(0, 60).select(F.col("id").cast("int").alias("m"))
-    for r in df.select("m", log_factorial(F.col("m")).alias("lf")).collect():
-        assert abs(r.lf - math.lgamma(r.m + 1)) <= 1e-11 * max(1.0, math.lgamma(r.m + 1))
+def test_hypergeom_tails_exact(spark):
+    total = 2000
+    cases = [(1, 20, 5), (3, 150, 40), (4, 150, 40), (2, 10, 12), (0, 10, 12), (900, 1500, 1400), (910, 1500, 1400),
+             (10, 10, 1999), (5, 5, 5), (0, 7, 0)]
+    df = spark.createDataFrame(cases + cases[:2], "k long, n_genes long, n long")
+    got = {(r.k, r.n_genes, r.n): r.p for r in upper_tails(df, F.lit(total)).collect()}
+    assert len(got) == len(cases)
+    for k, size, n in cases:
+        want = sum(Fraction(math.comb(size, i) * math.comb(total - size, n - i), math.comb(total, n))
+                   for i in range(max(k, 0), min(size, n) + 1))
+        assert got[k, size, n] == pytest.approx(float(want), rel=1e-9, abs=1e-300)
+
+
+def test_log_factorial():
+    m = np.arange(300)
+    assert np.allclose(log_factorial(m), [math.lgamma(x + 1) for x in m], rtol=1e-12, atol=1e-12)
+
+
+def test_range_histogram(spark):
+    values = [0.5, 0.5, 3.0, 7.25, 10.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = sorted(stats.range_histogram(df, "x", 37).collect())
+    counts, edges = np.histogram([v for v in values if v is not None], bins=37)
+    assert [r["count"] for r in rows] == counts.tolist()
+    assert [r["left"] for r in rows] == pytest.approx(edges[:-1].tolist())
+    alone = stats.range_histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 5).collect()
+    assert sorted(r["count"] for r in alone) == [0, 0, 0, 0, 2]
