@@ -73,40 +73,85 @@ def lower(t):
 # 1 -------------------------------------------------------------------------
 
 def brute_lm(rows, held, mu):
-    toks = [[lower(w) for w in words(t)] + ["</s>"] for t in (r[1] for r in rows)]
-    uni, bi = Counter(), Counter()
+    toks = [["</s>"] + [lower(w) for w in words(t)] + ["</s>"] for t in (r[1] for r in rows)]
+    uni, bi, tri = Counter(), Counter(), Counter()
     for t, h in zip(toks, held):
         if not h:
-            uni.update(t)
-            bi.update(zip(["</s>", *t[:-1]], t))
+            uni.update(t[1:])
+            bi.update(zip(t, t[1:]))
+            tri.update(zip(t, t[1:], t[2:]))
     n, v = sum(uni.values()), len(uni)
+
+    def p1(w):
+        return (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p2(h, w):
+        return (bi[h, w] + mu * p1(w)) / (uni[h] + mu)
+
+    def p3(g, h, w):
+        return (tri[g, h, w] + mu * p2(h, w)) / (bi[g, h] + mu)
+
     out = []
     for t in toks:
-        p = [(uni[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
-        s = [(bi[h, w] + mu * q) / (uni[h] + mu) for h, w, q in zip(["</s>", *t[:-1]], t, p)]
-        out.append((len(t), sum(uni[w] > 0 for w in t), n, sum(map(math.log10, p)), sum(map(math.log10, s))))
+        base = [p1(w) for w in t[1:]]
+        s = [p2(t[0], t[1])] + [p3(*t[i - 2:i + 1]) for i in range(2, len(t))]
+        out.append((len(t) - 1, sum(uni[w] > 0 for w in t[1:]), n, sum(map(math.log10, base)),
+                    sum(map(math.log10, s))))
     return out
 
 
-@pytest.mark.parametrize("group_bytes", [500, 1 << 20])
-def test_lm_scores(docs, rows, group_bytes):
+@pytest.mark.parametrize("group_bytes, owner_bytes", [(500, 4000), (1, 1 << 20), (1 << 20, 800)])
+def test_lm_scores(docs, rows, group_bytes, owner_bytes):
     held = [zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.hold_out(docs), group_bytes=group_bytes).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.hold_out(docs), group_bytes=group_bytes,
+                                                    owner_bytes=owner_bytes).collect()}
+    assert len(got) == len(rows)
     for r, h, want in zip(rows, held, brute_lm(rows, held, lm_scoring.MU)):
         g = got[r[0]]
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (h, *want[:3])
         assert g["base_score"] == pytest.approx(want[3]) and g["score"] == pytest.approx(want[4])
 
 
-def test_lm_arcs_of_a_state_sum_to_one():
-    text = "a b a c a b"
-    t = [*text.split(), "</s>"]
-    uni, bi = Counter(t), Counter(zip(["</s>", *t[:-1]], t))
-    n, v, mu = len(t), len(uni), lm_scoring.MU
-    # all known words, and the half count left for unknown ones
-    mass = sum((bi["a", w] + mu * (uni[w] + 0.5) / (n + 0.5 * (v + 1))) / (uni["a"] + mu) for w in uni)
-    unknown = mu * 0.5 / (n + 0.5 * (v + 1)) / (uni["a"] + mu)
-    assert mass + unknown == pytest.approx(1)
+def _lm_steps(training, texts, mu=lm_scoring.MU):
+    """Log probabilities of the library's automaton, one list per text."""
+    grams = lm_scoring.Grams(lm_scoring.Tokens.of(training + texts))
+    learnt = np.arange(len(training) + len(texts)) < len(training)
+    total = {n: grams.counts(n, learnt) for n in lm_scoring.ORDERS}
+    log_all = math.log10(total[1].sum() + 0.5 * ((total[1] > 0).sum() + 1))
+    steps = lm_scoring.Automaton(grams, total, log_all, mu).walk()
+    return [steps[a:b].tolist() for a, b in zip(grams.starts, grams.ends)][len(training):]
+
+
+@pytest.mark.parametrize("context", ["", "a", "b", "a b", "c a", "b b", "never", "a never", "never a", "c a b"])
+def test_lm_arcs_of_a_state_sum_to_one(context):
+    training = ["a b a c a b", "b a b c", "", "c a b a"]
+    n = len(context.split())
+    known = ["a", "b", "c", ""]        # the empty one reads the end token
+    steps = _lm_steps(training, [f"{context} {w}".strip() for w in [*known, "unknown"]])
+    assert sum(10 ** s[n] for s in steps) == pytest.approx(1)
+
+
+def test_lm_falls_back_two_levels():
+    """From the state of a pair, past that of a word, to the root."""
+    training = ["a b c", "a b d", "x y"]
+    (steps,) = _lm_steps(training, ["a b x"], mu=2.0)
+    # N = 11 tokens, V = 7 types; c(a b) = 2, c(b) = 2, c(x) = 1, and x never follows b
+    assert steps[2] == pytest.approx(math.log10(2 / 4) + math.log10(2 / 4) + math.log10(1.5 / (11 + 0.5 * 8)))
+
+
+def test_lm_walk_in_blocks(monkeypatch):
+    texts = ["a b a c a b", "b a never c a", ""] * 5
+    whole = _lm_steps(texts, texts)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 4)
+    assert _lm_steps(texts, texts) == whole
+
+
+def test_lm_without_training(docs, rows):
+    from pyspark.sql import functions as F
+
+    got = lm_scoring.score(docs, F.lit(True)).collect()
+    assert len(got) == len(rows)
+    assert all(r["train_tokens"] == r["n_known"] == 0 and r["score"] == pytest.approx(r["base_score"]) for r in got)
 
 
 def test_lm_odd_tables(odd, nothing):
