@@ -49,7 +49,8 @@ from .common import materialize, text_of
 
 MU = 20.0
 ORDERS = (1, 2, 3)
-GROUP_BYTES = 8 << 20
+PACKED = ("places", "ends", "hashes")
+GROUP_BYTES = 4 << 20
 OWNER_BYTES = 16 << 20
 BLOCK = 1 << 16              # tokens that a traversal holds as Python numbers at a time
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -62,11 +63,11 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Token numbers of a group of texts, each ended by number 0, where each
-    text ends, and the hash that names each number in all groups."""
+    """Tokens of a group of texts, each ended by the end token, as places in the
+    sorted ``hashes`` that name them in all groups, and where each text ends."""
 
-    def __init__(self, number: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
-        self.number, self.ends, self.hashes = number, ends, hashes
+    def __init__(self, place: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
+        self.place, self.ends, self.hashes = place, ends, hashes
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Tokens:
@@ -80,8 +81,19 @@ class Tokens:
             ids = [vocabulary[w] for w in (text or "").encode("utf-8").lower().split()]
             ids.append(end)
             parts.append(np.array(ids, dtype=np.uint32))
-        return cls(np.concatenate(parts), np.cumsum([len(p) for p in parts], dtype=np.int64),
-                   np.array([xxh64_intdigest(w) for w in vocabulary], dtype=np.uint64))
+        hashes = np.array([xxh64_intdigest(w) for w in vocabulary], dtype=np.uint64)
+        order = np.argsort(hashes)
+        place = np.empty(len(hashes), dtype=np.uint32)
+        place[order] = np.arange(len(hashes))
+        return cls(place[np.concatenate(parts)], np.cumsum([len(p) for p in parts], dtype=np.int64), hashes[order])
+
+    def packed(self) -> list[bytes]:
+        gaps = np.diff(self.hashes, prepend=np.uint64(0))
+        return [_pack(self.place, 4), _pack(self.ends), _pack(gaps)]
+
+    @classmethod
+    def unpacked(cls, place: bytes, ends: bytes, gaps: bytes) -> Tokens:
+        return cls(_unpack(place, 4), _unpack(ends).astype(np.int64), np.cumsum(_unpack(gaps), dtype=np.uint64))
 
 
 class Grams:
@@ -90,32 +102,28 @@ class Grams:
     text's first word has the end token as context and no trigram (place -1)."""
 
     def __init__(self, tokens: Tokens):
-        number, hashes = tokens.number, tokens.hashes
+        hashes, uni_at = tokens.hashes, tokens.place.astype(np.int64)
         self.ends = tokens.ends
         self.starts = np.concatenate([[0], self.ends[:-1]])
-        first = np.zeros(len(number), dtype=bool)
+        first = np.zeros(len(uni_at), dtype=bool)
         first[self.starts] = True
         inner = np.flatnonzero(~first)
-        order = np.argsort(hashes)
-        place = np.empty(len(hashes), dtype=np.int64)
-        place[order] = np.arange(len(hashes))
-        self.end = int(place[0])
-        own = hashes[number]
-        uni_at = place[number]
+        self.end = int(uni_at[-1])
+        own = hashes[uni_at]
         # before a text's first token stands the end of the one before: the state at a start
         self.context_at = np.concatenate([[self.end], uni_at[:-1]])
-        context = np.concatenate([hashes[:1], own[:-1]])
+        context = hashes[self.context_at]
         pair = _scramble(context * _MIX[0] + (own ^ (own >> np.uint64(29))))
         triple = _scramble(pair[inner - 1] * _MIX[0] + (own[inner] ^ (own[inner] >> np.uint64(31))))
         bi, bi_at = np.unique(pair, return_inverse=True)
         tri, inner_at = np.unique(triple, return_inverse=True)
-        tri_at = np.full(len(number), -1, dtype=np.int64)
+        tri_at = np.full(len(uni_at), -1, dtype=np.int64)
         tri_at[inner] = inner_at
         self.first, self.inner = first, inner
-        self.keys = {1: hashes[order], 2: bi, 3: tri}
+        self.keys = {1: hashes, 2: bi, 3: tri}
         self.at = {1: uni_at, 2: bi_at, 3: tri_at}
         self.seat = {n: np.empty(len(self.keys[n]), dtype=np.int64) for n in (2, 3)}
-        self.seat[2][bi_at] = np.arange(len(number))
+        self.seat[2][bi_at] = np.arange(len(uni_at))
         self.seat[3][inner_at] = inner
 
     def counts(self, order: int, training: np.ndarray) -> np.ndarray:
@@ -184,12 +192,18 @@ class Automaton:
 
 
 def _pack(values: np.ndarray, width: int = 8) -> bytes:
-    """Byte planes: high planes of small numbers are zeros, which compress."""
-    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    """Byte planes, compressed: high planes of small numbers are zeros."""
+    from zstandard import ZstdCompressor
+
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes, width: int = 8) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+    from zstandard import ZstdDecompressor
+
+    planes = np.frombuffer(ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _ipc(table: pa.Table) -> bytes:
@@ -201,21 +215,18 @@ def _ipc(table: pa.Table) -> bytes:
 
 def _groups(rows: DataFrame, group_bytes: int) -> DataFrame:
     """One row per group of about ``group_bytes`` of text of one task: its ids
-    and hold-out marks, its tokens, and how many distinct n-grams it has."""
+    and hold-out marks, its tokens, and how many words and tokens it has."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         texts, marks, size = [], [], 0
 
         def group():
             tokens = Tokens.of(texts)
-            grams = Grams(tokens)
-            marked = pa.Table.from_batches(marks)
+            values = [_ipc(pa.Table.from_batches(marks)), *tokens.packed()]
+            counts = [task << 32 | number, len(tokens.hashes), len(tokens.place)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | number], pa.int64()), pa.array([_ipc(marked)], pa.binary()),
-                 pa.array([_pack(tokens.number, 4)], pa.binary()), pa.array([_pack(tokens.ends)], pa.binary()),
-                 pa.array([_pack(tokens.hashes)], pa.binary()),
-                 *[pa.array([len(grams.keys[n])], pa.int64()) for n in ORDERS]],
-                names=["grp", "marks", "tokens", "ends", "hashes", *[f"n{n}" for n in ORDERS]])
+                [*[pa.array([v], pa.binary()) for v in values], *[pa.array([c], pa.int64()) for c in counts]],
+                names=["marks", *PACKED, "grp", "n_words", "n_tokens"])
 
         for batch in batches:
             column, from_row = batch.column("text"), 0
@@ -233,13 +244,12 @@ def _groups(rows: DataFrame, group_bytes: int) -> DataFrame:
         if texts:
             yield group()
 
-    return rows.mapInArrow(cut, "grp long, marks binary, tokens binary, ends binary, hashes binary, "
-                                + ", ".join(f"n{n} long" for n in ORDERS))
+    return rows.mapInArrow(cut, "marks binary, " + ", ".join(f"{c} binary" for c in PACKED)
+                                + ", grp long, n_words long, n_tokens long")
 
 
 def _opened(row: dict) -> tuple[Grams, pa.Table]:
-    tokens = Tokens(_unpack(row["tokens"], 4), _unpack(row["ends"]).astype(np.int64), _unpack(row["hashes"]))
-    return Grams(tokens), pa.ipc.open_stream(row["marks"]).read_all()
+    return Grams(Tokens.unpacked(*(row[c] for c in PACKED))), pa.ipc.open_stream(row["marks"]).read_all()
 
 
 def score(docs: DataFrame, held_out, mu: float = MU, group_bytes: int = GROUP_BYTES,
@@ -248,8 +258,8 @@ def score(docs: DataFrame, held_out, mu: float = MU, group_bytes: int = GROUP_BY
     rows = docs.select(docs["doc_id"], text_of(docs).alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     groups = materialize(_groups(rows, group_bytes), "lm-groups")
-    volume = groups.agg(*[F.sum(f"n{n}") for n in ORDERS]).first()
-    owners = {n: max(1, -(-8 * (v or 0) // owner_bytes)) for n, v in zip(ORDERS, volume)}
+    n_words, n_tokens = groups.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+    owners = {n: max(1, -(-8 * ((n_words if n == 1 else n_tokens) or 0) // owner_bytes)) for n in ORDERS}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +296,8 @@ def score(docs: DataFrame, held_out, mu: float = MU, group_bytes: int = GROUP_BY
              pa.array([once[1]] + [0] * (n - 1), type=pa.int64())],
             names=["gram", "owner", "grp", "totals", "types", "tokens"])
 
-    sent = groups.drop(*[f"n{n}" for n in ORDERS]).mapInArrow(
+    groups = groups.select("grp", "marks", *PACKED)
+    sent = groups.mapInArrow(
         send, "gram int, owner long, grp long, keys binary, counts binary")
     replies = materialize(sent.groupBy("gram", "owner").applyInArrow(
         answer, "gram int, owner long, grp long, totals binary, types long, tokens long"), "lm-replies")
@@ -313,7 +324,7 @@ def score(docs: DataFrame, held_out, mu: float = MU, group_bytes: int = GROUP_BY
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return groups.select("grp", "marks", "tokens", "ends", "hashes").groupBy("grp").cogroup(
+    return groups.groupBy("grp").cogroup(
         replies.select("gram", "owner", "grp", "totals").groupBy("grp")).applyInArrow(
         walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")
