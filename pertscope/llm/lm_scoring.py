@@ -18,9 +18,10 @@ token) and adds the logarithms.  A text starts in the state of the end token.
 
 Neither vocabulary nor arcs are ever gathered in one place.  Each task cuts the
 texts it reads into groups of about ``group_bytes`` and writes their token
-numbers once; texts are not shuffled.  A group sends the sorted distinct 64-bit
-keys of its n-grams, with its training counts, to the owners of key ranges; an
-owner adds up the counts of its range over all groups and answers each group
+numbers once; texts are not shuffled.  A group sends the sorted distinct hashes
+of its n-grams (64 bits for words, 56 for longer ones: among 10^12 of them one
+in 70,000 shares its hash with another) and its training counts to the owners of
+key ranges; an owner adds up the counts of its range over all groups and answers each group
 with counts in the group's own key order.  There are as many owners of an order
 as hold ``owner_bytes`` of its keys each.  A group then has exactly the part of
 the automaton that its texts walk.  A frequent word or pair is one number per
@@ -50,9 +51,10 @@ from .common import materialize, text_of
 MU = 20.0
 ORDERS = (1, 2, 3)
 PACKED = ("places", "ends", "hashes")
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 6 << 20
 OWNER_BYTES = 16 << 20
 BLOCK = 1 << 16              # tokens that a traversal holds as Python numbers at a time
+DROPPED = np.uint64(8)       # low bits of a pair's or triple's key that are not kept
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -115,8 +117,8 @@ class Grams:
         context = hashes[self.context_at]
         pair = _scramble(context * _MIX[0] + (own ^ (own >> np.uint64(29))))
         triple = _scramble(pair[inner - 1] * _MIX[0] + (own[inner] ^ (own[inner] >> np.uint64(31))))
-        bi, bi_at = np.unique(pair, return_inverse=True)
-        tri, inner_at = np.unique(triple, return_inverse=True)
+        bi, bi_at = np.unique(pair >> DROPPED, return_inverse=True)
+        tri, inner_at = np.unique(triple >> DROPPED, return_inverse=True)
         tri_at = np.full(len(uni_at), -1, dtype=np.int64)
         tri_at[inner] = inner_at
         self.first, self.inner = first, inner
@@ -269,7 +271,8 @@ def score(docs: DataFrame, held_out, mu: float = MU, group_bytes: int = GROUP_BY
                 training = ~marked.column("held_out").to_numpy().astype(bool)
                 for order in ORDERS:
                     keys, counts, out = grams.keys[order], grams.counts(order, training), []
-                    owner = ((keys >> np.uint64(32)) * np.uint64(owners[order])) >> np.uint64(32)
+                    high = keys >> (np.uint64(32) if order == 1 else np.uint64(32) - DROPPED)
+                    owner = (high * np.uint64(owners[order])) >> np.uint64(32)
                     bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
                     for a, b in zip(bounds[:-1], bounds[1:]) if len(keys) else ():
                         gaps = np.concatenate([keys[a:a + 1], np.diff(keys[a:b])])
