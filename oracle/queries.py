@@ -1163,3 +1163,44 @@ FROM (SELECT metric, recover, quantile_cont(score, 0.25) AS q1, quantile_cont(sc
       FROM conf_long GROUP BY metric, recover) q
 JOIN conf_long c ON c.metric = q.metric AND c.recover = q.recover
 GROUP BY q.metric, q.recover, q.q1, q.median, q.q3, q.n""", "conf_long")
+
+# Calibration of every score, and whether it rises with the threshold.
+cte("score_calibration", """
+  SELECT g.metric, r.i * 0.05::DOUBLE AS threshold, count(s.m) AS n_compounds,
+         CASE WHEN count(s.m) > 0 THEN sum(CASE WHEN s.t THEN 1 ELSE 0 END) * 100.0 / count(s.m) END AS pct_true,
+         coalesce(sum(CASE WHEN s.t THEN 1 ELSE 0 END), 0) AS n_compounds_true
+  FROM (SELECT DISTINCT metric FROM conf_long) g CROSS JOIN range(21) r(i)
+  LEFT JOIN (SELECT metric, round(score, 9) AS m, recover AS t FROM conf_long) s
+    ON s.metric = g.metric AND s.m >= r.i * 0.05::DOUBLE
+  GROUP BY g.metric, r.i""", "conf_long")
+SQL["score_calibration"] = build(f"""
+SELECT metric, {rnd('threshold', 'threshold')}, CAST(n_compounds AS BIGINT) AS n_compounds, {rnd('pct_true', 'pct_true')},
+       CAST(n_compounds_true AS BIGINT) AS n_compounds_true
+FROM score_calibration""", "score_calibration")
+SQL["threshold_correlation"] = build(f"""
+SELECT metric, CAST(n AS BIGINT) AS n, {rnd('CASE WHEN low < high THEN rho END', 'rho')}
+FROM (SELECT metric, count(*) AS n, min(pct_true) AS low, max(pct_true) AS high, corr(x, y) AS rho
+      FROM (SELECT metric, pct_true,
+                   rank() OVER (PARTITION BY metric ORDER BY pct_true)
+                     + (count(*) OVER (PARTITION BY metric, pct_true) - 1) / 2.0 AS x,
+                   rank() OVER (PARTITION BY metric ORDER BY threshold)::DOUBLE AS y
+            FROM score_calibration WHERE pct_true IS NOT NULL)
+      GROUP BY metric)""", "score_calibration")
+
+cte("split_predictions", f"""
+  SELECT truth, prediction, CASE WHEN {_bucket('query_id')} < 1 THEN 'valid' ELSE 'train' END AS split
+  FROM predictions""", "predictions")
+SQL["classification_metrics_by_split"] = build(f"""
+SELECT split, CAST(sum(n_true) AS BIGINT) AS n, {rnd('sum(tp) / sum(n_true)', 'accuracy')},
+       {rnd('1 - sum(tp) / sum(n_true)', 'error_rate')},
+       {rnd('avg(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END)', 'macro_precision')},
+       {rnd('avg(CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END)', 'macro_recall')},
+       {rnd('avg(CASE WHEN tp > 0 THEN 2.0 * tp / (n_true + n_pred) ELSE 0.0 END)', 'macro_f1')}
+FROM (SELECT c.split, c.cls,
+             (SELECT count(*) FROM split_predictions p WHERE p.split = c.split AND p.truth = c.cls) AS n_true,
+             (SELECT count(*) FROM split_predictions p WHERE p.split = c.split AND p.prediction = c.cls) AS n_pred,
+             (SELECT count(*) FROM split_predictions p
+              WHERE p.split = c.split AND p.truth = c.cls AND p.prediction = c.cls) AS tp
+      FROM (SELECT split, truth AS cls FROM split_predictions
+            UNION SELECT split, prediction FROM split_predictions) c)
+GROUP BY split""", "split_predictions")

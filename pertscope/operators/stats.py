@@ -31,22 +31,33 @@ def threshold_bin(measure: Column, n: int = 20) -> Column:
 
 
 def accuracy_above_threshold(df: DataFrame, measure: str, truth: Column | str,
-                             n_thresholds: int = 21) -> DataFrame:
+                             n_thresholds: int = 21, by: list[str] | None = None) -> DataFrame:
     """E5: for thresholds t_i = i*0.05, rows with measure >= t_i, how many are
-    true, and the percentage true (NULL when no row passes)."""
-    n = n_thresholds - 1
+    true, and the percentage true (NULL when no row passes); with ``by`` for
+    each of its groups, counted together in one pass."""
+    n, by = n_thresholds - 1, list(by or [])
     tr = F.col(truth) if isinstance(truth, str) else truth
     binned = (df.filter(F.col(measure).isNotNull())
-              .select(threshold_bin(F.col(measure), n).alias("b"), tr.cast("long").alias("t"))
-              .groupBy("b").agg(F.count(F.lit(1)).alias("nb"), F.sum("t").alias("tb")))
+              .select(*by, threshold_bin(F.col(measure), n).alias("b"), tr.cast("long").alias("t"))
+              .groupBy(*by, "b").agg(F.count(F.lit(1)).alias("nb"), F.sum("t").alias("tb")))
     spark = df.sparkSession
     thr = spark.range(0, n + 1).select(F.col("id").cast("int").alias("b"))
-    # reverse running sum over at most 21 rows (bounded, tiny)
-    w = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    j = (thr.join(binned, "b", "left")
-         .select("b", F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("tb", F.lit(0)).alias("tb"))
-         .select("b", F.sum("nb").over(w).alias("n_compounds"), F.sum("tb").over(w).alias("n_compounds_true")))
+    # reverse running sum over at most 21 rows a group (bounded, tiny)
+    order = Window.partitionBy(*by).orderBy(F.col("b").desc()) if by else Window.orderBy(F.col("b").desc())
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    if by:
+        # zeros for every threshold of every group instead of a null-safe join
+        zeros = binned.select(*by).distinct().select(
+            *by, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("b"), F.lit(0).alias("nb"), F.lit(0).alias("tb"))
+        counted = (binned.filter(F.col("b") >= 0).unionByName(zeros)
+                   .groupBy(*by, "b").agg(F.sum("nb").alias("nb"), F.sum("tb").alias("tb")))
+    else:
+        counted = thr.join(binned, "b", "left")
+    j = (counted
+         .select(*by, "b", F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("tb", F.lit(0)).alias("tb"))
+         .select(*by, "b", F.sum("nb").over(w).alias("n_compounds"), F.sum("tb").over(w).alias("n_compounds_true")))
     return j.select(
+        *by,
         (F.col("b").cast("double") * F.lit(1.0 / n)).alias("threshold"),
         F.col("n_compounds").cast("long").alias("n_compounds"),
         F.when(F.col("n_compounds") > 0, F.col("n_compounds_true") * 100.0 / F.col("n_compounds"))
@@ -54,6 +65,29 @@ def accuracy_above_threshold(df: DataFrame, measure: str, truth: Column | str,
         F.col("n_compounds_true").cast("long").alias("n_compounds_true"))
 
 
+def threshold_correlation(calibration: DataFrame, by: list[str], measure: str = "pct_true") -> DataFrame:
+    """E6 on the tables of ``accuracy_above_threshold``: per group Spearman's
+    rho of ``measure`` against the threshold, thresholds without a value left
+    out; NULL with fewer than two values or when all are equal.
+
+    A group has one row per threshold, so its window is bounded.  Average ranks
+    are halves of integers, so the sums below are exact."""
+    d = calibration.filter(F.col(measure).isNotNull())
+
+    def rank_of(col: str) -> Column:
+        tied = F.count(F.lit(1)).over(Window.partitionBy(*by, col))
+        return F.rank().over(Window.partitionBy(*by).orderBy(col)) + (tied - 1) / F.lit(2.0)
+
+    r = d.select(*by, rank_of(measure).alias("x"), rank_of("threshold").alias("y"))
+    s = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+                           F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
+                           F.sum(F.col("y") * F.col("y")).alias("syy"))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
+    return s.select(*by, n.cast("long").alias("n"),
+                    F.when(spread > 0, (n * F.col("sxy") - sx * sy) / F.sqrt(spread)).alias("rho"))
+
+
 def label_set_overlap(a: Column, b: Column, sep: str = ";") -> Column:
     """True when two ';'-joined label strings share an item (NULL = empty)."""
     sa = F.when(a.isNull() | (a == ""), F.array().cast("array<string>")).otherwise(F.split(a, sep))

@@ -257,16 +257,26 @@ def q_ecdf(spark, d):
     return rounded(stats.ecdf(_cal(spark, d), "measure"))
 
 
-@register("classification_metrics")
-def q_cls(spark, d):
+def _predictions(spark, d):
     t = Tables(spark, d)
     p = fx.profiles(t)
     nn = knn_graph(p, 1).filter(F.col("rank") == 1)
     lab = p.select("sig_id", "label")
-    pred = (nn.join(lab.withColumnRenamed("sig_id", "query_id"), "query_id")
+    return (nn.join(lab.withColumnRenamed("sig_id", "query_id"), "query_id")
             .join(lab.select(F.col("sig_id").alias("ref_id"), F.col("label").alias("prediction")), "ref_id")
             .select("query_id", F.col("label").alias("truth"), "prediction"))
-    return rounded(stats.classification_metrics(pred, "truth", "prediction"))
+
+
+@register("classification_metrics")
+def q_cls(spark, d):
+    return rounded(stats.classification_metrics(_predictions(spark, d), "truth", "prediction"))
+
+
+@register("classification_metrics_by_split")
+def q_cls_split(spark, d):
+    """The metrics of training and validation rows apart."""
+    pred = cl.train_valid_split(_predictions(spark, d), "query_id")
+    return rounded(stats.classification_metrics(pred, "truth", "prediction", ["split"]))
 
 
 # ---------------------------------------------------------- gene ranking --
@@ -500,6 +510,24 @@ def q_e5_recover(spark, d):
     return rounded(stats.accuracy_above_threshold(r, "score", "recover"))
 
 
+def _score_calibration(spark, d):
+    long = _conf_long(spark, d).select("metric", F.round("score", 9).alias("score"), "recover")
+    return stats.accuracy_above_threshold(long, "score", "recover", by=["metric"])
+
+
+@register("score_calibration")
+def q_e5_scores(spark, d):
+    """Share of recovered compounds above each threshold of the composite score
+    and of the four scores it is made of."""
+    return rounded(_score_calibration(spark, d))
+
+
+@register("threshold_correlation")
+def q_e6_scores(spark, d):
+    """Whether that share rises with the threshold, score by score."""
+    return rounded(stats.threshold_correlation(_score_calibration(spark, d), ["metric"]))
+
+
 @register("recovery_split")
 def q_e20(spark, d):
     r = gr.recovery(spark, d)

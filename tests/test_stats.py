@@ -96,3 +96,34 @@ def test_range_histogram(spark):
     assert [r["left"] for r in rows] == pytest.approx(edges[:-1].tolist())
     alone = stats.range_histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 5).collect()
     assert sorted(r["count"] for r in alone) == [0, 0, 0, 0, 2]
+
+
+def test_thresholds_by_group_equal_each_group_alone(spark):
+    rows = [("a", 0.95, True), ("a", 0.4, False), ("a", None, True), ("b", 0.05, True), ("b", 0.0, False),
+            ("b", -0.2, True), (None, 1.3, True), ("c", None, True), ("d", -0.5, True)]
+    df = spark.createDataFrame(rows, "g string, m double, t boolean")
+    got = {}
+    for r in stats.accuracy_above_threshold(df, "m", "t", by=["g"]).collect():
+        got.setdefault(r["g"], set()).add(tuple(r)[1:])
+    assert set(got) == {"a", "b", "d", None}      # a group without a measure has no table
+    for g in got:
+        alone = stats.accuracy_above_threshold(df.filter(df["g"].eqNullSafe(g)), "m", "t")
+        assert got[g] == {tuple(r) for r in alone.collect()}
+
+
+def test_threshold_correlation(spark):
+    rows = ([("up", k / 20, float(k)) for k in range(21)] + [("down", k / 20, float(-k)) for k in range(5)]
+            + [("flat", k / 20, 3.0) for k in range(5)] + [("one", 0.0, 1.0), ("none", 0.0, None)]
+            + [("tied", 0.0, 1.0), ("tied", 0.1, 1.0), ("tied", 0.2, 5.0), ("tied", 0.3, None)])
+    df = spark.createDataFrame(rows, "g string, threshold double, pct_true double")
+    got = {r["g"]: (r["n"], r["rho"]) for r in stats.threshold_correlation(df, ["g"]).collect()}
+    assert got.pop("tied") == (3, pytest.approx(3 ** 0.5 / 2))      # ranks 1.5, 1.5, 3 against 1, 2, 3
+    assert got == {"up": (21, 1.0), "down": (5, -1.0), "flat": (5, None), "one": (1, None)}
+
+
+def test_metrics_by_split_equal_each_split_alone(spark):
+    rows = [("train", "a", "a"), ("train", "a", "b"), ("train", "b", "c"), ("valid", "a", "a"), ("valid", "c", "a")]
+    df = spark.createDataFrame(rows, "split string, truth string, pred string")
+    for r in stats.classification_metrics(df, "truth", "pred", ["split"]).collect():
+        alone = stats.classification_metrics(df.filter(df["split"] == r["split"]), "truth", "pred").first()
+        assert tuple(r)[1:] == pytest.approx(tuple(alone))
