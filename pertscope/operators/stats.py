@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .ranks import average_ranks, exact_percentiles, prefix_agg
 
 
@@ -315,7 +316,9 @@ def five_number_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def ecdf(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Cumulative fraction at each distinct value (<= value)."""
     by = list(by or [])
-    vc = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    # the cuts, the buckets, their totals and the groups' totals read the distinct values: made once
+    vc = materialize(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")),
+                     "ecdf-values")
     pre = prefix_agg(vc, value, ["n"], by=by, inclusive=True, suffix="_cum")
     if by:
         j = pre.join(vc.groupBy(*by).agg(F.sum("n").alias("total")), by)
