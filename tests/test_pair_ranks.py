@@ -204,3 +204,25 @@ def test_kde_grid(spark):
         assert [got[name, g]["density"] for g in range(40)] == pytest.approx(want.tolist())
         assert [got[name, g]["x"] for g in range(40)] == pytest.approx(at.tolist())
     assert all(got["alone", g]["density"] is None for g in range(40))
+
+
+def test_samples_are_read_once_or_twice(spark):
+    from pertscope.operators.stats import ecdf
+    from pertscope.plans import recap
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", (i * 7 % 40) / 40.0) for i in range(60)], "set string, v double")
+    rows = rows.mapInPandas(told, "set string, v double")
+    assert len(kde_grid(rows, "v", "set", 20).collect()) == 40 and seen.value == 120
+    assert ecdf(rows, "v", by=["set"]).count() and seen.value == 180
+    rng = np.random.default_rng(3)
+    values, at = rng.normal(size=3000), np.linspace(-4, 4, 50)
+    for bw in (0.01, 0.5):
+        plain = np.exp(-0.5 * ((at[None, :] - values[:, None]) / bw) ** 2).sum(axis=0)
+        assert np.allclose(recap._kernels(values, at, bw), plain, rtol=1e-12, atol=0)
