@@ -27,6 +27,7 @@ from ..session import materialize
 from .knn import _cosine_tile, _normalise_rows, _stack, _tile_topk, cosine_knn
 
 SAMPLE_ROWS, MAX_CELLS, HELD_OUT = 16384, 1024, 512
+COPIES = 1 << 14                 # rows for their cells that leave a task's Python at a time
 
 
 @dataclass(frozen=True)
@@ -84,9 +85,14 @@ def _in_cells(df: DataFrame, index: Cells, probes: int) -> DataFrame:
             x = _normalise_rows(_stack(frame["v"]))
             near = x @ index.centres.T if index.centres.size else np.zeros((len(x), 1))
             cell = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            out = frame.loc[frame.index.repeat(cell.shape[1])].reset_index(drop=True)
-            out["cell"] = cell.ravel()
-            yield out
+            # a batch's copies leave a few rows at a time, however many cells each row visits
+            step = max(1, COPIES // cell.shape[1])
+            for at in range(0, len(frame), step):
+                some = cell[at:at + step]
+                out = frame.iloc[at:at + step]
+                out = out.loc[out.index.repeat(some.shape[1])].reset_index(drop=True)
+                out["cell"] = some.ravel()
+                yield out
 
     return df.mapInPandas(run, schema)
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pertscope.operators import cells
 from pertscope.operators.cells import Cells, approx_knn, compared_pairs, fit_cells
 from pertscope.operators.knn import cosine_knn
 
@@ -61,3 +62,23 @@ def test_fewer_references_than_k_and_null_vectors(spark):
     got = approx_knn(q.unionByName(gone), r.unionByName(gone), 10).collect()
     assert sorted((x.query_id, x.rank) for x in got) == [(i, k) for i in range(4) for k in (1, 2, 3)]
     assert approx_knn(q, r.limit(0), 10).collect() == [] and approx_knn(q.limit(0), r, 10).collect() == []
+
+
+def test_copies_for_many_cells_leave_a_few_at_a_time(monkeypatch):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    class Table:
+        schema = T.StructType([T.StructField("qid", T.LongType())])
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    monkeypatch.setattr(cells, "COPIES", 12, raising=False)
+    x = np.random.default_rng(1).normal(size=(20, 4))
+    run = cells._in_cells(Table(), Cells(x[:6] / np.linalg.norm(x[:6], axis=1)[:, None], 5), 5)
+    parts = list(run(iter([pd.DataFrame({"qid": range(20), "v": list(x)})])))
+    assert max(map(len, parts)) <= 12
+    rows = pd.concat(parts)
+    assert rows["qid"].tolist() == [i for i in range(20) for _ in range(5)]
+    assert (rows.groupby("qid")["cell"].nunique() == 5).all()
