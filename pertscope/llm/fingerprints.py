@@ -41,7 +41,11 @@ def _uniforms(h: Column) -> tuple[Column, Column]:
 
 
 def sample_keys(term: Column, weights: list[Column], k: int) -> list[Column]:
-    """Sample k's key of a term for each weight; null where the weight is 0."""
+    """Sample k's key of a term for each weight; null where the weight is 0.
+
+    The logarithm of a weight of 0 is null and makes its key null.  No part is
+    behind a condition, so the variants share hashes and logarithms.  ln a lies
+    between -112 and 4 for any weight, so the key always fits a long."""
     h1, h2, h3 = (F.xxhash64(term, F.lit(k), F.lit(j)) for j in range(3))
     u1, u2 = _uniforms(h1)
     u3, u4 = _uniforms(h2)
@@ -51,9 +55,9 @@ def sample_keys(term: Column, weights: list[Column], k: int) -> list[Column]:
     out = []
     for w in weights:
         t = F.floor(F.log(w.cast("double")) / r + beta)
-        log_a = F.greatest(F.lit(-127.0), F.least(F.lit(127.0), log_c - r * (t - beta + 1)))
+        log_a = log_c - r * (t - beta + 1)
         name = F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF))
-        out.append(F.when(w > 0, F.floor(log_a * F.lit(_STEP)) * F.lit(1 << 32) + name))
+        out.append(F.floor(log_a * F.lit(_STEP)) * F.lit(1 << 32) + name)
     return out
 
 

@@ -566,6 +566,19 @@ def test_fingerprints_odd_tables(odd, nothing, spark):
     assert fingerprints.compare_edited(one).first()["near_next"] == 1.0
 
 
+def test_sample_keys_share_their_work_and_skip_weight_zero(spark):
+    from pyspark.sql import functions as F
+    both = [F.col("a"), F.col("b")]
+    keys = fingerprints.sample_keys(F.col("t"), both, 3)
+    # what stands behind a condition is computed once for each use
+    assert "CASE WHEN" not in " ".join(str(k) for k in keys)
+    big = 2 ** 62
+    rows = spark.createDataFrame([(t, a, b) for t in range(200) for a, b in ((0, 1), (5, 0), (7, 7), (big, 0))], "t long, a long, b long")
+    for t, a, b, x, y in rows.select("t", "a", "b", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).collect():
+        assert (x is None) == (a == 0) and (y is None) == (b == 0) and (a != b or x == y)
+        assert all(k is None or abs(k) < 113 * 2 ** 56 for k in (x, y))
+
+
 # 9 -------------------------------------------------------------------------
 
 def check_pieces(pieces, ids_of, capacity=2048, max_segments=packing.MAX_SEGMENTS):
